@@ -81,6 +81,10 @@ def last_hours(df: DataFrame, hours: int = 24, ts: str = "timestamp", as_of: dat
 def lookback(df: DataFrame, minutes: int = 60, ts: str = "timestamp", as_of: datetime | None = None) -> DataFrame:
     if not 10 <= minutes <= 360:
         raise ValueError("lookback must be 10 to 360 minutes")
+    return last_minutes(df, minutes, ts, as_of)
+
+
+def last_minutes(df: DataFrame, minutes: int, ts: str = "timestamp", as_of: datetime | None = None) -> DataFrame:
     start = latest(df, ts, f"{minutes} minutes") if as_of is None else F.lit(as_of) - F.expr(f"interval {minutes} minutes")
     return df.filter(F.col(ts) >= _bound(start, df, ts))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from railtempo.operators.ranks import exact_percentiles
+from railtempo.session import checkpointed
 
 NODE_SCHEMA = "tree int, node int, feature int, cut double, low int, high int, depth double"
 
@@ -171,10 +172,10 @@ def with_scores(df: DataFrame, forest: Forest, out: str = "score", trees: int |
 
 
 def fit_forest(df: DataFrame, columns: list[str], contamination: float = 0.05, version: str = "v1", **options) -> Forest:
-    """Grown forest with its score threshold and training metrics, from one scoring pass per percentile stage."""
+    """Grown forest with its score threshold and training metrics. The rows are scored once; only scores are kept."""
     forest = grow_forest(df, columns, **options)
     forest.contamination, forest.version = contamination, version
-    scored = with_scores(df, forest).select("score")
+    scored = checkpointed(with_scores(df, forest).select("score"))
     forest.threshold = exact_percentiles(scored, "score", {"t": contamination}).first()["t"]
     forest.metrics = score_metrics(scored, forest.threshold).first().asDict()
     return forest
@@ -203,12 +204,19 @@ def with_batch_severity(scored: DataFrame, floor: float | None = None) -> DataFr
 
 
 def forest_detections(df: DataFrame, forest: Forest, floor: float | None = None) -> DataFrame:
-    """Rows scoring below the threshold as detections. Missing z-scores leave the kind to the other measures."""
+    """Rows scoring below the threshold as detections. Missing z-scores leave the kind to the other measures.
+
+    The lowest score of the batch is below the threshold whenever any score is, so it is found among the detections; they
+    are materialised for that instead of scoring everything twice. With ``floor`` the result stays lazy.
+    """
     from railtempo.functions import scalar as fx
     from railtempo.operators.rules import as_detections
 
-    scored = with_batch_severity(with_scores(df, forest), floor).filter(F.col("score") < forest.threshold)
+    found = with_scores(df, forest).filter(F.col("score") < forest.threshold)
+    if floor is None:
+        found = checkpointed(found)
+    found = with_batch_severity(found, floor)
     have = set(df.columns)
     z = {c: F.col(c) if c in have else F.lit(None).cast("double") for c in ("headway_seconds_zscore", "dwell_time_seconds_zscore")}
     kind = fx.anomaly_kind(z["headway_seconds_zscore"], z["dwell_time_seconds_zscore"], F.col("delay_seconds"))
-    return as_detections(scored, kind, F.col("severity"), "isolation_forest", forest.version, forest.columns)
+    return as_detections(found, kind, F.col("severity"), "isolation_forest", forest.version, forest.columns)

@@ -34,7 +34,7 @@ def exact_percentiles(df: DataFrame, column: str, shares: dict[str, float]) -> D
     values = df.select(F.col(column).cast("double").alias("_v")).filter("_v is not null")
     bucketed = values.withColumn("_bucket", magnitude_bucket(F.col("_v")))
     counts = _with_offsets(bucketed.groupBy("_bucket").agg(F.count("*").alias("_rows")))
-    total = values.agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_rows").alias("_n"))
     wanted = total.select(
         F.explode(F.array(*[
             F.struct(F.lit(name).alias("name"), ((F.col("_n") - 1) * share).alias("at")) for name, share in shares.items()

@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from railtempo.functions import scalar as fx
 from railtempo.functions.features import SEQUENCE_FEATURES
-from railtempo.operators.ranks import exact_percentiles
+from railtempo.operators.ranks import exact_percentiles, with_position
 from railtempo.operators.rules import as_detections
 from railtempo.operators.scaling import fit_normaliser
-from railtempo.operators.sequences import SEQUENCE_KEYS, sliding_sequences
+from railtempo.operators.sequences import SEQUENCE_KEYS, windows_of
+from railtempo.session import checkpointed
 
 
 @dataclass
@@ -50,16 +51,26 @@ def normalised(df: DataFrame, columns: list[str], stats: dict[str, float]) -> Da
     })
 
 
-def sequence_vectors(df: DataFrame, columns: list[str], length: int, stats: dict[str, float], stride: int = 1) -> DataFrame:
-    """Flattened normalised sequences per line and direction: keys, start, ids, x."""
+def numbered_rows(df: DataFrame, columns: list[str], stats: dict[str, float]) -> DataFrame:
+    """Normalised measures and ids with their position per line and direction: all that sequences are made of."""
+    measures = [f"_n{i}" for i in range(len(columns))]
+    narrow = normalised(df, columns, stats).select(*SEQUENCE_KEYS, "timestamp", "id", *measures)
+    return with_position(narrow, SEQUENCE_KEYS, "timestamp", "id").drop("timestamp")
+
+
+def vectors_of(numbered: DataFrame, columns: list[str], length: int, stride: int = 1) -> DataFrame:
+    """Flattened sequences of numbered rows: keys, start, ids, x."""
     measures = [f"_n{i}" for i in range(len(columns))]
-    windows = sliding_sequences(normalised(df, columns, stats), ["id", *measures], length, stride)
-    return windows.select(
+    return windows_of(numbered, ["id", *measures], length, stride).select(
         *SEQUENCE_KEYS, "start", F.col("items.id").alias("ids"),
         F.flatten(F.transform("items", lambda r: F.array(*[r[m] for m in measures]))).alias("x"),
     )
 
 
+def sequence_vectors(df: DataFrame, columns: list[str], length: int, stats: dict[str, float], stride: int = 1) -> DataFrame:
+    return vectors_of(numbered_rows(df, columns, stats), columns, length, stride)
+
+
 def with_errors(vectors: DataFrame, model: SequenceModel) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast((model.mean, model.components, model.length))
 
@@ -76,15 +87,19 @@ def mean_of(array: str):
 
 def fit_sequences(df: DataFrame, components: int = 8, length: int = 24, threshold_share: float = 0.95,
                   columns: list[str] | None = None, version: str = "v1") -> SequenceModel:
-    """Normaliser, components and error threshold from training positions. The normaliser is kept for scoring."""
+    """Normaliser, components and error threshold from training positions. The normaliser is kept for scoring.
+
+    Fitting passes over the sequences several times. What is materialised are the numbered rows, not the sequences, which
+    are ``length`` times larger and cheap to rebuild.
+    """
     columns = columns or [c for c in SEQUENCE_FEATURES if c in df.columns]
     stats = fit_normaliser(df, columns).first().asDict()
-    vectors = sequence_vectors(df, columns, length, stats)
+    vectors = vectors_of(checkpointed(numbered_rows(df, columns, stats)), columns, length)
     feature_rows = vectors.select(array_to_vector("x").alias("v"))
     pca = PCA(k=components, inputCol="v", outputCol="p").fit(feature_rows)
     mean = feature_rows.agg(Summarizer.mean(F.col("v")).alias("m")).first()["m"]
     model = SequenceModel(columns, length, stats, mean.toArray(), pca.pc.toArray(), version=version)
-    scored = with_errors(vectors, model).select(mean_of("errors").alias("error"))
+    scored = checkpointed(with_errors(vectors, model).select(mean_of("errors").alias("error")))
     model.threshold = exact_percentiles(scored, "error", {"t": threshold_share}).first()["t"]
     summary = scored.agg(F.count("*").alias("n"), F.avg("error").alias("loss")).first()
     model.metrics = {

@@ -222,17 +222,20 @@ def with_rolling_percentile(
     measures = [f"_v{i}" for i in range(len(columns))]
     keyed = ~F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
     rows = df.select(
-        *[F.col(c) for c in payload], at.alias("_t"), home_slice.alias("_slice"), F.lit(0).alias("_kind"),
-        F.lit(1).cast("long").alias("_w"), *[F.col(c).cast("long").alias(m) for c, m in zip(columns, measures)],
+        *payload, at.alias("_t0"), home_slice.alias("_slice0"), *[F.col(c).cast("long").alias(m) for c, m in zip(columns, measures)],
     )
-    leaving = rows.filter(keyed).select(
-        *keys, (F.col("_t") + length).alias("_t"), (F.col("_slice") + reach).alias("_slice"), F.lit(1).alias("_kind"), "_w",
-        *measures,
+    # own rows, and the same rows once more where they leave the frame; null keys get null results and need no copy
+    kinds = F.when(keyed, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    spread = rows.withColumn("_kind", F.explode(kinds))
+    others = [c for c in payload if c not in keys]
+    merged = spread.select(
+        *keys, *[F.when(F.col("_kind") == 0, F.col(c)).alias(c) for c in others],
+        (F.col("_t0") + F.col("_kind") * length).alias("_t"), (F.col("_slice0") + F.col("_kind") * reach).alias("_slice"),
+        "_kind", F.lit(1).cast("long").alias("_w"), *measures,
     )
-    merged = rows.unionByName(leaving, allowMissingColumns=True)
     if reach > 1:
         long = rows.filter(keyed).select(
-            *keys, "_slice",
+            *keys, F.col("_slice0").alias("_slice"),
             F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(m).alias("v")) for i, m in enumerate(measures)])).alias("_m"),
         ).filter("_m.v is not null")
         between = (
@@ -244,7 +247,7 @@ def with_rolling_percentile(
             )
         )
         # only slices that hold rows need a histogram
-        occupied = rows.filter(keyed).select(*keys, "_slice").distinct()
+        occupied = rows.filter(keyed).select(*keys, F.col("_slice0").alias("_slice")).distinct()
         between = between.join(occupied, [*keys, "_slice"], "left_semi")
         merged = merged.unionByName(between, allowMissingColumns=True)
     names = [f"{c}_percentile" for c in columns]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from railtempo.functions.features import with_calendar
 from railtempo.operators.ensemble import combine_detections
-from railtempo.operators.filters import lookback
+from railtempo.operators.filters import last_minutes, lookback
 from railtempo.operators.forest import Forest, forest_detections
 from railtempo.operators.reconstruct import SequenceModel, sequence_detections
 from railtempo.operators.rolling import with_rolling, with_rolling_percentile
@@ -79,7 +79,7 @@ def detection_run(positions: DataFrame, detectors: DetectorSet, minutes: int = 6
 
     Rolling frames look back an hour, so features are computed over one more hour than is reported.
     """
-    recent = lookback(positions, min(minutes + 60, 360), as_of=as_of)
+    recent = last_minutes(positions, minutes + 60, as_of=as_of)
     reported = lookback(positions, minutes, as_of=as_of).select("id")
     if line:
         recent = recent.filter(F.col("line") == line)

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from itertools import product
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from railtempo.operators.forest import Forest, fit_forest, grow_forest, tree_sco
 from railtempo.operators.reconstruct import SequenceModel, fit_sequences
 from railtempo.operators.scaling import cap_outliers
 from railtempo.schemas import METRIC_COLUMNS
+from railtempo.session import checkpointed
 from railtempo.sources.tables import read_table, record_artifact
 
 # Search spaces. The second one keeps the shape of the original (size, rate, batch) where only the size
@@ -32,8 +34,6 @@ def prepare(df: DataFrame) -> DataFrame:
 
 def score_prefixes(df: DataFrame, forest: Forest, tree_counts: list[int]) -> DataFrame:
     """Scores of the first 50, 100, ... trees in one pass over the rows."""
-    import pandas as pd
-
     shared = df.sparkSession.sparkContext.broadcast(forest.arrays())
     fields = ", ".join(f"s{t} double" for t in tree_counts)
 
@@ -55,13 +55,13 @@ def forest_search(train: DataFrame, validation: DataFrame, grid: dict | None = N
     """
     grid = grid or FOREST_GRID
     columns = columns or BASE_FEATURES
-    labelled = evaluate.synthetic_labels(validation, seed=seed)
+    labelled = checkpointed(evaluate.synthetic_labels(validation, seed=seed).select("id", "is_anomaly", *columns))
     counts = sorted(grid["n_estimators"])
     history = None
     for max_samples in grid["max_samples"]:
         forest = grow_forest(train, columns, trees=counts[-1], max_samples=max_samples, seed=seed)
-        trained = score_prefixes(train.select("id", *columns), forest, counts)
-        judged = score_prefixes(labelled.select("id", "is_anomaly", *columns), forest, counts)
+        trained = checkpointed(score_prefixes(train.select(*columns), forest, counts).select(*[f"s{t}" for t in counts]))
+        judged = score_prefixes(labelled, forest, counts)
         cells = []
         for trees in counts:
             cuts = ranks.exact_percentiles(trained, f"s{trees}", {f"c{i}": c for i, c in enumerate(grid["contamination"])})
@@ -187,7 +187,7 @@ def experiment(spark: SparkSession, rows: DataFrame, folder: str, model_type: st
     from railtempo.operators.matching import mark_detected, with_labels
     from railtempo.operators.reconstruct import sequence_detections
 
-    split = ranks.with_temporal_split(rows)
+    split = checkpointed(ranks.with_temporal_split(rows))
     train, validation = split.filter("is_train").drop("is_train"), split.filter("not is_train").drop("is_train")
     if model_type == "isolation_forest":
         model, results = best_forest(train, validation, grid)

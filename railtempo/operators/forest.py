@@ -149,7 +149,9 @@ def grow_forest(df: DataFrame, columns: list[str], trees: int = 100, max_samples
         nodes.insert(0, "tree", tree)
         return nodes
 
-    nodes = samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas().sort_values(["tree", "node"])
+    # the samples are small in bytes but growing is work: a fixed task count keeps them from being merged into one task
+    tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
+    nodes = samples.repartition(tasks, "tree").groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas().sort_values(["tree", "node"])
     counts = nodes.groupby("tree").size().to_numpy()
     roots = np.concatenate(([0], np.cumsum(counts)[:-1]))
     shift = np.repeat(roots, counts)

@@ -26,44 +26,49 @@ def _with_offsets(buckets: DataFrame) -> DataFrame:
 
 
 def exact_percentiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
-    """One row with exact linearly interpolated percentiles of ``column`` (nulls ignored).
+    """One row with exact linearly interpolated percentiles of ``column`` (nulls ignored)."""
+    return exact_percentiles_of(df, {name: (column, share) for name, share in shares.items()})
 
-    First pass: rows per magnitude bucket. Second pass: only the buckets that hold the wanted ranks are counted by
-    value and ranked.
+
+def exact_percentiles_of(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row with an exact percentile per name, given as (column, share), from two passes for all of them.
+
+    First pass: rows per column and magnitude bucket, reduced to the buckets that hold the wanted ranks. Second pass: only
+    those buckets are counted by value and ranked.
     """
-    values = df.select(F.col(column).cast("double").alias("_v")).filter("_v is not null")
-    bucketed = values.withColumn("_bucket", magnitude_bucket(F.col("_v")))
-    counts = _with_offsets(bucketed.groupBy("_bucket").agg(F.count("*").alias("_rows")))
-    total = counts.agg(F.sum("_rows").alias("_n"))
-    wanted = total.select(
-        F.explode(F.array(*[
-            F.struct(F.lit(name).alias("name"), ((F.col("_n") - 1) * share).alias("at")) for name, share in shares.items()
-        ])).alias("w")
-    ).select("w.name", "w.at", F.floor("w.at").alias("low"), F.ceil("w.at").alias("high"))
-    # at most one row per wanted share and side: the broadcast is bounded by the number of shares
-    targets = counts.join(
-        F.broadcast(wanted),
-        ((F.col("low") >= F.col("_before")) & (F.col("low") < F.col("_before") + F.col("_rows")))
-        | ((F.col("high") >= F.col("_before")) & (F.col("high") < F.col("_before") + F.col("_rows"))),
-    ).select("name", "at", "low", "high", "_bucket", "_before")
-    by_value = (
-        bucketed.join(F.broadcast(targets.select("_bucket").distinct()), "_bucket", "left_semi")
-        .groupBy("_bucket", "_v").agg(F.count("*").alias("_rows"))
+    columns = list(dict.fromkeys(column for column, _ in wanted.values()))
+    values = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)
+    ])).alias("e")).selectExpr("e.c as _c", "e.v as _v") if len(columns) > 1 else df.select(
+        F.lit(0).alias("_c"), F.col(columns[0]).cast("double").alias("_v"))
+    bucketed = values.filter("_v is not null").withColumn("_bucket", magnitude_bucket(F.col("_v")))
+    # one row per column and bucket, a few thousand in practice
+    counts = bucketed.groupBy("_c", "_bucket").agg(F.count("*").alias("_rows")).selectExpr(
+        "*",
+        "coalesce(sum(_rows) over (partition by _c order by _bucket rows between unbounded preceding and 1 preceding), 0) as _before",
+        "sum(_rows) over (partition by _c) as _n",
     )
-    inside = W.partitionBy("_bucket").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = by_value.withColumn("_upto", F.sum("_rows").over(inside))
-    first = F.col("_before") + F.col("_upto") - F.col("_rows")
-    last = F.col("_before") + F.col("_upto") - 1
-    picked = (
-        ranked.join(F.broadcast(targets), "_bucket")
-        .groupBy("name", "at", "low")
-        .agg(
-            F.max(F.when(F.col("low").between(first, last), F.col("_v"))).alias("v_low"),
-            F.max(F.when(F.col("high").between(first, last), F.col("_v"))).alias("v_high"),
-        )
-        .select("name", (F.col("v_low") + (F.col("v_high") - F.col("v_low")) * (F.col("at") - F.col("low"))).alias("v"))
+    spots = []
+    for i, (column, share) in enumerate(wanted.values()):
+        c, at = columns.index(column), f"(_n - 1) * {share!r}D"
+        for side, rank in (("l", f"floor({at})"), ("h", f"ceil({at})")):
+            spots.append(F.expr(f"max(if(_c = {c} and {rank} between _before and _before + _rows - 1, "
+                                f"struct(_bucket as b, _before as s, {rank} as r, {at} as p), null)) as {side}{i}"))
+    found = counts.agg(*spots).select(F.struct("*").alias("t")).scalar()
+    marked = bucketed.withColumn("_t", found)
+    sides = [(i, columns.index(column), side) for i, (column, _) in enumerate(wanted.values()) for side in "lh"]
+    needed = " or ".join(f"(_c = {c} and _bucket = _t.{side}{i}.b)" for i, c, side in sides)
+    ranked = (
+        marked.filter(needed).groupBy("_c", "_bucket", "_v").agg(F.count("*").alias("_rows"))
+        .selectExpr("*", "sum(_rows) over (partition by _c, _bucket order by _v rows between unbounded preceding and current row) as _upto")
+        .withColumn("_t", found)
     )
-    return picked.agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares])
+    picks = [
+        F.expr(f"max(if(_c = {c} and _bucket = _t.{side}{i}.b and _t.{side}{i}.r between _t.{side}{i}.s + _upto - _rows and "
+               f"_t.{side}{i}.s + _upto - 1, _v, null)) as v{side}{i}")
+        for i, c, side in sides
+    ] + [F.expr(f"max(_t.l{i}.p - _t.l{i}.r) as f{i}") for i in range(len(wanted))]
+    return ranked.agg(*picks).selectExpr(*[f"vl{i} + (vh{i} - vl{i}) * f{i} as `{name}`" for i, name in enumerate(wanted)])
 
 
 def average_rank_share(df: DataFrame, column: str, out: str) -> DataFrame:

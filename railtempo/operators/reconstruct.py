@@ -9,18 +9,20 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from railtempo.functions import scalar as fx
 from railtempo.functions.features import SEQUENCE_FEATURES
+from railtempo.functions.scalar import floor_div
 from railtempo.operators.ranks import exact_percentiles, with_position
 from railtempo.operators.rules import as_detections
 from railtempo.operators.scaling import fit_normaliser
+from railtempo.operators.segments import map_sorted_groups
 from railtempo.operators.sequences import SEQUENCE_KEYS, windows_of
 from railtempo.session import checkpointed
 
@@ -71,18 +73,47 @@ def sequence_vectors(df: DataFrame, columns: list[str], length: int, stats: dict
     return vectors_of(numbered_rows(df, columns, stats), columns, length, stride)
 
 
-def with_errors(vectors: DataFrame, model: SequenceModel) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast((model.mean, model.components, model.length))
+def sequence_errors(numbered: DataFrame, model: SequenceModel, threshold: float | None = None, block_rows: int = 4096) -> DataFrame:
+    """Reconstruction errors of all sequences, computed block by block on narrow rows.
 
-    @F.pandas_udf("array<double>")
-    def errors(x: pd.Series) -> pd.Series:
-        return pd.Series(list(reconstruction_errors(*shared.value, np.stack(x.to_numpy()))) if len(x) else [], dtype="object")
-
-    return vectors.withColumn("errors", errors("x"))
-
-
-def mean_of(array: str):
-    return F.aggregate(array, F.lit(0.0), lambda a, b: a + b) / F.size(array)
+    Without ``threshold``: one row per sequence, ``error`` being its mean. With it: one row per sequence position whose
+    error is above it: (id, start, position, error). Sequences are never sent anywhere; a block of consecutive positions
+    of one line and direction, with the first rows of the next block, holds all that start in it.
+    """
+    length, width = model.length, len(model.columns)
+    measures = [f"_n{i}" for i in range(width)]
+    mean, components = model.mean, model.components
+    block = floor_div(F.col("position"), block_rows)
+    lead_in = (F.col("position") % block_rows < length - 1) & (block > 0)
+    blocks = numbered.withColumn("_block", F.explode(F.when(lead_in, F.array(block, block - 1)).otherwise(F.array(block))))
+
+    def errors(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        rows = np.column_stack([table[m].to_numpy() for m in measures])
+        position, ids = table["position"].to_numpy(), table["id"].to_numpy()
+        own = position // block_rows == table["_block"].to_numpy()
+        parts = []
+        for begin, end in zip(starts, [*starts[1:], table.num_rows]):
+            # the rows of the block itself start sequences, as far as enough rows follow
+            n = min(int(own[begin:end].sum()), int(end - begin) - length + 1)
+            if n <= 0:
+                continue
+            x = sliding_window_view(rows[begin:begin + n + length - 1], length, axis=0).swapaxes(1, 2).reshape(n, -1)
+            e = reconstruction_errors(mean, components, length, x)
+            if threshold is None:
+                parts.append(pa.table({"error": e.mean(axis=1)}))
+            else:
+                s, k = np.nonzero(e > threshold)
+                parts.append(pa.table({"id": ids[begin + s + k], "start": position[begin + s], "position": k.astype("int32"), "error": e[s, k]}))
+        return pa.concat_tables(parts) if parts else empty
+
+    if threshold is None:
+        schema, empty = "error double", pa.table({"error": pa.array([], pa.float64())})
+    else:
+        schema = "id long, start long, position int, error double"
+        empty = pa.table({"id": pa.array([], pa.int64()), "start": pa.array([], pa.int64()), "position": pa.array([], pa.int32()),
+                          "error": pa.array([], pa.float64())})
+    return map_sorted_groups(blocks.select(*SEQUENCE_KEYS, "_block", "position", "id", *measures), [*SEQUENCE_KEYS, "_block"],
+                             ["position"], errors, schema)
 
 
 def fit_sequences(df: DataFrame, components: int = 8, length: int = 24, threshold_share: float = 0.95,
@@ -94,12 +125,12 @@ def fit_sequences(df: DataFrame, components: int = 8, length: int = 24, threshol
     """
     columns = columns or [c for c in SEQUENCE_FEATURES if c in df.columns]
     stats = fit_normaliser(df, columns).first().asDict()
-    vectors = vectors_of(checkpointed(numbered_rows(df, columns, stats)), columns, length)
-    feature_rows = vectors.select(array_to_vector("x").alias("v"))
-    pca = PCA(k=components, inputCol="v", outputCol="p").fit(feature_rows)
-    mean = feature_rows.agg(Summarizer.mean(F.col("v")).alias("m")).first()["m"]
-    model = SequenceModel(columns, length, stats, mean.toArray(), pca.pc.toArray(), version=version)
-    scored = checkpointed(with_errors(vectors, model).select(mean_of("errors").alias("error")))
+    numbered = checkpointed(numbered_rows(df, columns, stats))
+    vectors = vectors_of(numbered, columns, length).select(array_to_vector("x").alias("v"))
+    pca = PCA(k=components, inputCol="v", outputCol="p").fit(vectors)
+    # normalised measures have mean zero, so the projection needs no offset
+    model = SequenceModel(columns, length, stats, np.zeros(length * len(columns)), pca.pc.toArray(), version=version)
+    scored = checkpointed(sequence_errors(numbered, model))
     model.threshold = exact_percentiles(scored, "error", {"t": threshold_share}).first()["t"]
     summary = scored.agg(F.count("*").alias("n"), F.avg("error").alias("loss")).first()
     model.metrics = {
@@ -111,12 +142,7 @@ def fit_sequences(df: DataFrame, components: int = 8, length: int = 24, threshol
 
 def position_errors(df: DataFrame, model: SequenceModel) -> DataFrame:
     """Every (sequence, position) whose error is above the threshold: id, start, position, error."""
-    scored = with_errors(sequence_vectors(df, model.columns, model.length, model.normaliser), model)
-    return (
-        scored.select(*SEQUENCE_KEYS, "start", F.posexplode(F.arrays_zip("ids", "errors")).alias("position", "e"))
-        .select(*SEQUENCE_KEYS, "start", "position", F.col("e.ids").alias("id"), F.col("e.errors").alias("error"))
-        .filter(F.col("error") > model.threshold)
-    )
+    return sequence_errors(numbered_rows(df, model.columns, model.normaliser), model, model.threshold)
 
 
 def sequence_detections(df: DataFrame, model: SequenceModel, report: str = "max") -> DataFrame:

@@ -8,14 +8,11 @@ frame's sum: linear work, and a busy key is spread over all its slices. Sums are
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from railtempo.functions.scalar import HOUR, floor_div, micros
 from railtempo.operators.segments import map_sorted_groups
@@ -25,88 +22,58 @@ KEYS = ["current_station", "direction"]
 EPSILON = 1e-7
 
 
-@dataclass(frozen=True)
-class FrameStats:
-    """Expressions for count, mean and sample deviation from integer sums."""
-
-    n: Column
-    total: Column
-    squares: Column
+def _mean(n: str, total: str) -> str:
+    return f"if({n} > 0, {total} / {n}, null)"
 
-    @property
-    def mean(self) -> Column:
-        return F.when(self.n > 0, self.total / self.n)
 
-    @property
-    def sample_std(self) -> Column:
-        exact = F.try_subtract(F.try_multiply(self.n, self.squares), F.try_multiply(self.total, self.total)).cast("double")
-        rounded = self.n.cast("double") * self.squares - self.total.cast("double") * self.total
-        spread = F.greatest(F.coalesce(exact, rounded), F.lit(0.0))
-        return F.when(self.n > 1, F.sqrt(spread / (self.n.cast("double") * (self.n - 1))))
+def _sample_std(n: str, total: str, squares: str) -> str:
+    """Sample deviation from integer sums: exact in 64 bits where the products fit, in doubles beyond."""
+    exact = f"cast(try_subtract(try_multiply({n}, {squares}), try_multiply({total}, {total})) as double)"
+    rounded = f"(cast({n} as double) * {squares} - cast({total} as double) * {total})"
+    return f"if({n} > 1, sqrt(greatest(coalesce({exact}, {rounded}), 0D) / (cast({n} as double) * ({n} - 1))), null)"
 
 
 def _frame_sums(df: DataFrame, columns: list[str], frames: dict[str, int], keys: list[str], ts: str,
-                slice_micros: int) -> tuple[DataFrame, dict]:
-    """Rows of ``df`` with running integer sums per column and frame; returns also the names of the sums."""
+                slice_micros: int) -> DataFrame:
+    """Rows of ``df`` with running integer sums ``_n_<frame>_<i>``, ``_s_...`` and ``_q_...`` (count, sum, squares)."""
     if any(length % slice_micros for length in frames.values()):
         raise ValueError("each frame length must be a whole number of slices")
     parts = [f"_{p}{i}" for i in range(len(columns)) for p in "nsq"]
-
-    def moments(sign: int) -> list[Column]:
-        out = []
-        for i, c in enumerate(columns):
-            v = F.col(c).cast("long")
-            out += [
-                (F.when(v.isNotNull(), F.lit(sign)).otherwise(F.lit(0))).cast("long").alias(f"_n{i}"),
-                F.coalesce(sign * v, F.lit(0)).cast("long").alias(f"_s{i}"),
-                F.coalesce(sign * v * v, F.lit(0)).cast("long").alias(f"_q{i}"),
-            ]
-        return out
-
-    at = micros(ts)
-    shifts = [0, *frames.values()]
-    payload = [c for c in df.columns if c not in keys]
-    spread = df.select(
-        "*", at.alias("_t0"),
-        F.posexplode(F.array(*[F.lit(s).cast("long") for s in shifts])).alias("_kind", "_shift"),
-    )
-    home = F.col("_kind") == 0
-    sign = F.when(home, 1).otherwise(-1)
-    emitted = spread.select(
-        *keys,
-        *[F.when(home, F.col(c)).alias(c) for c in payload],
-        "_kind",
-        (F.col("_t0") + F.col("_shift")).alias("_t"),
-        floor_div(F.col("_t0") + F.col("_shift"), slice_micros).alias("_slice"),
-        *[F.coalesce(sign * m, F.lit(0)).cast("long").alias(p) for p, m in zip(parts, moments(1))],
-    )
+    key_list = ", ".join(f"`{k}`" for k in keys)
+    timed = df.withColumn("_t0", micros(ts))
+    moments = [
+        expr for i, c in enumerate(columns) for expr in (
+            f"if(`{c}` is null, 0L, 1L) as _n{i}", f"coalesce(bigint(`{c}`), 0L) as _s{i}",
+            f"coalesce(bigint(`{c}`) * bigint(`{c}`), 0L) as _q{i}")
+    ]
+    # own row (kind 0, +) and one copy per frame (kind k, -) at the moment the row leaves that frame
+    shifts = ", ".join(f"{length}L" for length in frames.values())
+    emitted = timed.selectExpr("*", *moments, f"posexplode(array(0L, {shifts})) as (_kind, _shift)").selectExpr(
+        *[f"`{k}`" for k in keys],
+        *[f"if(_kind = 0, `{c}`, null) as `{c}`" for c in df.columns if c not in keys],
+        "_kind", "_t0 + _shift as _t",
+        *[f"if(_kind = 0, {p}, -{p}) as {p}" for p in parts],
+    ).withColumn("_slice", floor_div(F.col("_t"), slice_micros))
     totals = (
-        df.select(*keys, floor_div(at, slice_micros).alias("_slice"), *moments(1))
+        timed.withColumn("_slice", floor_div(F.col("_t0"), slice_micros)).selectExpr(*[f"`{k}`" for k in keys], "_slice", *moments)
         .groupBy(*keys, "_slice").agg(*[F.sum(p).alias(p) for p in parts])
     )
     carries = []
     for kind, length in enumerate(frames.values(), start=1):
-        reach = length // slice_micros
-        inside = W.partitionBy(*keys).orderBy("_slice").rangeBetween(-reach, -1)
-        carries.append(F.struct(
-            F.lit(kind).alias("_kind"), *[F.coalesce(F.sum(p).over(inside), F.lit(0)).alias(p) for p in parts]
-        ))
+        inside = f"(partition by {key_list} order by _slice range between {length // slice_micros} preceding and 1 preceding)"
+        sums = ", ".join(f"coalesce(sum({p}) over {inside}, 0L) as {p}" for p in parts)
+        carries.append(f"struct({kind} as _kind, {sums})")
     carry = (
-        totals.select(*keys, "_slice", F.array(*carries).alias("_all"))
-        .select(*keys, "_slice", F.explode("_all").alias("_c"))
-        .select(*keys, "_slice", (F.col("_slice") * slice_micros - 1).alias("_t"), "_c.*")
+        totals.selectExpr(*[f"`{k}`" for k in keys], "_slice", f"array({', '.join(carries)}) as _all")
+        .selectExpr(*[f"`{k}`" for k in keys], "_slice", f"_slice * {slice_micros}L - 1 as _t", "inline(_all)")
     )
     merged = emitted.unionByName(carry, allowMissingColumns=True)
-    running = W.partitionBy(*keys, "_slice").orderBy("_t").rangeBetween(W.unboundedPreceding, 0)
-    sums, names = {}, {}
-    for kind, label in enumerate(frames, start=1):
-        for i, c in enumerate(columns):
-            for p in "nsq":
-                name = f"_{p}_{label}_{i}"
-                applies = F.col("_kind").isin(0, kind)
-                sums[name] = F.sum(F.when(applies, F.col(f"_{p}{i}")).otherwise(F.lit(0))).over(running)
-            names[label, c] = FrameStats(F.col(f"_n_{label}_{i}"), F.col(f"_s_{label}_{i}"), F.col(f"_q_{label}_{i}"))
-    return merged.withColumns(sums).filter("_kind = 0"), names
+    running = f"(partition by {key_list}, _slice order by _t range between unbounded preceding and current row)"
+    sums = [
+        f"sum(if(_kind in (0, {kind}), _{p}{i}, 0L)) over {running} as _{p}_{label}_{i}"
+        for kind, label in enumerate(frames, start=1) for i in range(len(columns)) for p in "nsq"
+    ]
+    return merged.selectExpr("*", *sums).filter("_kind = 0")
 
 
 def _slice_length(frames: dict[str, int], slice_minutes: int | None) -> int:
@@ -134,18 +101,19 @@ def with_rolling(
     hours = ([zscore_hours] if zscore_hours else []) + [h for h in stat_hours if h != zscore_hours]
     frames = {f"{h}h": h * HOUR for h in hours}
     width = _slice_length(frames, slice_minutes)
-    rows, stats = _frame_sums(df, columns, frames, keys, ts, width)
-    keyed = ~F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
-    out = {}
-    for c in columns:
+    rows = _frame_sums(df, columns, frames, keys, ts, width)
+    keyed = " and ".join(f"`{k}` is not null" for k in keys)
+    out = []
+    for i, c in enumerate(columns):
         if zscore_hours:
-            s = stats[f"{zscore_hours}h", c]
-            out[f"{c}_zscore"] = F.when(keyed, (F.col(c) - s.mean) / (s.sample_std + EPSILON))
+            n, total, squares = (f"_{p}_{zscore_hours}h_{i}" for p in "nsq")
+            z = f"(`{c}` - {_mean(n, total)}) / ({_sample_std(n, total, squares)} + {EPSILON!r}D)"
+            out.append(f"if({keyed}, {z}, null) as `{c}_zscore`")
         for h in stat_hours:
-            s = stats[f"{h}h", c]
-            out[f"{c}_rolling_{h}h_mean"] = F.when(keyed, s.mean)
-            out[f"{c}_rolling_{h}h_std"] = F.when(keyed, s.sample_std)
-    return rows.select(*df.columns, *[e.alias(name) for name, e in out.items()])
+            n, total, squares = (f"_{p}_{h}h_{i}" for p in "nsq")
+            out.append(f"if({keyed}, {_mean(n, total)}, null) as `{c}_rolling_{h}h_mean`")
+            out.append(f"if({keyed}, {_sample_std(n, total, squares)}, null) as `{c}_rolling_{h}h_std`")
+    return rows.selectExpr(*[f"`{c}`" for c in df.columns], *out)
 
 
 def with_station_rolling(df: DataFrame, columns: list[str] | None = None, hours: int = 1, ts: str = "timestamp",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railtempo.operators.ranks import exact_percentiles
+from railtempo.operators.ranks import exact_percentiles_of
 
 
 def fit_scaler(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -38,5 +38,5 @@ def fit_normaliser(df: DataFrame, columns: list[str]) -> DataFrame:
 def cap_outliers(df: DataFrame, columns: list[str], share: float = 0.99) -> DataFrame:
     """Clip each column at its ``share`` percentile after nulls became 0."""
     filled = df.fillna(0, subset=columns)
-    caps = {c: exact_percentiles(filled, c, {"cap": share}).scalar() for c in columns}
-    return filled.withColumns({c: F.least(F.col(c).cast("double"), cap) for c, cap in caps.items()})
+    caps = exact_percentiles_of(filled, {c: (c, share) for c in columns}).select(F.struct("*")).scalar()
+    return filled.withColumns({c: F.least(F.col(c).cast("double"), caps.getField(c)) for c in columns})

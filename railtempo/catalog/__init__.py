@@ -1,6 +1,6 @@
 """Queries over the driver tables and, for most of them, equivalent SQL."""
 
-from railtempo.catalog import detection, features, feeds, reports
+from railtempo.catalog import detection, features, feeds, reports, streams
 from railtempo.catalog.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "detection", "features", "feeds", "reports"]
+__all__ = ["QUERIES", "SQL", "detection", "features", "feeds", "reports", "streams"]

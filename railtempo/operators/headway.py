@@ -1,7 +1,7 @@
 """Headway: seconds since the previous arrival at the same station and direction.
 
-One busy station may hold a large share of all rows, so nothing here is partitioned by the key alone. Time is cut into
-slices at least as long as the headway horizon; what a slice must know of its predecessor travels as a carry row.
+One busy station may hold a large share of all rows, so no rows are partitioned by the key alone. Time is cut into
+slices; what a slice must know of those before it travels as a carry row.
 """
 
 from __future__ import annotations
@@ -20,14 +20,18 @@ KEYS = ["current_station", "direction"]
 
 
 def with_headway(df: DataFrame, horizon_minutes: int = 30, keys: list[str] | None = None,
-                 out: str = "headway_seconds") -> DataFrame:
+                 out: str = "headway_seconds", slice_minutes: int | None = None) -> DataFrame:
     """Headway in arrival order; ties broken by id. Null arrival or a gap of the horizon or more gives null.
 
-    A gap under the horizon can only reach back into the slice before, and of that slice only its latest arrival
-    matters: one carry row per (key, slice), found with a partial aggregate.
+    A gap under the horizon reaches back one horizon at most, and of the slices there only the latest arrival matters:
+    one carry row per (key, slice), from slice maxima found with a partial aggregate. ``slice_minutes`` (default: the
+    horizon, which it must divide) spreads dense keys more finely.
     """
     keys = keys or KEYS
-    width = horizon_minutes * 60 * SECOND
+    horizon = horizon_minutes * 60 * SECOND
+    width = (slice_minutes or horizon_minutes) * 60 * SECOND
+    if horizon % width:
+        raise ValueError("the horizon must be a whole number of slices")
     payload = [c for c in df.columns if c != out]
     arrival = micros("arrival_time")
     rows = df.select(
@@ -37,16 +41,17 @@ def with_headway(df: DataFrame, horizon_minutes: int = 30, keys: list[str] | Non
         F.coalesce(floor_div(arrival, width), F.pmod(F.xxhash64("id"), F.lit(1024))).alias("_slice"),
         F.lit(False).alias("_carry"),
     )
-    timed = rows.filter("_us is not null")
+    before = W.partitionBy(*keys).orderBy("_slice").rangeBetween(-(horizon // width), -1)
     carry = (
-        timed.groupBy(*keys, "_slice").agg(F.max("_us").alias("_us"))
-        .select(*keys, (F.col("_slice") + 1).alias("_slice"), "_us", F.lit(True).alias("_carry"))
+        rows.filter("_us is not null").groupBy(*keys, "_slice").agg(F.max("_us").alias("_top"))
+        .select(*keys, "_slice", F.max("_top").over(before).alias("_us"), F.lit(True).alias("_carry"))
+        .filter("_us is not null")
     )
     merged = rows.unionByName(carry, allowMissingColumns=True)
     order = W.partitionBy(*keys, F.col("_us").isNull(), "_slice").orderBy("_us", F.col("_carry").desc(), "id")
     gap = F.col("_us") - F.lag("_us").over(order)
     return (
-        merged.withColumn(out, F.when(gap < width, floor_div(gap, SECOND).cast("int")))
+        merged.withColumn(out, F.when(gap < horizon, floor_div(gap, SECOND).cast("int")))
         .filter(~F.col("_carry"))
         .select(*payload, out)
     )

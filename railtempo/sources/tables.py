@@ -7,6 +7,8 @@ registry) is written whole under a new version; readers take the newest version,
 from __future__ import annotations
 
 import time
+import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +16,20 @@ from pyspark.sql import functions as F
 from railtempo.operators.upsert import activate, apply_resolutions
 
 
-def append_by_date(df: DataFrame, path: str, ts: str) -> None:
-    """Append to a fact table. Rows of a date are spread over several files by hash, sorted by time for row-group
-    skipping; a busy date is not forced through one task."""
-    dated = df.withColumn("date", F.to_date(ts))
-    dated.sortWithinPartitions("date", ts).write.mode("append").partitionBy("date").parquet(path)
+def batch_label(checkpoint: str, batch_id: int) -> str:
+    """Name of a stream's micro-batch, the same when the batch is repeated after a failure."""
+    return f"{zlib.crc32(checkpoint.encode()):08x}-{batch_id}"
+
+
+def append_by_date(df: DataFrame, path: str, ts: str, batch: str | None = None) -> None:
+    """Append to a fact table, laid out as ``batch=.../date=...``.
+
+    A repeated micro-batch overwrites its own folder, so nothing is stored twice. Rows are rebalanced by date: small dates
+    share a task and large ones are split, which bounds both file count and task size. Files are sorted by time for
+    row-group skipping.
+    """
+    dated = df.withColumn("date", F.to_date(ts)).hint("rebalance", F.col("date")).sortWithinPartitions("date", ts)
+    dated.write.mode("overwrite").partitionBy("date").parquet(f"{path}/batch={batch or uuid.uuid4().hex}")
 
 
 def read_range(spark: SparkSession, path: str, ts: str, start=None, end=None) -> DataFrame:
@@ -28,10 +39,10 @@ def read_range(spark: SparkSession, path: str, ts: str, start=None, end=None) ->
         df = df.filter((F.col("date") >= F.to_date(F.lit(start))) & (F.col(ts) >= F.lit(start)))
     if end is not None:
         df = df.filter((F.col("date") <= F.to_date(F.lit(end))) & (F.col(ts) <= F.lit(end)))
-    return df.drop("date")
+    return df.drop("date", "batch")
 
 
-def append_positions(df: DataFrame, path: str) -> None:
+def append_positions(df: DataFrame, path: str, batch: str | None = None) -> None:
     """Positions with the defaults of missing values: timestamp now, direction 0, delay 0."""
     have = set(df.columns)
     filled = df.withColumns({
@@ -44,10 +55,10 @@ def append_positions(df: DataFrame, path: str) -> None:
                        ("schedule_adherence", "double")):
         if name not in have:
             filled = filled.withColumn(name, F.lit(None).cast(kind))
-    append_by_date(filled, path, "timestamp")
+    append_by_date(filled, path, "timestamp", batch)
 
 
-def append_anomalies(df: DataFrame, path: str) -> None:
+def append_anomalies(df: DataFrame, path: str, batch: str | None = None) -> None:
     """Anomalies with detected_at now (unless given) and not resolved; the id is a hash of the content."""
     have = set(df.columns)
     rows = df.withColumns({
@@ -59,7 +70,7 @@ def append_anomalies(df: DataFrame, path: str) -> None:
         rows = rows.withColumn("id", F.xxhash64(
             "station_id", "line", "anomaly_type", "severity", "model_name", "model_version", "detected_at",
             *[c for c in ("event_time", "source_position_id") if c in have]))
-    append_by_date(rows, path, "detected_at")
+    append_by_date(rows, path, "detected_at", batch)
 
 
 def append_resolution(spark: SparkSession, anomaly_id: int, anomalies: DataFrame, log_path: str) -> bool:

@@ -13,7 +13,7 @@ from railtempo.operators.upsert import upsert_stations
 from railtempo.plans.detection import DetectorSet, as_anomalies, with_features
 from railtempo.schemas import FEED_INTERVAL_SECONDS
 from railtempo.sources.feeds import feed_log, flatten_trips, positions_from_trips
-from railtempo.sources.tables import append_anomalies, append_by_date, append_positions, read_table, replace_table
+from railtempo.sources.tables import append_anomalies, append_by_date, append_positions, batch_label, read_table, replace_table
 from railtempo.streaming.headway import stream_headway
 
 
@@ -30,7 +30,7 @@ def start_feed_log(messages: DataFrame, path: str, checkpoint: str, once: bool =
         try:
             counted.count()
             elapsed = (time.monotonic() - begun) * 1000
-            append_by_date(counted.withColumn("processing_time_ms", F.lit(elapsed)), path, "timestamp")
+            append_by_date(counted.withColumn("processing_time_ms", F.lit(elapsed)), path, "timestamp", batch_label(checkpoint, batch_id))
         finally:
             counted.unpersist()
 
@@ -55,7 +55,7 @@ def start_ingest(messages: DataFrame, positions_path: str, stations_path: str, c
         try:
             spark = batch.sparkSession
             replace_table(upsert_stations(read_table(spark, stations_path), batch), stations_path)
-            append_positions(batch, positions_path)
+            append_positions(batch, positions_path, batch_label(checkpoint, batch_id))
         finally:
             batch.unpersist()
 
@@ -74,10 +74,11 @@ def start_scoring(positions: DataFrame, detectors: DetectorSet, anomalies_path:
             return
         found = as_anomalies(combined).persist()
         try:
-            append_anomalies(found, anomalies_path)
+            append_anomalies(found, anomalies_path, batch_label(checkpoint, batch_id))
             if subscriptions is not None and deliveries_path:
                 keyed = found.withColumn("id", F.xxhash64("station_id", "line", "anomaly_type", "severity", "event_time"))
-                route_anomalies(keyed, subscriptions).select("id", "client_id", "event_time").write.mode("append").parquet(deliveries_path)
+                route_anomalies(keyed, subscriptions).select("id", "client_id", "event_time").write.mode("overwrite").parquet(
+                    f"{deliveries_path}/batch={batch_label(checkpoint, batch_id)}")
         finally:
             found.unpersist()
 

@@ -124,11 +124,11 @@ def _(spark, sf):
     return reports.severity_histogram(reports.in_range(derived.anomalies(spark, sf)))
 
 
-@query("hourly_trend", f"""with {ANOMALIES} select {sql_stamp("date_trunc('hour', detected_at)")} as hour, count(*) as n, round(coalesce(avg(severity), 0), 5) as avg_severity
+@query("hourly_trend", f"""with {ANOMALIES} select {sql_stamp("date_trunc('hour', detected_at)")} as hour, count(*) as n, round(coalesce(avg(severity), 0), 10) as avg_severity
     from anomalies where detected_at >= {_LAST} - interval '168 hours' group by 1""")
 def _(spark, sf):
     return reports.hourly_trend(reports.in_range(derived.anomalies(spark, sf), 168)).select(
-        stamp("hour").alias("hour"), "n", F.round("avg_severity", 5).alias("avg_severity"))
+        stamp("hour").alias("hour"), "n", F.round("avg_severity", 10).alias("avg_severity"))
 
 
 @query("ordered_trend", f"""with {ANOMALIES} select {sql_stamp("date_trunc('hour', detected_at)")} as hour, count(*) as n from anomalies group by 1 order by 1""")
@@ -142,10 +142,10 @@ def _(spark, sf):
       union all select 'by_type', anomaly_type, count(*), null from d group by 2
       union all select 'by_line', line, count(*), null from d where line is not null group by 2
       union all select 'severity', b.band, count(d.id), null from (values ('low'), ('medium'), ('high')) as b(band) left join d using (band) group by 2
-      union all select 'trend', strftime(date_trunc('hour', detected_at), '%Y-%m-%d %H'), count(*), round(avg(severity), 5) from d group by 2)""")
+      union all select 'trend', strftime(date_trunc('hour', detected_at), '%Y-%m-%d %H'), count(*), round(avg(severity), 10) from d group by 2)""")
 def _(spark, sf):
     out = reports.dashboard_summary(derived.anomalies(spark, sf))
-    return out.select("section", "label", "n", F.round("avg_severity", 5).alias("avg_severity"))
+    return out.select("section", "label", "n", F.round("avg_severity", 10).alias("avg_severity"))
 
 
 _MARKERS = """markers as (select station_id, count(*) as n, max(severity) as top from anomalies where station_id is not null group by 1)"""

@@ -144,12 +144,12 @@ def _(spark, sf):
     return drained(stream_headway(as_stream(spark, late, "late"), watermark="365 days"), "append", "headway").select("id", "headway_seconds")
 
 
-@query("stream_hourly_trend", f"""with {ANOMALIES} select {sql_stamp("date_trunc('hour', detected_at)")} as hour, count(*) as n, round(avg(severity), 5) as avg_severity
+@query("stream_hourly_trend", f"""with {ANOMALIES} select {sql_stamp("date_trunc('hour', detected_at)")} as hour, count(*) as n, round(avg(severity), 10) as avg_severity
     from anomalies group by 1""")
 def _(spark, sf):
     rows = derived.anomalies(spark, sf).select("id", F.col("detected_at").cast("timestamp").alias("detected_at"), "severity")
     out = drained(aggregates.stream_hourly_trend(as_stream(spark, rows, "trend"), watermark="365 days"), "complete", "trend")
-    return out.select(stamp("hour").alias("hour"), "n", F.round("avg_severity", 5).alias("avg_severity"))
+    return out.select(stamp("hour").alias("hour"), "n", F.round("avg_severity", 10).alias("avg_severity"))
 
 
 @query("stream_ensemble", f"""with {POSITIONS}, d as (select current_station as station_id, line, time_bucket(interval '5 minutes', timestamp) as bucket, id, 0 as m,

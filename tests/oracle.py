@@ -24,7 +24,7 @@ def _plain(value):
     if isinstance(value, decimal.Decimal):
         value = float(value)
     if isinstance(value, float):
-        return None if value != value else round(value, 6) + 0.0
+        return None if value != value else value + 0.0
     if isinstance(value, datetime.datetime):
         return value.isoformat()
     return value

@@ -14,11 +14,11 @@ _LAST = "(select max(detected_at) from anomalies)"
 _DAY = f"detected_at >= {_LAST} - interval '24 hours'"
 
 
-@query("anomaly_filters", f"""with {ANOMALIES} select id from anomalies where line = 'A' and station_id = 'S1' and not resolved
+@query("anomaly_filters", f"""with {ANOMALIES} select id from anomalies where line = 'C' and station_id = 'S1' and not resolved
     and detected_at >= timestamp '2024-01-05 00:00:00' and detected_at <= timestamp '2024-01-25 12:00:00'""")
 def _(spark, sf):
     return filters.anomaly_filter(
-        derived.anomalies(spark, sf), line="A", station_id="S1", resolved=False,
+        derived.anomalies(spark, sf), line="C", station_id="S1", resolved=False,
         start=F.lit("2024-01-05 00:00:00"), end=F.lit("2024-01-25 12:00:00")).select("id")
 
 

@@ -118,4 +118,13 @@ def with_headway_by_processing(df: DataFrame, horizon_minutes: int = 30, keys: l
         value = pa.array(np.trunc(np.where(found, gap, 0)).astype("int32"), mask=~found)
         return table.select(payload).append_column(out, value).filter(table["_home"])
 
-    return map_sorted_groups(merged, [*keys, "_slice"], ["_us", "id"], previous, schema)
+    def undefeated(table: pa.Table) -> pa.Table:
+        arrival = table["_arrival"].fill_null(missing).to_numpy()
+        later = np.concatenate([np.maximum.accumulate(arrival[::-1])[::-1][1:], [missing]])
+        seen = table["_us"].to_numpy()
+        keep = (arrival > later) & (seen > seen[-1] - horizon)
+        kept = table.filter(pa.array(keep))
+        at = kept.schema.get_field_index("_home")
+        return kept.set_column(at, kept.schema.field(at), pa.array(np.zeros(kept.num_rows, dtype=bool)))
+
+    return map_sorted_groups(merged, [*keys, "_slice"], ["_us", "id"], previous, schema, undefeated)

@@ -171,11 +171,14 @@ def with_rolling_percentile(
     keys: list[str] | None = None,
     ts: str = "timestamp",
     slice_minutes: int | None = None,
+    dense_rows: int = 2_000_000,
 ) -> DataFrame:
     """Average rank of the current value among the non-null values of the frame, divided by their number.
 
     Work is grouped by (key, slice). A group holds its own rows, the rows that leave the frame during the slice, and for
-    slices shorter than the frame a histogram of the slices in between. Choose ``slice_minutes`` for dense keys.
+    slices shorter than the frame a histogram of the slices in between. Groups of more than ``dense_rows`` rows are not
+    brought together; they are ranked by running sums instead (:func:`_dense_percentiles`), with the same result.
+    ``id`` must be unique.
     """
     columns = columns or METRIC_COLUMNS
     keys = keys or KEYS
@@ -256,7 +259,52 @@ def with_rolling_percentile(
             result = result.append_column(name, pa.array(own_share, mask=np.isnan(own_share)))
         return result
 
-    return map_sorted_groups(merged, [*keys, "_slice"], [], rank_groups, schema)
+    # few rows by construction: at most the number of all rows divided by dense_rows
+    dense = (
+        spread.filter(keyed).groupBy(*keys, (F.col("_slice0") + F.col("_kind") * reach).alias("_slice"))
+        .agg(F.count("*").alias("_rows")).filter(F.col("_rows") > dense_rows).select(*keys, "_slice")
+    )
+    # looked up before planning: without dense groups, the usual case, the plan stays a single shuffle
+    if dense.isEmpty():
+        return map_sorted_groups(merged, [*keys, "_slice"], [], rank_groups, schema)
+    sparse = map_sorted_groups(merged.join(dense, [*keys, "_slice"], "left_anti"), [*keys, "_slice"], [], rank_groups, schema)
+    # a dense slice looks back over the slices of one frame
+    seen = dense.withColumn("_slice", F.explode(F.sequence(F.col("_slice") - reach, F.col("_slice")))).distinct()
+    sliced = df.withColumn("_slice", home_slice)
+    ranks = _dense_percentiles(sliced.join(seen, [*keys, "_slice"], "left_semi"), columns, names, length, keys, ts, width)
+    ranked = sliced.join(dense, [*keys, "_slice"], "left_semi").drop("_slice").join(ranks, "id", "left")
+    return sparse.unionByName(ranked)
+
+
+def _dense_percentiles(df: DataFrame, columns: list[str], names: list[str], length: int, keys: list[str], ts: str,
+                       slice_micros: int, bits: int = 32) -> DataFrame:
+    """Percentile per id from running sums alone: (id, one column per name).
+
+    A value is smaller exactly if, at the highest bit in which the two differ, it has 0 and the other has 1. So for each
+    bit the rows sharing the higher bits are counted with the frame machinery, and rows with bit 1 add the zeros they see.
+    One more level, the whole value, counts equals. No group is ever held in memory.
+    """
+    shifted = [f"bigint(`{c}`) + {1 << (bits - 1)}L" for c in columns]
+    entries = ", ".join(f"struct({i} as _i, {u} as _u)" for i, u in enumerate(shifted))
+    long = (
+        df.selectExpr("id", f"`{ts}`", *[f"`{k}`" for k in keys], f"inline(array({entries}))").filter("_u is not null")
+        .withColumn("_b", F.explode(F.sequence(F.lit(-1), F.lit(bits - 1))))
+        .withColumns({
+            "_prefix": F.expr("shiftright(_u, _b + 1)"),
+            "_bit": F.expr("if(_b < 0, 0, cast(shiftright(_u, greatest(_b, 0)) & 1 as int))"),
+        })
+        .withColumn("_zero", 1 - F.col("_bit")).drop("_u")
+    )
+    sums = _frame_sums(long, ["_zero"], {"f": length}, [*keys, "_i", "_b", "_prefix"], ts, slice_micros)
+    shares = []
+    for i, name in enumerate(names):
+        smaller = f"sum(if(_i = {i} and _b >= 0 and _bit = 1, _s_f_0, 0L))"
+        equal = f"sum(if(_i = {i} and _b = -1, _s_f_0, 0L))"
+        present = f"max(if(_i = {i} and _b = {bits - 1}, _n_f_0, null))"
+        shares.append(F.expr(f"({smaller} + ({equal} + 1) / 2) / {present}").alias(name))
+    return sums.groupBy("id").agg(*shares)
+
+
 
 
 def with_global_zscore(df: DataFrame, column: str) -> DataFrame:

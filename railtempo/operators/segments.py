@@ -27,11 +27,13 @@ def segment_starts(table: pa.Table, columns: list[str]) -> np.ndarray:
 
 
 def map_sorted_groups(
-    df: DataFrame, group: list[str], order: list[str], work: Callable[[pa.Table, np.ndarray], pa.Table], schema
+    df: DataFrame, group: list[str], order: list[str], work: Callable[[pa.Table, np.ndarray], pa.Table], schema,
+    carry: Callable[[pa.Table], pa.Table] | None = None,
 ) -> DataFrame:
     """Hash-partition by ``group``, sort, and hand ``work`` runs of whole groups with the row numbers where they begin.
 
-    Unlike one Python call per group this stays fast when groups are small and many.
+    Unlike one Python call per group this stays fast when groups are small and many. With ``carry`` a group longer than
+    one call is cut: ``carry`` turns the rows seen into the few that the rest of the group still needs to see.
     """
     spark = df.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -50,6 +52,10 @@ def map_sorted_groups(
                 cut = int(starts[-1])
                 yield from work(table.slice(0, cut), starts[:-1]).to_batches()
                 held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+            elif carry is not None:
+                yield from work(table, starts).to_batches()
+                kept = carry(table)
+                held, rows = kept.to_batches(), kept.num_rows
         if rows:
             table = pa.Table.from_batches(held).combine_chunks()
             yield from work(table, segment_starts(table, group)).to_batches()

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from railtempo.functions import features, scalar as fx
-from railtempo.operators import ranks, rolling
+from railtempo.operators import ranks, rolling, segments
 from railtempo.operators.headway import latest_above, with_headway, with_headway_by_processing
 from railtempo.operators.sequences import sliding_sequences
 
@@ -113,11 +113,12 @@ def _frame(spark, pdf):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("slice_minutes", [None, 20])
-def test_rolling_equals_pandas(spark, seed, slice_minutes):
+@pytest.mark.parametrize("slice_minutes,dense_rows", [(None, 10 ** 6), (20, 10 ** 6), (None, 5), (20, 3)])
+def test_rolling_equals_pandas(spark, seed, slice_minutes, dense_rows):
     pdf = _random_positions(seed)
     df = _frame(spark, pdf)
-    got = rolling.with_rolling_percentile(rolling.with_rolling(df, slice_minutes=slice_minutes), slice_minutes=slice_minutes).toPandas()
+    got = rolling.with_rolling_percentile(
+        rolling.with_rolling(df, slice_minutes=slice_minutes), slice_minutes=slice_minutes, dense_rows=dense_rows).toPandas()
     got = got.set_index("id").sort_index()
     want = pdf.copy()
     for c in rolling.METRIC_COLUMNS:
@@ -163,11 +164,16 @@ def brute_processing_headway(pdf, horizon=1800):
     return out
 
 
-@pytest.mark.parametrize("slice_minutes", [30, 5])
-def test_processing_headway_brute_force(spark, slice_minutes):
+@pytest.mark.parametrize("slice_minutes,rows_per_call", [(30, 200_000), (5, 200_000), (30, 4)])
+def test_processing_headway_brute_force(spark, monkeypatch, slice_minutes, rows_per_call):
+    # tiny calls cut groups in the middle, which must not be visible in the result
+    monkeypatch.setattr(segments, "ROWS_PER_CALL", rows_per_call)
+    if rows_per_call < 100:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
     pdf = _random_positions(7, n=900)
     df = _frame(spark, pdf).select("id", "timestamp", "current_station", "direction", "arrival_time")
     got = {r["id"]: r["headway_seconds"] for r in with_headway_by_processing(df, slice_minutes=slice_minutes).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = brute_processing_headway(pdf)
     assert got == want and any(v is not None and v < 0 for v in want.values())
 

@@ -198,3 +198,8 @@ def _(spark, sf):
 def _(spark, sf):
     rows = moving(spark, sf).join(derived.labels(spark, sf), "id")
     return evaluate.augment_anomalies(rows).select("id", "headway_seconds", "dwell_time_seconds", "delay_seconds", "is_anomaly")
+
+
+@query("shuffled_rows", f"with {POSITIONS} select id, line, delay_seconds from positions")
+def _(spark, sf):
+    return evaluate.shuffled(derived.positions(spark, sf)).select("id", "line", "delay_seconds")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from railtempo.catalog.base import ANOMALIES, CALENDAR, HEADWAYS, POSITIONS, query, r6, sql_stamp, stamp
 from railtempo.functions import scalar as fx
-from railtempo.functions.features import scoring_projection, with_calendar, zero_filled
+from railtempo.functions.features import scoring_projection, with_calendar, with_station_slots, zero_filled
 from railtempo.operators import ranks, rolling, scaling
 from railtempo.operators.headway import with_headway, with_headway_by_processing
 from railtempo.operators.sequences import sliding_sequences
@@ -103,6 +104,12 @@ def _(spark, sf):
     return derived.positions(spark, sf).filter(fx.same_line("line", F.lit("6x"))).select("id", "line")
 
 
+@query("station_one_hot")
+def _(spark, sf):
+    encoded = with_station_slots(derived.positions(spark, sf).filter("current_station is not null"))
+    return encoded.select("id", "station_slot", F.element_at(vector_to_array("station_vector"), F.col("station_slot") + 1).alias("at_slot"))
+
+
 @query("scoring_projection", f"""with {HEADWAYS} select id, {sql_stamp('timestamp')} as at, trip_id, route_id, line, current_station,
     headway_seconds, dwell_time_seconds, delay_seconds, direction from moving""")
 def _(spark, sf):

@@ -94,3 +94,8 @@ def augment_anomalies(df: DataFrame, factor: float = 2.0, columns: list[str] | N
         c: F.col(c).cast("double") + F.randn(seed + i) * 0.1 for i, c in enumerate(columns)})
     base = df.withColumns({c: F.col(c).cast("double") for c in columns})
     return base.unionByName(noisy.select(*base.columns))
+
+
+def shuffled(df: DataFrame, seed: int = 42) -> DataFrame:
+    """Rows in random order: a range-partitioned sort by a random number, for files that are read in order."""
+    return df.orderBy(F.rand(seed))

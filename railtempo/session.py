@@ -57,6 +57,6 @@ def checkpoint_root(spark: SparkSession) -> str:
 def checkpointed(df):
     """Cut lineage through the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(os.path.join(checkpoint_root(df.sparkSession), "rdd"))
     return df.checkpoint(eager=True)

@@ -7,7 +7,6 @@ that radius brings each linked pair together at the home of its smaller member;
 """
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -63,9 +62,9 @@ def _remainder(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=4)
-def anchor_offsets(extra: int) -> tuple[np.ndarray, ...]:
-    """For e = 0..extra the error patterns by syndrome: at e = 0 the only one of weight <= 3, else all of weight 3 + e."""
+def anchor_offsets(extra: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """For e = 0..extra the error patterns by syndrome: at e = 0 the only one of weight <= 3, else all of weight 3 + e.
+    These travel to the tasks (a third of a megabyte for two bits)."""
     rows = []
     for e in range(extra + 1):
         weights = range(RADIUS + 1) if e == 0 else (RADIUS + e,)
@@ -77,9 +76,9 @@ def anchor_offsets(extra: int) -> tuple[np.ndarray, ...]:
     return tuple(rows)
 
 
-def _near(half: np.ndarray, e: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, codeword) of all codewords whose distance from ``half`` is 3 + e, or at most 3 for e = 0."""
-    patterns, starts = anchor_offsets(bits)[e]
+def _near(half: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, codeword) of all codewords that differ from ``half`` by one of a table's patterns."""
+    patterns, starts = table
     syndrome = _remainder(half)
     count = starts[syndrome + 1] - starts[syndrome]
     row = np.repeat(np.arange(len(half)), count)
@@ -87,14 +86,14 @@ def _near(half: np.ndarray, e: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return row, half[row] ^ patterns[starts[syndrome][row] + within]
 
 
-def anchors(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, anchor, is home) of every anchor within reach of the fingerprints."""
+def anchors(prints: np.ndarray, tables: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor, is home) of every anchor within reach of the fingerprints; tables are ``anchor_offsets``."""
     low, high = prints & (1 << HALF) - 1, prints >> HALF & (1 << HALF) - 1
     found = []
-    for e in range(bits + 1):
-        row, first = _near(low, e, bits)
-        for f in range(bits + 1 - e):
-            inner, second = _near(high[row], f, bits)
+    for e, table in enumerate(tables):
+        row, first = _near(low, table)
+        for f, other in enumerate(tables[:len(tables) - e]):
+            inner, second = _near(high[row], other)
             found.append((row[inner], second << HALF | first[inner], np.full(len(inner), e == f == 0)))
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
@@ -106,11 +105,13 @@ def links(prints: DataFrame, bits: int = 2, column: str = "fingerprint") -> Data
     however they cluster. Nulls are left out.
     """
 
+    tables = anchor_offsets(bits)
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 20_000):
                 part = batch.column(0).slice(at, 20_000).to_numpy()
-                row, anchor, home = anchors(part, bits)
+                row, anchor, home = anchors(part, tables)
                 yield pa.record_batch({"anchor": anchor, "print": part[row], "home": home})
 
     distinct = prints.select(F.col(column).alias("print")).filter("print is not null").distinct()

@@ -5,7 +5,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railtempo.llm import bpe, quality, simhash
+from railtempo.llm import ann, bpe, chat, decontaminate, licenses, quality, secrets, simhash, url_filter, warc
 
 QUERIES, SQL = {}, {}
 
@@ -33,6 +33,56 @@ def public_bpe() -> bpe.ByteBpe:
     return bpe.ByteBpe.load(os.path.join(folder, name) if folder else public_tokenizers.path(name), public_tokenizers.PATTERN)
 
 
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+# lists are built from pages on which junk was found: words with runs of marks
+JUNK = "[#%&*$]{3}"
+
+
+def _sql_case(rules, value):
+    text = "null"
+    for action, rule in sorted(rules, key=lambda r: (len(r[1]), r[1])):
+        name, _, rest = rule.partition("/")
+        fits = f"(host = '{name}' or ends_with(host, '.{name}')) and starts_with(path, '/{rest}')"
+        text = f"case when {fits} then '{rule if value == 'rule' else action}' else {text} end"
+    return text
+
+
+URL_SQL = rf"""
+with cut as (
+  select page_id, html, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end as rest from pages),
+parts as (
+  select page_id, html, rest,
+    coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path,
+    list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'),
+      lambda p: p <> '' and not starts_with(p, 'ref=') and not starts_with(p, 'utm_'))) as params
+  from cut),
+named as (
+  select page_id, html, host, path, case when rest is not null then
+    host || rtrim(path, '/') || case when len(params) > 0 then '?' || array_to_string(params, '&') else '' end end as canonical
+  from parts),
+listed as (select distinct canonical from named where regexp_matches(html, '{JUNK}') and canonical is not null)
+select page_id, host, path, {_sql_case(RULES, "rule")} as rule,
+  coalesce({_sql_case(RULES, "verdict")}, case when canonical in (from listed) then 'block' else 'allow' end) as verdict
+from named"""
+
+
+@query("op1_url_filter", URL_SQL)
+def op1_url_filter(spark, sf_dir):
+    """Verdict on every page's URL; the list holds the URLs of all pages with junk."""
+    pages = table(spark, sf_dir, "pages")
+    found = url_filter.judge(pages.select("page_id", "url"), pages.filter(F.col("html").rlike(JUNK)).select("url"), RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op2_ann")
+def op2_ann(spark, sf_dir):
+    """The five nearest vectors of every fiftieth one, among all."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5).select("query_id", "rank", "vec_id", "score")
+
+
 @query("op3_simhash")
 def op3_simhash(spark, sf_dir):
     """Fingerprint and near-duplicate component of every document."""
@@ -40,6 +90,33 @@ def op3_simhash(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id")
 
 
+@query("op4_secrets")
+def op4_secrets(spark, sf_dir):
+    """Every secret in every document, with its score."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(docs), ["doc_id"]).select("doc_id", "value", "before", "after", F.round("score", 6).alias("score"))
+
+
+@query("op5_decontamination")
+def op5_decontamination(spark, sf_dir):
+    """Every document with a passage of a test item, and the item."""
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
+@query("op6_warc")
+def op6_warc(spark, sf_dir):
+    """All pages as WARC records, read back from their headers."""
+    return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
+
+
+@query("op7_licenses")
+def op7_licenses(spark, sf_dir):
+    """Every paragraph of every document that states a licence."""
+    docs = table(spark, sf_dir, "documents")
+    found = licenses.scan(docs, licenses.train(docs), ["doc_id"])
+    return found.withColumn("probability", F.round("probability", 6)).withColumn("similarity", F.round("similarity", 6))
+
+
 def quality_scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents with held_out, score and predicted; learnt from the labels that are not held out."""
     model = quality.train(docs, labels.filter(~quality.held_out("doc_id")))
@@ -62,3 +139,12 @@ def op9_bpe(spark, sf_dir):
     return bpe.with_bytes(encoded, coder).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op10_chat")
+def op10_chat(spark, sf_dir):
+    """All conversations and one that holds control strings, formatted as prefix trees and read back."""
+    hard = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text").union(extra)
+    return chat.digests(rows, public_bpe())

@@ -2,8 +2,8 @@
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -21,24 +21,29 @@ class ByteBpe:
         with open(path, "rb") as file:
             return cls(file.read(), pattern)
 
+    def __getstate__(self):
+        return {"lines": self.lines, "pattern": self.pattern}  # tasks build their own encoder
+
+    def _ranks(self) -> dict[bytes, int]:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in self.lines.splitlines() if line)}
+
     @property
     def encoding(self) -> tiktoken.Encoding:
-        return _encoding(self.lines, self.pattern)
+        if "built" not in self.__dict__:
+            self.built = tiktoken.Encoding("byte-bpe", pat_str=self.pattern, mergeable_ranks=self._ranks(), special_tokens={})
+        return self.built
+
+    @property
+    def table(self) -> dict[int, bytes]:
+        """The bytes of each id."""
+        if "bytes_of" not in self.__dict__:
+            self.bytes_of = {rank: raw for raw, rank in self._ranks().items()}
+        return self.bytes_of
 
     def boundaries(self, text: str, begin: int, end: int) -> list[int]:
         """Where pre-tokens end in ``text`` between two places, counting from its start."""
-        return [m.end() for m in _splitter(self.pattern).finditer(text) if begin <= m.end() <= end]
-
-
-@lru_cache(maxsize=4)
-def _encoding(lines: bytes, pattern: str) -> tiktoken.Encoding:
-    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines.splitlines() if line)}
-    return tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
-@lru_cache(maxsize=4)
-def _splitter(pattern: str):
-    return regex.compile(pattern)  # its \s is the white space of Unicode, as in the encoder
+        # this module's white space is Unicode's, as in the encoder
+        return [m.end() for m in regex.finditer(self.pattern, text) if begin <= m.end() <= end]
 
 
 def _encode_udf(bpe: ByteBpe):
@@ -46,7 +51,12 @@ def _encode_udf(bpe: ByteBpe):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = bpe.encoding
         for batch in batches:
-            yield pa.array([own.encode_ordinary(t) if t else [] for t in batch.to_pylist()], pa.list_(pa.int32()))
+            parts = []
+            for at in range(0, len(batch), 256):  # numbers are kept as 32-bit arrays, never as Python lists
+                ids = [own.encode_to_numpy(t, disallowed_special=()) if t else np.empty(0, np.uint32) for t in batch.slice(at, 256).to_pylist()]
+                places = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
+                parts.append(pa.ListArray.from_arrays(places, np.concatenate(ids).astype(np.int32)))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return encode
 
@@ -92,17 +102,15 @@ def long_pieces(texts: DataFrame, bpe: ByteBpe, chunk: int, overlap: int) -> Dat
 
     whole = Window.partitionBy("key")
     order = whole.orderBy("part")
-    found = spread.withColumn("ends", ends("piece"))
-    synced = found.withColumn("begin", F.when(F.col("part") == 0, 0).otherwise(
-        F.array_min(F.array_intersect(F.lag("ends.tail").over(order), "ends.head"))))
-    placed = synced.withColumn("until", F.lead("begin").over(order)).withColumn(
+    begin = F.when(F.col("part") == 0, 0).otherwise(F.array_min(F.array_intersect(F.lag("ends.tail").over(order), "ends.head")))
+    placed = spread.withColumn("ends", ends("piece")).withColumn("begin", begin).withColumn("until", F.lead("begin").over(order)).withColumn(
         "last", F.lead("part").over(order).isNull()).withColumn("broken", F.max(F.col("begin").isNull()).over(whole))
-    good = placed.filter("not broken").select("key", "part", F.when(F.col("last"), F.expr("substring(piece, begin + 1)")).otherwise(
-        F.expr(f"substring(piece, begin + 1, {chunk} + until - begin)")).alias("piece"))
-    broken = placed.filter("broken").groupBy("key").agg(F.lit(0).alias("part"), F.array_join(F.transform(F.sort_array(F.collect_list(
-        F.struct("part", F.when(F.col("last"), F.col("piece")).otherwise(F.substring("piece", F.lit(1), F.lit(chunk))).alias("p")))),
-        lambda x: x["p"]), "").alias("piece"))
-    return good.union(broken)
+    inside = F.when(F.col("broken"), F.when(F.col("last"), F.col("piece")).otherwise(F.substring("piece", F.lit(1), F.lit(chunk)))).when(
+        F.col("last"), F.expr("substring(piece, begin + 1)")).otherwise(F.expr(f"substring(piece, begin + 1, {chunk} + until - begin)"))
+    # rows of a key lie together already: joining the chunks of a text that could not be stitched takes no shuffle
+    joined = placed.groupBy("key", F.when(F.col("broken"), 0).otherwise(F.col("part")).alias("to")).agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("part", inside.alias("p")))), lambda x: x["p"]), "").alias("piece"))
+    return joined.select("key", F.col("to").alias("part"), "piece").repartition("key", "part")
 
 
 def with_bytes(df: DataFrame, bpe: ByteBpe, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -110,8 +118,8 @@ def with_bytes(df: DataFrame, bpe: ByteBpe, ids: str = "ids", into: str = "decod
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = bpe.encoding
+        table = bpe.table
         for batch in batches:
-            yield pa.array([None if x is None else own.decode_bytes(x) for x in batch.to_pylist()], pa.binary())
+            yield pa.array([b"".join(map(table.__getitem__, x.values.to_pylist())) if x.is_valid else None for x in batch], pa.binary())
 
     return df.withColumn(into, decode(F.col(ids)))

@@ -78,9 +78,9 @@ def with_ids(
     once = marked.filter("_key is null").withColumn(into, encode(F.col(text)))
     pieces = long_pieces(docs.filter(~short).select(F.col(text).alias("text")), bpe, chunk, overlap)
     long_ids = pieces.withColumn("ids", encode("piece")).groupBy("key").agg(F.flatten(F.transform(
-        F.sort_array(F.collect_list(F.struct("part", "ids"))), lambda p: p["ids"])).alias(into))
-    many = marked.filter("_key is not null").join(long_ids, F.col("_key") == F.col("key")).select(*docs.columns, into)
-    return once.select(*docs.columns, into).union(many)
+        F.sort_array(F.collect_list(F.struct("part", "ids"))), lambda p: p["ids"])).alias("_ids"))
+    many = marked.filter("_key is not null").join(long_ids.withColumnRenamed("key", "_of"), F.col("_key") == F.col("_of")).select(*(c for c in docs.columns if c != into), F.col("_ids").alias(into))
+    return once.select(*(c for c in docs.columns if c != into), into).union(many)
 
 
 def long_pieces(texts: DataFrame, bpe: ByteBpe, chunk: int, overlap: int) -> DataFrame:

@@ -22,29 +22,43 @@ KEYS = ["current_station", "direction"]
 EPSILON = 1e-7
 
 
-def _mean(n: str, total: str) -> str:
-    return f"if({n} > 0, {total} / {n}, null)"
+MILLIONTHS = 1_000_000
 
 
-def _sample_std(n: str, total: str, squares: str) -> str:
-    """Sample deviation from integer sums: exact in 64 bits where the products fit, in doubles beyond."""
-    exact = f"cast(try_subtract(try_multiply({n}, {squares}), try_multiply({total}, {total})) as double)"
-    rounded = f"(cast({n} as double) * {squares} - cast({total} as double) * {total})"
-    return f"if({n} > 1, sqrt(greatest(coalesce({exact}, {rounded}), 0D) / (cast({n} as double) * ({n} - 1))), null)"
+def _scales(df: DataFrame, columns: list[str]) -> list[int]:
+    """1 for whole numbers; columns of doubles, floats and decimals are summed in millionths, so that sums stay exact."""
+    kinds = dict(df.dtypes)
+    whole = ("tinyint", "smallint", "int", "bigint")
+    for c in columns:
+        if not (kinds[c] in whole or kinds[c] in ("float", "double") or kinds[c].startswith("decimal")):
+            raise TypeError(f"{c} is {kinds[c]}, not a number")
+    return [1 if kinds[c] in whole else MILLIONTHS for c in columns]
+
+
+def _mean(n: str, total: str, scale: int) -> str:
+    return f"if({n} > 0, {total} / {n} / {scale}D, null)"
+
+
+def _sample_std(n: str, total: str, squares: str, scale: int) -> str:
+    """Sample deviation from exact sums; their products are taken in 38 digits."""
+    wide = "cast({} as decimal(38,0))".format
+    spread = f"cast({wide(n)} * {wide(squares)} - {wide(total)} * {wide(total)} as double)"
+    return f"if({n} > 1, sqrt({spread} / (cast({n} as double) * ({n} - 1))) / {scale}D, null)"
 
 
 def _frame_sums(df: DataFrame, columns: list[str], frames: dict[str, int], keys: list[str], ts: str,
                 slice_micros: int) -> DataFrame:
-    """Rows of ``df`` with running integer sums ``_n_<frame>_<i>``, ``_s_...`` and ``_q_...`` (count, sum, squares)."""
+    """Rows of ``df`` with exact running sums ``_n_<frame>_<i>``, ``_s_...`` and ``_q_...`` (count, sum, squares)."""
     if any(length % slice_micros for length in frames.values()):
         raise ValueError("each frame length must be a whole number of slices")
     parts = [f"_{p}{i}" for i in range(len(columns)) for p in "nsq"]
     key_list = ", ".join(f"`{k}`" for k in keys)
     timed = df.withColumn("_t0", micros(ts))
+    units = [f"bigint(`{c}`)" if scale == 1 else f"bigint(round(`{c}` * {scale}D))" for c, scale in zip(columns, _scales(df, columns))]
     moments = [
-        expr for i, c in enumerate(columns) for expr in (
-            f"if(`{c}` is null, 0L, 1L) as _n{i}", f"coalesce(bigint(`{c}`), 0L) as _s{i}",
-            f"coalesce(bigint(`{c}`) * bigint(`{c}`), 0L) as _q{i}")
+        expr for i, (c, unit) in enumerate(zip(columns, units)) for expr in (
+            f"if(`{c}` is null, 0L, 1L) as _n{i}", f"coalesce({unit}, 0L) as _s{i}",
+            f"coalesce(cast({unit} as decimal(19,0)) * {unit}, 0) as _q{i}")
     ]
     # own row (kind 0, +) and one copy per frame (kind k, -) at the moment the row leaves that frame
     shifts = ", ".join(f"{length}L" for length in frames.values())
@@ -61,7 +75,7 @@ def _frame_sums(df: DataFrame, columns: list[str], frames: dict[str, int], keys:
     carries = []
     for kind, length in enumerate(frames.values(), start=1):
         inside = f"(partition by {key_list} order by _slice range between {length // slice_micros} preceding and 1 preceding)"
-        sums = ", ".join(f"coalesce(sum({p}) over {inside}, 0L) as {p}" for p in parts)
+        sums = ", ".join(f"coalesce(sum({p}) over {inside}, 0) as {p}" for p in parts)
         carries.append(f"struct({kind} as _kind, {sums})")
     carry = (
         totals.selectExpr(*[f"`{k}`" for k in keys], "_slice", f"array({', '.join(carries)}) as _all")
@@ -70,7 +84,7 @@ def _frame_sums(df: DataFrame, columns: list[str], frames: dict[str, int], keys:
     merged = emitted.unionByName(carry, allowMissingColumns=True)
     running = f"(partition by {key_list}, _slice order by _t range between unbounded preceding and current row)"
     sums = [
-        f"sum(if(_kind in (0, {kind}), _{p}{i}, 0L)) over {running} as _{p}_{label}_{i}"
+        f"sum(if(_kind in (0, {kind}), _{p}{i}, 0)) over {running} as _{p}_{label}_{i}"
         for kind, label in enumerate(frames, start=1) for i in range(len(columns)) for p in "nsq"
     ]
     return merged.selectExpr("*", *sums).filter("_kind = 0")
@@ -91,7 +105,7 @@ def with_rolling(
     ts: str = "timestamp",
     slice_minutes: int | None = None,
 ) -> DataFrame:
-    """Z-score over ``zscore_hours`` and mean and deviation over each of ``stat_hours``, for integer columns.
+    """Z-score over ``zscore_hours`` and mean and deviation over each of ``stat_hours``; fractions count in millionths.
 
     Rows with a null key get null features. ``slice_minutes`` (default: the frames' common divisor) sets how finely a
     busy key is spread; it must divide every frame.
@@ -104,15 +118,15 @@ def with_rolling(
     rows = _frame_sums(df, columns, frames, keys, ts, width)
     keyed = " and ".join(f"`{k}` is not null" for k in keys)
     out = []
-    for i, c in enumerate(columns):
+    for i, (c, scale) in enumerate(zip(columns, _scales(df, columns))):
         if zscore_hours:
             n, total, squares = (f"_{p}_{zscore_hours}h_{i}" for p in "nsq")
-            z = f"(`{c}` - {_mean(n, total)}) / ({_sample_std(n, total, squares)} + {EPSILON!r}D)"
+            z = f"(`{c}` - {_mean(n, total, scale)}) / ({_sample_std(n, total, squares, scale)} + {EPSILON!r}D)"
             out.append(f"if({keyed}, {z}, null) as `{c}_zscore`")
         for h in stat_hours:
             n, total, squares = (f"_{p}_{h}h_{i}" for p in "nsq")
-            out.append(f"if({keyed}, {_mean(n, total)}, null) as `{c}_rolling_{h}h_mean`")
-            out.append(f"if({keyed}, {_sample_std(n, total, squares)}, null) as `{c}_rolling_{h}h_std`")
+            out.append(f"if({keyed}, {_mean(n, total, scale)}, null) as `{c}_rolling_{h}h_mean`")
+            out.append(f"if({keyed}, {_sample_std(n, total, squares, scale)}, null) as `{c}_rolling_{h}h_std`")
     return rows.selectExpr(*[f"`{c}`" for c in df.columns], *out)
 
 
@@ -171,14 +185,13 @@ def with_rolling_percentile(
     keys: list[str] | None = None,
     ts: str = "timestamp",
     slice_minutes: int | None = None,
-    dense_rows: int = 2_000_000,
 ) -> DataFrame:
     """Average rank of the current value among the non-null values of the frame, divided by their number.
 
-    Work is grouped by (key, slice). A group holds its own rows, the rows that leave the frame during the slice, and for
-    slices shorter than the frame a histogram of the slices in between. Groups of more than ``dense_rows`` rows are not
-    brought together; they are ranked by running sums instead (:func:`_dense_percentiles`), with the same result.
-    ``id`` must be unique.
+    Work is grouped by (key, slice). A group sees, in order of time, what is in the frame when the slice begins (rows of
+    the slice one frame back, and for slices shorter than the frame a histogram of those in between), then its own rows
+    as they enter and the earlier ones as they leave. A long group is ranked piece by piece; between pieces only the
+    distinct values in the frame are kept. ``slice_minutes`` spreads a busy key over more tasks.
     """
     columns = columns or METRIC_COLUMNS
     keys = keys or KEYS
@@ -193,16 +206,21 @@ def with_rolling_percentile(
     measures = [f"_v{i}" for i in range(len(columns))]
     keyed = ~F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
     rows = df.select(
-        *payload, at.alias("_t0"), home_slice.alias("_slice0"), *[F.col(c).cast("long").alias(m) for c, m in zip(columns, measures)],
+        *payload, at.alias("_t0"), home_slice.alias("_slice0"),
+        *[F.col(c).cast("long" if scale == 1 else "double").alias(m) for c, m, scale in zip(columns, measures, _scales(df, columns))],
     )
-    # own rows, and the same rows once more where they leave the frame; null keys get null results and need no copy
-    kinds = F.when(keyed, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    # own rows, and the same rows where they leave the frame: there once from the slice's begin and once when they go.
+    # Null keys get null results and need no copy
+    own, leaves, there = 0, 1, 2
+    kinds = F.when(keyed, F.array(F.lit(own), F.lit(leaves), F.lit(there))).otherwise(F.array(F.lit(own)))
     spread = rows.withColumn("_kind", F.explode(kinds))
     others = [c for c in payload if c not in keys]
+    kind = F.col("_kind")
+    moved = F.when(kind == own, F.col("_slice0")).otherwise(F.col("_slice0") + reach)
     merged = spread.select(
-        *keys, *[F.when(F.col("_kind") == 0, F.col(c)).alias(c) for c in others],
-        (F.col("_t0") + F.col("_kind") * length).alias("_t"), (F.col("_slice0") + F.col("_kind") * reach).alias("_slice"),
-        "_kind", F.lit(1).cast("long").alias("_w"), *measures,
+        *keys, *[F.when(kind == own, F.col(c)).alias(c) for c in others],
+        F.when(kind == own, F.col("_t0")).when(kind == leaves, F.col("_t0") + length).otherwise(moved * width - 1).alias("_t"),
+        moved.alias("_slice"), "_kind", F.lit(1).cast("long").alias("_w"), *measures,
     )
     if reach > 1:
         long = rows.filter(keyed).select(
@@ -213,7 +231,8 @@ def with_rolling_percentile(
             long.groupBy(*keys, "_slice", "_m").agg(F.count("*").alias("_w"))
             .withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(int(reach) - 1))))
             .select(
-                *keys, (F.col("_slice") + F.col("_step")).alias("_slice"), F.lit(2).alias("_kind"), "_w",
+                *keys, (F.col("_slice") + F.col("_step")).alias("_slice"), F.lit(there).alias("_kind"), "_w",
+                ((F.col("_slice") + F.col("_step")) * width - 1).alias("_t"),
                 *[F.when(F.col("_m.i") == i, F.col("_m.v")).alias(m) for i, m in enumerate(measures)],
             )
         )
@@ -224,28 +243,30 @@ def with_rolling_percentile(
     names = [f"{c}_percentile" for c in columns]
     schema = T.StructType(df.schema.fields + [T.StructField(n, T.DoubleType()) for n in names])
 
+    def keyed_rows(table: pa.Table) -> np.ndarray:
+        found = np.ones(table.num_rows, dtype=bool)
+        for k in keys:
+            found &= table[k].is_valid().to_numpy()
+        return found
+
     def rank_groups(table: pa.Table, starts: np.ndarray) -> pa.Table:
         segment = np.zeros(table.num_rows, dtype="int64")
         segment[starts] = 1
         segment = np.cumsum(segment) - 1
         kind = table["_kind"].to_numpy()
-        keyed_row = np.ones(table.num_rows, dtype=bool)
-        for k in keys:
-            keyed_row &= table[k].is_valid().to_numpy()
+        in_key = keyed_rows(table)
         t = table["_t"].fill_null(0).to_numpy()
         w = table["_w"].to_numpy().astype("float64")
-        home = pa.array(kind == 0)
-        result = table.select(payload).filter(home)
+        result = table.select(payload).filter(pa.array(kind == own))
         for name, measure in zip(names, measures):
-            known = table[measure].is_valid().to_numpy() & keyed_row
+            known = table[measure].is_valid().to_numpy() & in_key
             v = table[measure].fill_null(0).to_numpy()
-            own, gone, hist = (np.flatnonzero(known & (kind == k)) for k in (0, 1, 2))
-            # in the frame when the slice begins: histogram and leaving rows; then own rows enter, leaving rows leave,
-            # and only then own rows ask, so that rows of the same instant count
-            source = np.concatenate([hist, gone, own, gone, own])
-            stage = np.repeat([0, 0, 1, 1, 2], [len(hist), len(gone), len(own), len(gone), len(own)])
+            enter, gone, begun = (np.flatnonzero(known & (kind == k)) for k in (own, leaves, there))
+            # own rows enter, others leave, and only then own rows ask, so that rows of the same instant count
+            source = np.concatenate([begun, gone, enter, enter])
+            stage = np.repeat([0, 1, 1, 2], [len(begun), len(gone), len(enter), len(enter)])
             moment = np.where(stage == 0, np.iinfo(np.int64).min, t[source])
-            weight = np.concatenate([w[hist], w[gone], w[own], -w[gone], np.zeros(len(own))])
+            weight = np.concatenate([w[begun], -w[gone], w[enter], np.zeros(len(enter))])
             order = np.lexsort((stage, moment, segment[source]))
             source, weight, asks = source[order], weight[order], stage[order] == 2
             part = segment[source]
@@ -255,56 +276,41 @@ def with_rolling_percentile(
             present = running - np.where(begins > 0, running[np.maximum(begins - 1, 0)], 0.0)
             share = np.full(table.num_rows, np.nan)
             share[source[asks]] = (smaller[asks] + (equal[asks] + 1) / 2) / present[asks]
-            own_share = share[kind == 0]
+            own_share = share[kind == own]
             result = result.append_column(name, pa.array(own_share, mask=np.isnan(own_share)))
         return result
 
-    # few rows by construction: at most the number of all rows divided by dense_rows
-    dense = (
-        spread.filter(keyed).groupBy(*keys, (F.col("_slice0") + F.col("_kind") * reach).alias("_slice"))
-        .agg(F.count("*").alias("_rows")).filter(F.col("_rows") > dense_rows).select(*keys, "_slice")
-    )
-    # looked up before planning: without dense groups, the usual case, the plan stays a single shuffle
-    if dense.isEmpty():
-        return map_sorted_groups(merged, [*keys, "_slice"], [], rank_groups, schema)
-    sparse = map_sorted_groups(merged.join(dense, [*keys, "_slice"], "left_anti"), [*keys, "_slice"], [], rank_groups, schema)
-    # a dense slice looks back over the slices of one frame
-    seen = dense.withColumn("_slice", F.explode(F.sequence(F.col("_slice") - reach, F.col("_slice")))).distinct()
-    sliced = df.withColumn("_slice", home_slice)
-    ranks = _dense_percentiles(sliced.join(seen, [*keys, "_slice"], "left_semi"), columns, names, length, keys, ts, width)
-    ranked = sliced.join(dense, [*keys, "_slice"], "left_semi").drop("_slice").join(ranks, "id", "left")
-    return sparse.unionByName(ranked)
-
-
-def _dense_percentiles(df: DataFrame, columns: list[str], names: list[str], length: int, keys: list[str], ts: str,
-                       slice_micros: int, bits: int = 32) -> DataFrame:
-    """Percentile per id from running sums alone: (id, one column per name).
-
-    A value is smaller exactly if, at the highest bit in which the two differ, it has 0 and the other has 1. So for each
-    bit the rows sharing the higher bits are counted with the frame machinery, and rows with bit 1 add the zeros they see.
-    One more level, the whole value, counts equals. No group is ever held in memory.
-    """
-    shifted = [f"bigint(`{c}`) + {1 << (bits - 1)}L" for c in columns]
-    entries = ", ".join(f"struct({i} as _i, {u} as _u)" for i, u in enumerate(shifted))
-    long = (
-        df.selectExpr("id", f"`{ts}`", *[f"`{k}`" for k in keys], f"inline(array({entries}))").filter("_u is not null")
-        .withColumn("_b", F.explode(F.sequence(F.lit(-1), F.lit(bits - 1))))
-        .withColumns({
-            "_prefix": F.expr("shiftright(_u, _b + 1)"),
-            "_bit": F.expr("if(_b < 0, 0, cast(shiftright(_u, greatest(_b, 0)) & 1 as int))"),
-        })
-        .withColumn("_zero", 1 - F.col("_bit")).drop("_u")
-    )
-    sums = _frame_sums(long, ["_zero"], {"f": length}, [*keys, "_i", "_b", "_prefix"], ts, slice_micros)
-    shares = []
-    for i, name in enumerate(names):
-        smaller = f"sum(if(_i = {i} and _b >= 0 and _bit = 1, _s_f_0, 0L))"
-        equal = f"sum(if(_i = {i} and _b = -1, _s_f_0, 0L))"
-        present = f"max(if(_i = {i} and _b = {bits - 1}, _n_f_0, null))"
-        shares.append(F.expr(f"({smaller} + ({equal} + 1) / 2) / {present}").alias(name))
-    return sums.groupBy("id").agg(*shares)
-
-
+    def in_frame(table: pa.Table) -> pa.Table:
+        """The values in the frame after the rows of one group, with how often each is there."""
+        kind = table["_kind"].to_numpy()
+        weight = np.where(kind == leaves, -1, 1) * table["_w"].to_numpy()
+        in_key = keyed_rows(table)
+        pieces = []
+        for measure in measures:
+            known = table[measure].is_valid().to_numpy() & in_key
+            values, place = np.unique(table[measure].fill_null(0).to_numpy()[known], return_inverse=True)
+            count = np.bincount(place, weights=weight[known], minlength=len(values)).astype("int64")
+            pieces.append((measure, values[count != 0], count[count != 0]))
+        n = sum(len(values) for _, values, _ in pieces)
+        last = table.slice(table.num_rows - 1)
+        columns_of = {}
+        for field in table.schema:
+            if field.name in (*keys, "_slice", "_task"):
+                columns_of[field.name] = pa.chunked_array([last[field.name].combine_chunks().take(pa.array(np.zeros(n, dtype="int64")))], field.type)
+            elif field.name == "_kind":
+                columns_of[field.name] = pa.array(np.full(n, there), field.type)
+            elif field.name == "_t":
+                columns_of[field.name] = pa.array(np.full(n, last["_slice"][0].as_py() * width - 1), field.type) if n else pa.array([], field.type)
+            elif field.name == "_w":
+                columns_of[field.name] = pa.array(np.concatenate([count for _, _, count in pieces]), field.type)
+            elif field.name in measures:
+                parts = [pa.array(values, field.type) if m == field.name else pa.nulls(len(values), field.type) for m, values, _ in pieces]
+                columns_of[field.name] = pa.concat_arrays(parts)
+            else:
+                columns_of[field.name] = pa.nulls(n, field.type)
+        return pa.table(columns_of, schema=table.schema)
+
+    return map_sorted_groups(merged, [*keys, "_slice"], ["_t"], rank_groups, schema, in_frame, "_t")
 
 
 def with_global_zscore(df: DataFrame, column: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ROWS_PER_CALL = 200_000
 
@@ -28,36 +29,46 @@ def segment_starts(table: pa.Table, columns: list[str]) -> np.ndarray:
 
 def map_sorted_groups(
     df: DataFrame, group: list[str], order: list[str], work: Callable[[pa.Table, np.ndarray], pa.Table], schema,
-    carry: Callable[[pa.Table], pa.Table] | None = None,
+    carry: Callable[[pa.Table], pa.Table] | None = None, instant: str | None = None,
 ) -> DataFrame:
-    """Hash-partition by ``group``, sort, and hand ``work`` runs of whole groups with the row numbers where they begin.
+    """Send whole groups to tasks, sort, and hand ``work`` runs of whole groups with the row numbers where they begin.
 
     Unlike one Python call per group this stays fast when groups are small and many. With ``carry`` a group longer than
-    one call is cut: ``carry`` turns the rows seen into the few that the rest of the group still needs to see.
+    one call is cut: ``carry`` turns the rows seen into the few that the rest of the group still needs to see. ``instant``
+    names an order column whose equal values a cut must not part.
+
+    Rows are sent by a task number hashed from the group. A partitioning by the group's own columns could be dropped as
+    already given and its shuffle read locally, which would part groups: ``mapInArrow`` asks for no distribution.
     """
     spark = df.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = ROWS_PER_CALL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows, waits = 0, most
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows < ROWS_PER_CALL:
+            if rows < waits:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             starts = segment_starts(table, group)
+            cut = int(starts[-1])
             if len(starts) > 1:
-                cut = int(starts[-1])
                 yield from work(table.slice(0, cut), starts[:-1]).to_batches()
-                held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+                table = table.slice(cut)
             elif carry is not None:
-                yield from work(table, starts).to_batches()
-                kept = carry(table)
-                held, rows = kept.to_batches(), kept.num_rows
+                cut = table.num_rows if instant is None else int(segment_starts(table, [*group, instant])[-1])
+                if cut:
+                    begun = table.slice(0, cut)
+                    yield from work(begun, starts).to_batches()
+                    table = pa.concat_tables([carry(begun), table.slice(cut)])
+            held, rows = table.to_batches(), table.num_rows
+            waits = rows + most  # what is held is copied once per call, not once per batch
         if rows:
             table = pa.Table.from_batches(held).combine_chunks()
             yield from work(table, segment_starts(table, group)).to_batches()
 
-    return df.repartition(tasks, *group).sortWithinPartitions(*group, *order).mapInArrow(run, schema)
+    sent = df.withColumn("_task", F.pmod(F.xxhash64(*group), F.lit(tasks)).cast("int"))
+    return sent.repartitionById(tasks, "_task").sortWithinPartitions(*group, *order).mapInArrow(run, schema)

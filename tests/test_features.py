@@ -113,12 +113,21 @@ def _frame(spark, pdf):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("slice_minutes,dense_rows", [(None, 10 ** 6), (20, 10 ** 6), (None, 5), (20, 3)])
-def test_rolling_equals_pandas(spark, seed, slice_minutes, dense_rows):
+@pytest.mark.parametrize("slice_minutes,call,plan", [
+    (None, 10 ** 6, {}), (20, 10 ** 6, {}), (None, 5, {}), (20, 3, {}), (20, 7, {"spark.sql.adaptive.enabled": "false"}),
+    (20, 7, {"spark.sql.autoBroadcastJoinThreshold": "-1"})])
+def test_rolling_equals_pandas(spark, monkeypatch, seed, slice_minutes, call, plan):
+    monkeypatch.setattr(segments, "ROWS_PER_CALL", call)
     pdf = _random_positions(seed)
     df = _frame(spark, pdf)
-    got = rolling.with_rolling_percentile(
-        rolling.with_rolling(df, slice_minutes=slice_minutes), slice_minutes=slice_minutes, dense_rows=dense_rows).toPandas()
+    before = {k: spark.conf.get(k) for k in plan} | {"spark.sql.execution.arrow.maxRecordsPerBatch": spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for k, v in (plan | {"spark.sql.execution.arrow.maxRecordsPerBatch": "4" if call < 10 else "10000"}).items():
+            spark.conf.set(k, v)
+        got = rolling.with_rolling_percentile(rolling.with_rolling(df, slice_minutes=slice_minutes), slice_minutes=slice_minutes).toPandas()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     got = got.set_index("id").sort_index()
     want = pdf.copy()
     for c in rolling.METRIC_COLUMNS:

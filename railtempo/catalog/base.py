@@ -76,8 +76,9 @@ ANOMALIES = f"""anomalies as (
   from events)"""
 
 STATIONS = """stations as (
-  select 'S' || n_nationkey as id, n_name as name, 40.5e0 + 0.1e0 * n_nationkey as lat, -74 + 0.1e0 * n_nationkey as lon
-  from nation where n_nationkey < 4)"""
+  select 'S' || (n_nationkey + cast(n_nationkey >= 4 as int)) as id, n_name as name, 40.5e0 + 0.1e0 * n_nationkey as lat,
+    -74 + 0.1e0 * n_nationkey as lon
+  from nation)"""
 
 SUBSCRIPTIONS = f"""subscriptions as (
   select cast(c_custkey as varchar) as client_id,

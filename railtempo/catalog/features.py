@@ -104,10 +104,12 @@ def _(spark, sf):
     return derived.positions(spark, sf).filter(fx.same_line("line", F.lit("6x"))).select("id", "line")
 
 
-@query("station_one_hot")
+@query("station_one_hot", f"""with {POSITIONS} select id, cast(cast('0x' || md5(current_station)[1:8] as bigint) % 472 as int) as station_slot,
+    case when current_station is null then 0e0 else 1e0 end as total, case when current_station is not null then 1e0 end as at_slot from positions""")
 def _(spark, sf):
-    encoded = with_station_slots(derived.positions(spark, sf).filter("current_station is not null"))
-    return encoded.select("id", "station_slot", F.element_at(vector_to_array("station_vector"), F.col("station_slot") + 1).alias("at_slot"))
+    encoded = with_station_slots(derived.positions(spark, sf)).withColumn("v", vector_to_array("station_vector"))
+    return encoded.select(
+        "id", "station_slot", F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("total"), F.get("v", F.col("station_slot")).alias("at_slot"))
 
 
 @query("scoring_projection", f"""with {HEADWAYS} select id, {sql_stamp('timestamp')} as at, trip_id, route_id, line, current_station,

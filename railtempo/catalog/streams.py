@@ -33,7 +33,11 @@ def as_stream(spark, df, name: str, files: int = 4):
     top = df.agg(F.max("id")).first()[0] or 0
     step = top // files + 1
     for i in range(files):
-        part = df.filter(F.col("id").between(i * step, (i + 1) * step - 1))
+        # the outer parts are open, and nulls come first, so that no row is left out
+        inside = F.coalesce(F.col("id") >= i * step, F.lit(False)) if i else F.lit(True)
+        if i < files - 1:
+            inside &= F.coalesce(F.col("id") < (i + 1) * step, F.lit(i == 0))
+        part = df.filter(inside)
         part.coalesce(1).write.mode("append").parquet(folder)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
@@ -156,14 +160,19 @@ def _(spark, sf):
       least(1.0, abs(delay_seconds) / 1800e0) as severity from positions where abs(delay_seconds) > 300
       union all select current_station, line, time_bucket(interval '5 minutes', timestamp), id, 1, least(1.0, abs(delay_seconds) / 1800e0) from positions where abs(delay_seconds) > 600)
     select station_id, line, {sql_stamp('bucket')} as bucket, count(*) as detection_count, count(distinct m) as distinct_models, round(max(severity), 6) as severity,
-    case when count(*) > 1 then 'ensemble' else 'delay' end as anomaly_type from d group by station_id, line, bucket""")
+    case when count(*) > 1 then 'ensemble' else 'delay' end as anomaly_type, nullif(count(*) filter (m = 0), 0) as delay_rule_count,
+    nullif(count(*) filter (m = 1), 0) as strict_rule_count, round(arg_max(case when m = 0 then severity end, id), 6) as delay_rule_severity,
+    round(arg_max(case when m = 1 then severity end, id), 6) as strict_rule_severity from d group by station_id, line, bucket""")
 def _(spark, sf):
     rows = derived.positions(spark, sf)
     found = rules.delay_rule(rows).unionByName(rules.delay_rule(rows, 600).withColumn("model_name", F.lit("strict_rule")))
     stream = as_stream(spark, found.withColumn("id", F.col("source_position_id")), "detections")
-    out = drained(aggregates.stream_ensemble(stream, "365 days"), "complete", "ensemble")
-    return out.select("station_id", "line", stamp("bucket").alias("bucket"), "detection_count", "distinct_models",
-                      r6("severity").alias("severity"), "anomaly_type")
+    models = ["delay_rule", "strict_rule"]
+    out = drained(aggregates.stream_ensemble(stream, "365 days", models), "complete", "ensemble")
+    return out.select(
+        "station_id", "line", stamp("bucket").alias("bucket"), "detection_count", "distinct_models", r6("severity").alias("severity"), "anomaly_type",
+        *[F.try_element_at("model_counts", F.lit(m)).alias(f"{m}_count") for m in models],
+        *[r6(F.try_element_at("individual_severities", F.lit(m))).alias(f"{m}_severity") for m in models])
 
 
 @query("stream_routes", SQL["subscription_routes"])

@@ -62,11 +62,13 @@ def forest_columns(df: DataFrame) -> list[str]:
 
 
 def with_station_slots(df: DataFrame, slots: int = 472) -> DataFrame:
-    """One-hot station vector as a sparse ML vector."""
+    """One-hot station vector as a sparse ML vector; all zeros without a station."""
     from pyspark.ml.feature import OneHotEncoder
 
-    indexed = df.withColumn("station_slot", fx.station_slot("current_station", slots))
-    encoder = OneHotEncoder(inputCol="station_slot", outputCol="station_vector", dropLast=False)
+    slot = fx.station_slot("current_station", slots)
+    indexed = df.withColumn("station_slot", slot).withColumn("_slot", F.coalesce(slot, F.lit(slots)))
+    # one more category than slots, and the last one dropped: that of rows without a station
+    encoder = OneHotEncoder(inputCol="_slot", outputCol="station_vector", dropLast=True)
     # a fixed category count needs no scan: the encoder model is fitted on the slot numbers themselves
-    slot_rows = df.sparkSession.range(slots).select(F.col("id").cast("int").alias("station_slot"))
-    return encoder.fit(slot_rows).transform(indexed)
+    slot_rows = df.sparkSession.range(slots + 1).select(F.col("id").cast("int").alias("_slot"))
+    return encoder.fit(slot_rows).transform(indexed).drop("_slot")

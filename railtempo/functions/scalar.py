@@ -88,8 +88,8 @@ def minute_of_day(ts: Column | str) -> Column:
 
 
 def station_slot(station: Column | str, slots: int = 472) -> Column:
-    """Stable slot number of a station for one-hot encoding."""
-    return F.pmod(F.xxhash64(_col(station)), F.lit(slots)).cast("int")
+    """Stable slot number of a station for one-hot encoding, from the first digits of its MD5; null for null."""
+    return (F.conv(F.substring(F.md5(_col(station)), 1, 8), 16, 10).cast("long") % slots).cast("int")
 
 
 def from_epoch(seconds: Column | str) -> Column:

@@ -26,10 +26,12 @@ def combine_detections(detections: DataFrame, mode: str = "time", model_order: l
 
     The members are never collected: per (key, model) the count, the last severity and the first features are kept, so a
     key that holds a large share of all detections costs no more than any other. ``model_counts`` in detector order says
-    the same as the list of models with repetitions, because detections come detector by detector.
+    the same as the list of models with repetitions, because detections come detector by detector. Detectors count in
+    ``model_order``, then by a column ``detector_order`` where there is one, then by name.
     """
     order = model_order or []
-    rank = F.lit(len(order))
+    given = F.col("detector_order") if "detector_order" in detections.columns else F.lit(0)
+    rank = given + len(order)
     for i, name in reversed(list(enumerate(order))):
         rank = F.when(F.col("model_name") == name, i).otherwise(rank)
     member = F.struct("anomaly_type", "model_version", "features", "meta_data", "source_position_id", "event_time")

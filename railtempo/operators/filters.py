@@ -78,15 +78,18 @@ def last_hours(df: DataFrame, hours: int = 24, ts: str = "timestamp", as_of: dat
     return df.filter((F.col(ts) >= _bound(end - F.expr(f"interval {hours} hours"), df, ts)) & (F.col(ts) <= _bound(end, df, ts)))
 
 
-def lookback(df: DataFrame, minutes: int = 60, ts: str = "timestamp", as_of: datetime | None = None) -> DataFrame:
+def lookback(df: DataFrame, minutes: int = 60, ts: str = "timestamp", as_of: datetime | Column | None = None) -> DataFrame:
     if not 10 <= minutes <= 360:
         raise ValueError("lookback must be 10 to 360 minutes")
     return last_minutes(df, minutes, ts, as_of)
 
 
-def last_minutes(df: DataFrame, minutes: int, ts: str = "timestamp", as_of: datetime | None = None) -> DataFrame:
-    start = latest(df, ts, f"{minutes} minutes") if as_of is None else F.lit(as_of) - F.expr(f"interval {minutes} minutes")
-    return df.filter(F.col(ts) >= _bound(start, df, ts))
+def last_minutes(df: DataFrame, minutes: int, ts: str = "timestamp", as_of: datetime | Column | None = None) -> DataFrame:
+    """Rows of the last ``minutes`` before ``as_of`` (default: the newest row), both ends inclusive."""
+    if as_of is None:
+        return df.filter(F.col(ts) >= latest(df, ts, f"{minutes} minutes"))
+    end = as_of if isinstance(as_of, Column) else F.lit(as_of)
+    return df.filter((F.col(ts) >= _bound(end - F.expr(f"interval {minutes} minutes"), df, ts)) & (F.col(ts) <= _bound(end, df, ts)))
 
 
 def preset(df: DataFrame, name: str, ts: str = "detected_at", as_of: datetime | None = None) -> DataFrame:

@@ -100,15 +100,18 @@ def _unit_hash(*parts: Column) -> Column:
 
 
 def resolve_sample_size(max_samples: str | int | float, n: int, rows_per_tree: int) -> int:
-    """``auto`` is 256. A fraction of a large table would need that share of it in every tree's task, so sample sizes
-    are held to ``rows_per_tree``; isolation forests gain nothing from larger ones."""
+    """``auto`` is 256, a fraction is that share of the rows. A tree's sample is held by one task, so a size above
+    ``rows_per_tree`` is refused rather than cut."""
     if max_samples == "auto":
         wanted = 256
     elif isinstance(max_samples, float):
         wanted = int(max_samples * n)
     else:
         wanted = int(max_samples)
-    return max(1, min(wanted, n, rows_per_tree))
+    wanted = max(1, min(wanted, n))
+    if wanted > rows_per_tree:
+        raise ValueError(f"max_samples={max_samples} asks for {wanted} rows per tree; rows_per_tree allows {rows_per_tree}")
+    return wanted
 
 
 def tree_samples(df: DataFrame, columns: list[str], n: int, trees: int, size: int, key: str, seed: int) -> DataFrame:
@@ -123,16 +126,17 @@ def tree_samples(df: DataFrame, columns: list[str], n: int, trees: int, size: in
     pool = pool.select(key, F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]).alias("x"))
     chance = min(1.0, (size * 1.15 + 6 * math.sqrt(size) + 20) / pool_rows)
     drawn = (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        # only the trees that a row is drawn for become rows
+        pool.withColumn("tree", F.explode(F.filter(
+            F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _unit_hash(F.col(key), t, F.lit(seed)) < chance)))
         .withColumn("_h", _unit_hash(F.col(key), F.col("tree"), F.lit(seed)))
-        .filter(F.col("_h") < chance)
     )
     order = W.partitionBy("tree").orderBy("_h", key)
     return drawn.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= size).select("tree", key, "x")
 
 
 def grow_forest(df: DataFrame, columns: list[str], trees: int = 100, max_samples: str | int | float = "auto",
-                key: str = "id", seed: int = 42, rows_per_tree: int = 4096) -> Forest:
+                key: str = "id", seed: int = 42, rows_per_tree: int = 1_000_000) -> Forest:
     """Forest over ``columns`` (nulls count as 0). Only the trees themselves come to the driver."""
     n = df.count()
     if n == 0:

@@ -67,9 +67,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nations; station S4 of the positions is left unknown."""
     key = F.col("n_nationkey")
-    return table(spark, sf_dir, "nation").filter(key < 4).select(
-        F.concat(F.lit("S"), key.cast("string")).alias("id"),
+    return table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("S"), (key + (key >= 4).cast("int")).cast("string")).alias("id"),
         F.col("n_name").alias("name"),
         (40.5 + 0.1 * key).alias("lat"),
         (-74 + 0.1 * key).alias("lon"),

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import time
+from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,7 +14,7 @@ from railtempo.operators.upsert import upsert_stations
 from railtempo.plans.detection import DetectorSet, as_anomalies, with_features
 from railtempo.schemas import FEED_INTERVAL_SECONDS
 from railtempo.sources.feeds import feed_log, flatten_trips, positions_from_trips
-from railtempo.sources.tables import append_anomalies, append_by_date, append_positions, batch_label, read_table, replace_table
+from railtempo.sources.tables import append_anomalies, append_by_date, append_positions, batch_label, read_range, read_table, replace_table
 from railtempo.streaming.headway import stream_headway
 
 
@@ -22,32 +23,34 @@ def _trigger(once: bool) -> dict:
 
 
 def start_feed_log(messages: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Append one log row per message, with the batch's elapsed time as processing time."""
+    """Append one log row per message; the time that storing the batch took goes to ``<path>-times``."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        begun = time.monotonic()
-        counted = feed_log(batch).persist()
-        try:
-            counted.count()
-            elapsed = (time.monotonic() - begun) * 1000
-            append_by_date(counted.withColumn("processing_time_ms", F.lit(elapsed)), path, "timestamp", batch_label(checkpoint, batch_id))
-        finally:
-            counted.unpersist()
+        begun, label = time.monotonic(), batch_label(checkpoint, batch_id)
+        append_by_date(feed_log(batch).drop("processing_time_ms"), path, "timestamp", label)
+        # known only once the rows are stored, so it has a small table of its own; see read_feed_log
+        elapsed = batch.sparkSession.range(1).select(F.lit(label).alias("batch"), F.lit((time.monotonic() - begun) * 1000).alias("processing_time_ms"))
+        elapsed.write.mode("overwrite").parquet(f"{path}-times/{label}")
 
     return messages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**_trigger(once)).start()
 
 
+def read_feed_log(spark: SparkSession, path: str) -> DataFrame:
+    """Stored log rows with the processing time of their batch, storage included."""
+    return spark.read.parquet(path).join(spark.read.parquet(f"{path}-times/*"), "batch", "left").drop("batch", "date")
+
+
 def start_ingest(messages: DataFrame, positions_path: str, stations_path: str, checkpoint: str, once: bool = False,
-                 dedupe: str | None = "30 minutes") -> StreamingQuery:
+                 dedupe: str | None = None) -> StreamingQuery:
     """Messages to positions with headway, and stations brought up to date, batch by batch.
 
-    Polls repeat the same stop update; with ``dedupe`` a repetition within that time is dropped before headways are
-    computed. The stations table must exist.
+    Every poll is stored. With ``dedupe`` a report that repeats all values of an earlier one within that time is dropped before
+    headways are computed. The stations table must exist.
     """
     positions = positions_from_trips(flatten_trips(messages))
     if dedupe:
         positions = positions.withWatermark("timestamp", dedupe).dropDuplicatesWithinWatermark(
-            ["trip_id", "current_station", "arrival_time"])
+            ["trip_id", "current_station", "direction", "arrival_time", "departure_time", "delay_seconds"])
     positions = stream_headway(positions, watermark=None if dedupe else "30 minutes")
 
     def store(batch: DataFrame, batch_id: int) -> None:
@@ -63,21 +66,34 @@ def start_ingest(messages: DataFrame, positions_path: str, stations_path: str, c
 
 
 def start_scoring(positions: DataFrame, detectors: DetectorSet, anomalies_path: str, checkpoint: str, subscriptions: DataFrame | None = None,
-                  deliveries_path: str | None = None, percentiles: bool = False, once: bool = False) -> StreamingQuery:
-    """Score each micro-batch with all detectors, combine, store, and route to subscribers."""
+                  deliveries_path: str | None = None, percentiles: bool = True, once: bool = False, history_path: str | None = None) -> StreamingQuery:
+    """Score each micro-batch with all detectors, combine, store, and route to subscribers.
+
+    ``history_path`` names the stored positions: the hour before the batch's first row is read from there (only its dates), so
+    rolling frames at the start of a batch are whole. Deliveries carry the ids of the stored anomalies.
+    """
 
     def score(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        combined = detectors.combined(with_features(batch, percentiles=percentiles))
+        features = batch
+        if history_path:
+            first, last = batch.agg(F.min("timestamp"), F.max("timestamp")).first()
+            earlier = read_range(batch.sparkSession, history_path, "timestamp", first - timedelta(hours=1), last)
+            own = batch.select("id").distinct()
+            features = batch.withColumn("_own", F.lit(True)).unionByName(
+                earlier.join(own, "id", "left_anti").withColumn("_own", F.lit(False)).select(*batch.columns, "_own"))
+        features = with_features(features, percentiles=percentiles)
+        if history_path:
+            features = features.filter("_own").drop("_own")
+        combined = detectors.combined(features)
         if combined is None:
             return
         found = as_anomalies(combined).persist()
         try:
             append_anomalies(found, anomalies_path, batch_label(checkpoint, batch_id))
             if subscriptions is not None and deliveries_path:
-                keyed = found.withColumn("id", F.xxhash64("station_id", "line", "anomaly_type", "severity", "event_time"))
-                route_anomalies(keyed, subscriptions).select("id", "client_id", "event_time").write.mode("overwrite").parquet(
+                route_anomalies(found, subscriptions).select("id", "client_id", "event_time").write.mode("overwrite").parquet(
                     f"{deliveries_path}/batch={batch_label(checkpoint, batch_id)}")
         finally:
             found.unpersist()

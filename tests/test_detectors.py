@@ -216,3 +216,36 @@ def test_load_or_train(spark, tmp_path, sf):
     assert loaded["isolation_forest"].threshold == trained["isolation_forest"].threshold
     few = training.load_or_train(spark, positions, str(tmp_path / "r2"), folder, dt.datetime(2023, 1, 1))
     assert few == {"isolation_forest": None, "sequence_model": None}
+
+
+def test_detector_failing_while_running_is_left_out(spark, sf):
+    rows = derived.positions_with_dwell(spark, sf).withColumn("headway_seconds", F.lit(None).cast("int"))
+    detectors = detection.DetectorSet()
+    detectors.register("broken", lambda df: rules.delay_rule(df.withColumn("delay_seconds", F.raise_error(F.lit("sensor")).cast("int"))))
+    detectors.register("delay", rules.delay_rule)
+    detectors.register("second", lambda df: rules.delay_rule(df).withColumn("model_name", F.lit("a_rule")))
+    found = detection.detection_run(rows, detectors, 360)
+    assert list(detectors.failures) == ["broken"] and "sensor" in detectors.failures["broken"]
+    several = found.filter("detection_count > 1").collect()
+    assert several and all(set(r["model_counts"]) == {"delay_rule", "a_rule"} for r in several)
+    ids = detection.as_anomalies(found).select("id").collect()
+    assert sorted(ids) == sorted(detection.as_anomalies(found).select("id").collect()) and len(set(ids)) == len(ids)
+
+
+def test_past_moment_leaves_the_future_out(spark):
+    hours = [dt.datetime(2024, 1, 1, h) for h in range(6)]
+    df = spark.createDataFrame([(h,) for h in hours], "timestamp timestamp")
+    from railtempo.operators import filters
+
+    got = filters.last_minutes(df, 60, as_of=hours[1]).collect()
+    assert sorted(r[0] for r in got) == hours[:2]
+    assert filters.lookback(df, 60, as_of=hours[1]).count() == 2 and filters.last_minutes(df, 60).count() == 2
+
+
+def test_sample_sizes_are_honoured_or_refused():
+    from railtempo.operators.forest import resolve_sample_size
+
+    assert resolve_sample_size(0.5, 100_000, 1_000_000) == 50_000 and resolve_sample_size(0.8, 100_000, 1_000_000) == 80_000
+    assert resolve_sample_size("auto", 100, 1_000_000) == 100
+    with pytest.raises(ValueError, match="rows per tree"):
+        resolve_sample_size(0.8, 10_000_000, 1_000_000)

@@ -84,7 +84,8 @@ def test_scoring_stream(spark, tmp_path, sf):
     stored = tables.read_anomalies(spark, out)
     assert stored.count() > 0 and stored.filter("resolved").count() == 0
     assert stored.select("id").distinct().count() == stored.count()
-    assert spark.read.parquet(sent).count() > 0
+    delivered = spark.read.parquet(sent)
+    assert delivered.count() > 0 and delivered.join(stored, "id", "left_anti").count() == 0
 
 
 def _message(code, seconds, trips):
@@ -102,7 +103,8 @@ def test_ingest(spark, tmp_path):
     (landing / "2.json").write_text(json.dumps(_message("A", begin + 30, [("t1", "S1", begin), ("t3", "S1", begin + 300)])))
     positions, stations, log = (str(tmp_path / n) for n in ("positions", "stations", "log"))
     tables.replace_table(spark.createDataFrame([("S1", "one", 1.0, 2.0, ["C"], None)], schemas.STATION), stations)
-    query = jobs.start_ingest(feeds.stream_messages(spark, str(landing), 1), positions, stations, str(tmp_path / "cp"), once=True)
+    query = jobs.start_ingest(feeds.stream_messages(spark, str(landing), 1), positions, stations, str(tmp_path / "cp"), once=True,
+                              dedupe="30 minutes")
     query.awaitTermination(300)
     assert query.exception() is None
     rows = {(r["trip_id"], r["current_station"]): r for r in tables.read_range(spark, positions, "timestamp").collect()}
@@ -114,5 +116,5 @@ def test_ingest(spark, tmp_path):
     query = jobs.start_feed_log(feeds.stream_messages(spark, str(landing)), log, str(tmp_path / "cp2"), once=True)
     query.awaitTermination(300)
     assert query.exception() is None
-    stored = spark.read.parquet(log)
+    stored = jobs.read_feed_log(spark, log)
     assert stored.count() == 2 and stored.filter("processing_time_ms > 0 and num_trips = 2").count() == 2

@@ -33,6 +33,7 @@ def zero_filled(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.fillna(0, subset=columns)
 
 
+# The columns that scoring reads.
 SCORING_COLUMNS = [
     "id", "timestamp", "trip_id", "route_id", "line", "current_station",
     "headway_seconds", "dwell_time_seconds", "delay_seconds", "direction",

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.ml.feature import PCA
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,8 +129,9 @@ def fit_sequences(df: DataFrame, components: int = 8, length: int = 24, threshol
     numbered = checkpointed(numbered_rows(df, columns, stats))
     vectors = vectors_of(numbered, columns, length).select(array_to_vector("x").alias("v"))
     pca = PCA(k=components, inputCol="v", outputCol="p").fit(vectors)
-    # normalised measures have mean zero, so the projection needs no offset
-    model = SequenceModel(columns, length, stats, np.zeros(length * len(columns)), pca.pc.toArray(), version=version)
+    # what the components were centred on: close to zero, but not zero where sequences leave rows out
+    mean = vectors.select(Summarizer.mean(F.col("v"))).first()[0].toArray()
+    model = SequenceModel(columns, length, stats, mean, pca.pc.toArray(), version=version)
     scored = checkpointed(sequence_errors(numbered, model))
     model.threshold = exact_percentiles(scored, "error", {"t": threshold_share}).first()["t"]
     summary = scored.agg(F.count("*").alias("n"), F.avg("error").alias("loss")).first()

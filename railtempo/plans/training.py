@@ -176,10 +176,6 @@ def load_or_train(spark: SparkSession, positions: DataFrame, registry_path: str,
     return models
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path)
-
-
 def experiment(spark: SparkSession, rows: DataFrame, folder: str, model_type: str = "isolation_forest", grid: dict | None = None,
                labels: DataFrame | None = None) -> tuple[Forest | SequenceModel, dict]:
     """Temporal split, search, evaluation on the later part, report."""

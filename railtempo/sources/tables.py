@@ -22,14 +22,15 @@ def batch_label(checkpoint: str, batch_id: int) -> str:
 
 
 def append_by_date(df: DataFrame, path: str, ts: str, batch: str | None = None) -> None:
-    """Append to a fact table, laid out as ``batch=.../date=...``.
+    """Append to a fact table, laid out as ``date=.../batch=...``, so that a date predicate prunes before batches are listed.
 
-    A repeated micro-batch overwrites its own folder, so nothing is stored twice. Rows are rebalanced by date: small dates
+    A repeated micro-batch overwrites its own folders, so nothing is stored twice. Rows are rebalanced by date: small dates
     share a task and large ones are split, which bounds both file count and task size. Files are sorted by time for
     row-group skipping.
     """
-    dated = df.withColumn("date", F.to_date(ts)).hint("rebalance", F.col("date")).sortWithinPartitions("date", ts)
-    dated.write.mode("overwrite").partitionBy("date").parquet(f"{path}/batch={batch or uuid.uuid4().hex}")
+    dated = df.withColumn("date", F.to_date(ts)).withColumn("batch", F.lit(batch or uuid.uuid4().hex)).hint("rebalance", F.col("date"))
+    dated.sortWithinPartitions("date", ts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "date", "batch").parquet(path)
 
 
 def read_range(spark: SparkSession, path: str, ts: str, start=None, end=None) -> DataFrame:
@@ -94,6 +95,16 @@ def replace_table(df: DataFrame, path: str) -> int:
     return version
 
 
+def replace_if_changed(df: DataFrame, path: str) -> bool:
+    """As :func:`replace_table`, unless the table's rows are those it has. Small tables only; what ``df`` takes from the table
+    must come from its newest version."""
+    old = read_table(df.sparkSession, path)
+    changed = not (df.exceptAll(old).isEmpty() and old.exceptAll(df).isEmpty())
+    if changed:
+        replace_table(df, path)
+    return changed
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     return df.filter(F.col("version_no") == df.agg(F.max("version_no")).scalar()).drop("version_no")

@@ -14,7 +14,7 @@ from railtempo.operators.upsert import upsert_stations
 from railtempo.plans.detection import DetectorSet, as_anomalies, with_features
 from railtempo.schemas import FEED_INTERVAL_SECONDS
 from railtempo.sources.feeds import feed_log, flatten_trips, positions_from_trips
-from railtempo.sources.tables import append_anomalies, append_by_date, append_positions, batch_label, read_range, read_table, replace_table
+from railtempo.sources.tables import append_anomalies, append_by_date, append_positions, batch_label, read_range, read_table, replace_if_changed
 from railtempo.streaming.headway import stream_headway
 
 
@@ -57,7 +57,7 @@ def start_ingest(messages: DataFrame, positions_path: str, stations_path: str, c
         batch.persist()
         try:
             spark = batch.sparkSession
-            replace_table(upsert_stations(read_table(spark, stations_path), batch), stations_path)
+            replace_if_changed(upsert_stations(read_table(spark, stations_path), batch), stations_path)
             append_positions(batch, positions_path, batch_label(checkpoint, batch_id))
         finally:
             batch.unpersist()

@@ -102,7 +102,8 @@ def test_sequence_detector(spark, rows, tmp_path):
     numbered = reconstruct.numbered_rows(rows, model.columns, model.normaliser)
     errors = reconstruct.sequence_errors(numbered, model, block_rows=13).withColumnRenamed("error", "e")
     x = np.stack([r["x"] for r in vectors.select("x").collect()])
-    plain = ((x - x @ model.components @ model.components.T) ** 2).mean(axis=1)
+    centred = x - model.mean
+    plain = ((centred - centred @ model.components @ model.components.T) ** 2).mean(axis=1)
     np.testing.assert_allclose(sorted(r["e"] for r in errors.collect()), np.sort(plain), rtol=1e-9)
     assert errors.filter(F.col("e") > model.threshold).count() / errors.count() == pytest.approx(0.05, abs=0.01)
     training.save_sequences(spark, model, str(tmp_path / "m"))

@@ -13,15 +13,15 @@ from railtempo.operators.headway import latest_above, with_headway, with_headway
 from railtempo.operators.sequences import sliding_sequences
 
 POSITION = "id long, timestamp timestamp, current_station string, direction int, arrival_time timestamp"
-T0 = dt.datetime(2025, 1, 6, 8, 0, 0)
+T0 = dt.datetime(2024, 3, 5, 7, 10, 0)
 
 
 def test_trip_features(spark):
     row = spark.createDataFrame(
-        [("test_trip_1", "6", 1, None, T0, T0 + dt.timedelta(seconds=30))],
+        [("run-17", "q", 0, None, T0, T0 + dt.timedelta(seconds=47))],
         "trip_id string, route_id string, direction int, delay_seconds int, arrival_time timestamp, departure_time timestamp",
     ).transform(features.with_trip_features).first()
-    assert (row["line"], row["dwell_time_seconds"], row["delay_seconds"]) == ("6", 30, 0)
+    assert (row["line"], row["dwell_time_seconds"], row["delay_seconds"]) == ("Q", 47, 0)
 
 
 @pytest.mark.parametrize("route,line", [("gs", "S"), (" s ", "S"), ("si", "SI"), ("6X", "6x"), ("b", "B"), ("", "")])
@@ -59,7 +59,7 @@ def test_anomaly_kind(spark):
 def test_percent_and_iso(spark):
     row = spark.createDataFrame([(0.4015, T0)], "s double, t timestamp").select(
         fx.percent_text("s"), fx.percent_text("s", 1), fx.iso_text("t"), fx.clock_text("t")).first()
-    assert tuple(row) == ("40%", "40.2%", "2025-01-06T08:00:00", "08:00:00")
+    assert tuple(row) == ("40%", "40.2%", "2024-03-05T07:10:00", "07:10:00")
 
 
 def test_model_columns(spark):
@@ -82,12 +82,12 @@ def _positions(spark, rows):
 def test_headway_edges(spark):
     minute = dt.timedelta(minutes=1)
     rows = [
-        (T0, "635N", 0, T0), (T0, "635N", 0, T0 + 5 * minute), (T0, "635N", 0, T0 + 35 * minute),
-        (T0, "635N", 0, T0 + 65 * minute - dt.timedelta(seconds=1)), (T0, "635N", 0, None), (T0, None, 0, T0),
-        (T0, None, 0, T0 + minute), (T0, "635N", 1, T0 + minute), (T0, "635N", 0, T0 + 5 * minute)]
+        (T0, "harbour", 0, T0), (T0, "harbour", 0, T0 + 7 * minute), (T0, "harbour", 0, T0 + 37 * minute),
+        (T0, "harbour", 0, T0 + 67 * minute - dt.timedelta(seconds=1)), (T0, "harbour", 0, None), (T0, None, 0, T0),
+        (T0, None, 0, T0 + minute), (T0, "harbour", 1, T0 + minute), (T0, "harbour", 0, T0 + 7 * minute)]
     got = {r["id"]: r["headway_seconds"] for r in with_headway(_positions(spark, rows)).collect()}
     # equal arrivals: the later id is 0 s behind; a gap of exactly 30 minutes gives null
-    assert got == {0: None, 1: 300, 8: 0, 2: None, 3: 1799, 4: None, 5: None, 6: 60, 7: None}
+    assert got == {0: None, 1: 420, 8: 0, 2: None, 3: 1799, 4: None, 5: None, 6: 60, 7: None}
 
 
 def _random_positions(seed, n=400, stations=("A", "B", None), hours=30):

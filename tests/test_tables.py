@@ -111,7 +111,10 @@ def test_versioned_table(spark, tmp_path, sf):
     merged = upsert.upsert_stations(tables.read_table(spark, path), derived.positions(spark, sf))
     tables.replace_table(merged, path)
     rows = {r["id"]: r for r in tables.read_table(spark, path).collect()}
-    assert set(rows) == {"S0", "S1", "S2", "S3", "S4"}
+    assert set(rows) == {f"S{i}" for i in range(26)}
+    again = upsert.upsert_stations(tables.read_table(spark, path), derived.positions(spark, sf))
+    assert not tables.replace_if_changed(again, path) and len(list((tmp_path / "stations").glob("version_no=*"))) == 2
+    assert tables.replace_if_changed(again.filter("id <> 'S4'"), path) and tables.read_table(spark, path).count() == 25
     assert rows["S4"]["name"] == "Station S4" and rows["S0"]["name"] == "NATION_0" and "GS" not in rows["S0"]["lines"]
 
 
@@ -166,3 +169,15 @@ def test_routes_equal_brute_force(spark, sf):
     want = {s["client_id"]: sum(all(s[f] is None or s[f] == a[f] for f in matching.FILTERS) for a in rows) for s in subs}
     assert direct == want
     assert counts == {k: v for k, v in want.items() if v}
+
+
+def test_facts_lie_by_date_and_repeated_batches_replace_themselves(spark, tmp_path):
+    path, day = str(tmp_path / "facts"), dt.timedelta(days=1)
+    rows = spark.createDataFrame([(1, T0), (2, T0 + day), (3, T0 + day)], "id long, timestamp timestamp")
+    for _ in range(2):
+        tables.append_by_date(rows, path, "timestamp", "b-1")
+    tables.append_by_date(rows.filter("id = 2"), path, "timestamp", "b-2")
+    assert sorted(r.id for r in tables.read_range(spark, path, "timestamp").collect()) == [1, 2, 2, 3]
+    late = tables.read_range(spark, path, "timestamp", T0 + day, T0 + 2 * day)
+    assert "PartitionFilters: [isnotnull(date" in late._jdf.queryExecution().executedPlan().toString() and late.count() == 3
+    assert sorted(p.name for p in (tmp_path / "facts").iterdir() if p.is_dir()) == ["date=2025-01-06", "date=2025-01-07"]

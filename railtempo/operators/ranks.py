@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from railtempo.functions.scalar import floor_div, micros
+from railtempo.session import checkpointed
 
 
-def magnitude_bucket(value: Column, steps: int = 512) -> Column:
+STEPS, FINER = 512, 4096  # magnitude buckets per power of two, and fine buckets in each
+
+
+def magnitude_bucket(value: Column, steps: int = STEPS) -> Column:
     """Monotone bucket of a number: ``steps`` buckets per power of two, about 2 million at the very most."""
     size = F.floor((F.log2(F.abs(value)) + 1100) * steps)
     return F.when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size).cast("long")
@@ -31,17 +35,18 @@ def exact_percentiles(df: DataFrame, column: str, shares: dict[str, float]) -> D
 
 
 def exact_percentiles_of(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    """One row with an exact percentile per name, given as (column, share), from two passes for all of them.
+    """One row with an exact percentile per name, given as (column, share), from three passes for all of them.
 
-    First pass: rows per column and magnitude bucket, reduced to the buckets that hold the wanted ranks. Second pass: only
-    those buckets are counted by value and ranked.
+    First pass: rows per column and magnitude bucket, reduced to the buckets that hold the wanted ranks. Second: rows of those
+    buckets per fine bucket, a 4096th of it. Third: only the fine buckets needed are counted by value and ranked, so values
+    that crowd into one magnitude are not ranked in one task. The values are written out once for the passes.
     """
     columns = list(dict.fromkeys(column for column, _ in wanted.values()))
     values = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)
     ])).alias("e")).selectExpr("e.c as _c", "e.v as _v") if len(columns) > 1 else df.select(
         F.lit(0).alias("_c"), F.col(columns[0]).cast("double").alias("_v"))
-    bucketed = values.filter("_v is not null").withColumn("_bucket", magnitude_bucket(F.col("_v")))
+    bucketed = checkpointed(values.filter("_v is not null")).withColumn("_bucket", magnitude_bucket(F.col("_v")))
     # one row per column and bucket, a few thousand in practice
     counts = bucketed.groupBy("_c", "_bucket").agg(F.count("*").alias("_rows")).selectExpr(
         "*",
@@ -55,16 +60,27 @@ def exact_percentiles_of(df: DataFrame, wanted: dict[str, tuple[str, float]]) ->
             spots.append(F.expr(f"max(if(_c = {c} and {rank} between _before and _before + _rows - 1, "
                                 f"struct(_bucket as b, _before as s, {rank} as r, {at} as p), null)) as {side}{i}"))
     found = counts.agg(*spots).select(F.struct("*").alias("t")).scalar()
-    marked = bucketed.withColumn("_t", found)
     sides = [(i, columns.index(column), side) for i, (column, _) in enumerate(wanted.values()) for side in "lh"]
     needed = " or ".join(f"(_c = {c} and _bucket = _t.{side}{i}.b)" for i, c, side in sides)
+    narrow = bucketed.withColumn("_t", found).filter(needed).drop("_t").withColumn("_fine", magnitude_bucket(F.col("_v"), STEPS * FINER))
+    finer = narrow.groupBy("_c", "_bucket", "_fine").agg(F.count("*").alias("_rows")).selectExpr(
+        "*", "coalesce(sum(_rows) over (partition by _c, _bucket order by _fine rows between unbounded preceding and 1 preceding), 0) as _before",
+    ).withColumn("_t", found)
+    places = [
+        F.expr(f"max(if(_c = {c} and _bucket = _t.{side}{i}.b and _t.{side}{i}.r between _t.{side}{i}.s + _before and "
+               f"_t.{side}{i}.s + _before + _rows - 1, struct(_fine as b, _t.{side}{i}.s + _before as s, _t.{side}{i}.r as r, "
+               f"_t.{side}{i}.p as p), null)) as {side}{i}")
+        for i, c, side in sides
+    ]
+    found = finer.agg(*places).select(F.struct("*").alias("t")).scalar()
+    needed = " or ".join(f"(_c = {c} and _fine = _t.{side}{i}.b)" for i, c, side in sides)
     ranked = (
-        marked.filter(needed).groupBy("_c", "_bucket", "_v").agg(F.count("*").alias("_rows"))
-        .selectExpr("*", "sum(_rows) over (partition by _c, _bucket order by _v rows between unbounded preceding and current row) as _upto")
+        narrow.withColumn("_t", found).filter(needed).groupBy("_c", "_fine", "_v").agg(F.count("*").alias("_rows"))
+        .selectExpr("*", "sum(_rows) over (partition by _c, _fine order by _v rows between unbounded preceding and current row) as _upto")
         .withColumn("_t", found)
     )
     picks = [
-        F.expr(f"max(if(_c = {c} and _bucket = _t.{side}{i}.b and _t.{side}{i}.r between _t.{side}{i}.s + _upto - _rows and "
+        F.expr(f"max(if(_c = {c} and _fine = _t.{side}{i}.b and _t.{side}{i}.r between _t.{side}{i}.s + _upto - _rows and "
                f"_t.{side}{i}.s + _upto - 1, _v, null)) as v{side}{i}")
         for i, c, side in sides
     ] + [F.expr(f"max(_t.l{i}.p - _t.l{i}.r) as f{i}") for i in range(len(wanted))]
@@ -72,18 +88,27 @@ def exact_percentiles_of(df: DataFrame, wanted: dict[str, tuple[str, float]]) ->
 
 
 def average_rank_share(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Average rank of each value divided by the number of non-null values."""
+    """Average rank of each value divided by the number of non-null values.
+
+    Different values are ranked inside fine buckets; what lies before a fine bucket is summed inside its magnitude bucket, and
+    before that over the table of these.
+    """
+    value = F.col("_value").cast("double")
     by_value = (
         df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value"))
         .agg(F.count("*").alias("_count"))
-        .withColumn("_bucket", magnitude_bucket(F.col("_value").cast("double")))
+        .withColumns({"_bucket": magnitude_bucket(value), "_fine": magnitude_bucket(value, STEPS * FINER)})
     )
-    offsets = _with_offsets(by_value.groupBy("_bucket").agg(F.sum("_count").alias("_rows")))
+    finer = by_value.groupBy("_bucket", "_fine").agg(F.sum("_count").alias("_rows"))
+    offsets = _with_offsets(finer.groupBy("_bucket").agg(F.sum("_rows").alias("_rows"))).select("_bucket", "_before")
+    earlier = W.partitionBy("_bucket").orderBy("_fine").rowsBetween(W.unboundedPreceding, -1)
+    starts = finer.withColumn("_inner", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).join(offsets, "_bucket").select(
+        F.col("_fine").alias("_at"), (F.col("_before") + F.col("_inner")).alias("_before"))
     total = by_value.agg(F.sum("_count")).scalar()
-    inside = W.partitionBy("_bucket").orderBy("_value").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("_fine").orderBy("_value").rowsBetween(W.unboundedPreceding, 0)
     ranks = (
         by_value.withColumn("_upto", F.sum("_count").over(inside))
-        .join(offsets.select("_bucket", "_before"), "_bucket")
+        .join(starts, F.col("_fine") == F.col("_at"))
         .select("_value", ((F.col("_before") + F.col("_upto") - (F.col("_count") - 1) / 2) / total).alias(out))
     )
     return df.join(ranks, F.col(column) == F.col("_value"), "left").drop("_value")

@@ -238,3 +238,17 @@ def test_temporal_split(spark, n, share):
     rows = [(i, T0 + dt.timedelta(seconds=i // 3)) for i in range(n)]
     got = ranks.with_temporal_split(spark.createDataFrame(rows, "id long, timestamp timestamp"), share)
     assert sorted(r["id"] for r in got.filter("is_train").collect()) == list(range(int(n * share)))
+
+
+def test_ranks_of_values_in_one_magnitude(spark):
+    rng = np.random.default_rng(8)
+    values = np.concatenate([1 + rng.random(3_000) * 1e-3, -(1 + rng.random(1_000) * 1e-3), [1.0005] * 500, [0.0, -0.0]])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "id long, v double")
+    # all positive ones share a magnitude bucket, but no task ranks more than a small part of them
+    fine = df.filter("v > 0").groupBy(ranks.magnitude_bucket(F.col("v")).alias("b"), ranks.magnitude_bucket(F.col("v"), 512 * 4096).alias("f")).count()
+    assert fine.select("b").distinct().count() == 1 and fine.select("f").distinct().count() > 1_000
+    got = ranks.exact_percentiles(df, "v", {"a": 0.01, "b": 0.25, "c": 0.5, "d": 0.95, "e": 1.0}).first()
+    np.testing.assert_allclose(list(got), np.quantile(values, [0.01, 0.25, 0.5, 0.95, 1.0]), rtol=1e-15)
+    share = {r["id"]: r["s"] for r in ranks.average_rank_share(df, "v", "s").collect()}
+    want = pd.Series(values).rank(pct=True)
+    np.testing.assert_allclose([share[i] for i in range(len(values))], want, rtol=1e-12)

@@ -4,13 +4,16 @@ A seed mask looks at some positions of a short token window and ignores the othe
 ignored place still hashes alike in test and training text. Hits are verified on the tokens around them.
 """
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railtempo.session import checkpointed
 
 MASKS = ("11110111", "1110111")  # one substitution in five, and one in four
-FILTER_WORDS = 65_536  # longs of the bit filter: 512 KB
+FILTER_WORDS = 1 << 18  # longs of the bit filter: 2 MB
 
 
 def tokens(text: str) -> Column:
@@ -31,16 +34,18 @@ def _around(window: int, longest: int) -> Column:
     return F.transform(F.sequence(F.lit(1 - window), F.lit(longest + window - 2)), lambda k: F.get(F.col("_tokens"), F.col("_at") + k))
 
 
-def _bit(seed: str, turn: int) -> str:
-    return f"(shiftrightunsigned({seed}, {turn * 22}) & {FILTER_WORDS * 64 - 1})"
+def _word(seed: str) -> str:
+    return f"({seed} & {FILTER_WORDS - 1})"
+
+
+def _bits(seed: str) -> str:
+    """The three bits that a seed sets in its word."""
+    return "(" + " | ".join(f"shiftleft(1L, cast(shiftrightunsigned({seed}, {shift}) & 63 as int))" for shift in (20, 26, 32)) + ")"
 
 
-def _filter(seeds: DataFrame) -> DataFrame:
-    """One row: an array of FILTER_WORDS longs with two bits set for each seed. Its size doesn't depend on the benchmark."""
-    bits = seeds.select(F.explode(F.array(F.expr(_bit("seed", 0)), F.expr(_bit("seed", 1)))).alias("bit"))
-    words = bits.groupBy(F.expr("shiftright(bit, 6)").alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("word"))
-    every = seeds.sparkSession.range(0, FILTER_WORDS, 1, 1).join(words, "id", "left")
-    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0)).alias("word")))), lambda x: x["word"]))
+def _filter(seeds: DataFrame, name: str) -> DataFrame:
+    """Blocked Bloom filter as a table: (word number, bits), at most FILTER_WORDS rows however long the benchmark is."""
+    return seeds.groupBy(F.expr(_word("seed")).alias(f"_id{name}")).agg(F.expr(f"bit_or({_bits('seed')})").alias(f"_bits{name}"))
 
 
 def overlaps(
@@ -54,7 +59,7 @@ def overlaps(
     ``least`` tokens (null and empty ones too) can't tell a leak from chance and take no part. Items shorter than
     the masks get contiguous seeds of their own length. Rows of documents with equal keys count as one, also null keys.
 
-    Documents are scanned once: seeds are tested against a bit filter of fixed size within the scan, and only possible hits
+    Documents are scanned once: seeds are tested against a bit filter of bounded size within the scan, and only possible hits
     with the tokens around them are shuffled to the benchmark's seeds.
     """
     items = checkpointed(benchmark.select(F.col(item).alias("_item"), tokens(item_text).alias("_tokens")).filter(
@@ -65,26 +70,28 @@ def overlaps(
     longest = max(map(len, masks))
 
     def placed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_at", F.explode(F.expr("sequence(0, size(_tokens) - 1)")))
+        # a filter on the tokens would be moved below and compute them twice; a text without any has no seed at 0 either
+        return df.withColumn("_at", F.explode(F.expr("sequence(0, greatest(size(_tokens) - 1, 0))")))
 
     def seeds(df: DataFrame, *columns: str) -> DataFrame:
         return df.select(*columns, "_at", "_tokens", F.explode(F.array(*(_seed(m) for m in masks))).alias("seed")).filter("seed is not null")
 
     tests = checkpointed(seeds(placed(items), "_item").select(
         "_item", "seed", _around(window, longest).alias("_test"), F.size("_tokens").alias("_length")).distinct())
-    known = _filter(tests.select("seed").distinct()).scalar()
     own = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
     names = [f"_key{i}" for i in range(len(keys))]
-    scanned = placed(docs.select(*own, tokens(text).alias("_tokens")).filter(F.size("_tokens") >= least))
-    # every mask's seed in columns of one row: no second explode over all positions
-    marked = scanned.select(*names, "_at", "_tokens", *(_seed(m).alias(f"_seed{i}") for i, m in enumerate(masks))).withColumn("_known", known)
-    may = [F.coalesce(F.expr(" and ".join(
-        f"(shiftrightunsigned(get(_known, cast(shiftright({_bit(f'_seed{i}', t)}, 6) as int)), cast({_bit(f'_seed{i}', t)} & 63 as int)) & 1) = 1"
-        for t in (0, 1))), F.lit(False)) for i in range(len(masks))]
-    possible = marked.filter(F.array_contains(F.array(*may), True)).select(
-        *names, "_at", _around(window, longest).alias("_near"),
-        F.array_compact(F.array(*(F.when(m, F.col(f"_seed{i}")) for i, m in enumerate(may)))).alias("_seeds"))
-    hits = possible.select(*names, "_at", "_near", F.explode("_seeds").alias("seed")).join(tests, "seed")
+    scanned = placed(docs.select(*own, tokens(text).alias("_tokens")))
+    # every mask's seed in columns of one row: no second explode over all positions. Up to the filter all is one generated
+    # loop, in which the tokens are not copied
+    marked = scanned.select(*names, "_at", "_tokens", *(_seed(m).alias(f"_seed{i}") for i, m in enumerate(masks)))
+    may = []
+    for i in range(len(masks)):
+        # bounded by FILTER_WORDS, so every task gets it
+        marked = marked.join(F.broadcast(_filter(tests, str(i))), F.expr(f"{_word(f'_seed{i}')} = _id{i}"), "left")
+        may.append(F.expr(f"coalesce(_bits{i} & {_bits(f'_seed{i}')} = {_bits(f'_seed{i}')}, false)"))
+    seeds_met = F.array(*(F.when(m, F.col(f"_seed{i}")) for i, m in enumerate(may)))
+    possible = marked.filter(reduce(or_, may)).select(*names, "_at", "_tokens", F.explode(seeds_met).alias("seed")).filter("seed is not null")
+    hits = possible.select(*names, "_at", _around(window, longest).alias("_near"), "seed").join(tests, "seed")
     equal = F.zip_with("_near", "_test", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
     sums = F.transform(F.sequence(F.lit(1), F.size("_equal") - window + 1), lambda i: F.aggregate(
         F.slice("_equal", i, window), F.lit(0), lambda s, e: s + e))

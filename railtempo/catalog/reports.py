@@ -200,3 +200,11 @@ def _(spark, sf):
 def _(spark, sf):
     narrow = derived.subscriptions(spark, sf).filter("line is not null and station_id is not null")
     return matching.route_anomalies(derived.anomalies(spark, sf), narrow).select("id", "client_id")
+
+
+@query("subscription_routes_all", f"""with {ANOMALIES}, {SUBSCRIPTIONS}
+    select s.client_id, count(*) as deliveries, cast(sum(a.id) as bigint) as ids from anomalies a join subscriptions s on {_MATCH} group by 1""")
+def _(spark, sf):
+    """Every pair of every subscription, those without filters too, summed per client."""
+    pairs = matching.route_anomalies(derived.anomalies(spark, sf).select("id", *matching.FILTERS), derived.subscriptions(spark, sf))
+    return pairs.groupBy("client_id").agg(F.count("*").alias("deliveries"), F.sum("id").alias("ids"))

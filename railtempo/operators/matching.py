@@ -61,14 +61,19 @@ def _keyed(subscriptions: DataFrame) -> DataFrame:
     return _mask(subscriptions).select("_mask", *[F.col(c).alias(f"_{c}") for c in FILTERS], "client_id")
 
 
-def route_anomalies(anomalies: DataFrame, subscriptions: DataFrame, salts: int = 16) -> DataFrame:
+def route_anomalies(anomalies: DataFrame, subscriptions: DataFrame, salts: int | None = None) -> DataFrame:
     """One row per anomaly and client whose set filters all equal the anomaly's values.
 
     Written as an equality join: a subscription only sets some of three filters, so each anomaly probes the eight
-    combinations. Subscriptions without filters receive everything; the salt spreads that hot key.
+    combinations. Subscriptions without filters receive everything; ``salts`` (as many as shuffle partitions, unless given) spread
+    that key, and only that one: other subscriptions are not repeated.
     """
-    probes = _probes(anomalies).withColumn("_salt", F.pmod(F.xxhash64("id", "_mask"), F.lit(salts)))
-    subs = _keyed(subscriptions).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    salts = salts or int(anomalies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    none = F.lit(0).cast("long")
+    open_to_all = F.col("_mask") == 0
+    probes = _probes(anomalies).withColumn("_salt", F.when(open_to_all, F.pmod(F.xxhash64("id", "_mask"), F.lit(salts))).otherwise(none))
+    subs = _keyed(subscriptions).withColumn("_salt", F.explode(
+        F.when(open_to_all, F.sequence(none, F.lit(salts - 1).cast("long"))).otherwise(F.array(none))))
     return probes.join(subs, _same_filters(probes, subs) & (probes["_salt"] == subs["_salt"])).select(
         probes["*"], subs["client_id"]).drop("_mask", "_salt", *[f"_{c}" for c in FILTERS])
 

@@ -13,7 +13,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railtempo.llm.settings import rows_of
+from railtempo.llm.settings import rows_of, sampled
 from railtempo.session import checkpointed
 
 # The usual notices of each family, one sentence or clause each.
@@ -89,16 +89,18 @@ def template_rows(spark: SparkSession) -> DataFrame:
     return rows_of(spark, rows, "family: string, number: int, line: string")
 
 
-def train(docs: DataFrame, labelled: DataFrame | None = None, negatives: int = 4_000, vocabulary: int = 4_096, penalty: float = 2e-3) -> LicenseModel:
+def train(docs: DataFrame, labelled: DataFrame | None = None, negatives: int = 4_000, vocabulary: int = 4_096, penalty: float = 2e-3,
+          texts: int = 2_000) -> LicenseModel:
     """Fits the classifier. ``labelled`` has line and family; without it, the templates as they are, with words before and behind,
     and cut at either end stand for each family.
 
-    ``negatives`` lines of ``docs`` without a word of licensing (a hash decides which) are the unknown class; that
-    bound is a parameter of training only. Every fourth example is held out of the fit and sets the sharpness
+    At most ``negatives`` lines without a word of licensing, from a sample of about ``texts`` documents (hashes decide which), are the
+    unknown class; these bounds are parameters of training only. Every fourth example is held out of the fit and sets the sharpness
     (a temperature) that makes the probabilities fit them best.
     """
     spark = docs.sparkSession
-    plain = paragraphs(docs.select(F.col("text").alias("t")).filter(F.length("t") <= 20_000), [], "t").filter(
+    some = sampled(docs.select(F.col("text").alias("t")), texts, "t").filter(F.length("t") <= 20_000)
+    plain = paragraphs(some, [], "t").filter(
         (F.length("line") >= 20) & ~F.col("line").rlike(r"(?i)licen[cs]|copyright|permission|redistribut|public domain"))
     lines = checkpointed(plain.select("line").distinct().orderBy(F.xxhash64("line", F.lit(3))).limit(negatives).withColumn("family", F.lit(UNKNOWN)))
     if labelled is None:

@@ -144,7 +144,8 @@ def digests(conversations: DataFrame, bpe: ByteBpe) -> DataFrame:
     nodes = checkpointed(nodes)
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform("turns", lambda t: t["loss"]), "")  # nulls are left out
-    read = read_back(nodes, leaves, bpe).select(
+    # written out: with a shuffle of its own on either side, the join below splits a conversation that very many repeat
+    read = checkpointed(read_back(nodes, leaves, bpe).select(
         "leaf", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
-        F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+        F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars"))
     return members.join(read, "leaf").drop("leaf")

@@ -2,6 +2,7 @@
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +10,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from railtempo.llm.settings import sampled
+
 BLOCK = 256  # bytes compressed at a time, so that a block's own repetitions don't hide what the dictionary gives
 
 
@@ -96,8 +99,8 @@ def train(
     known = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     order = F.xxhash64(F.col("doc_id"), F.lit(17))
-    picked = known.filter("quality = 0").orderBy(order, "doc_id").limit(texts_per_label).union(
-        known.filter("quality = 1").orderBy(order, "doc_id").limit(texts_per_label))
+    some = [sampled(known.filter(F.col("quality") == q), 2 * texts_per_label, "doc_id") for q in (0, 1)]
+    picked = reduce(DataFrame.union, [s.orderBy(order, "doc_id").limit(texts_per_label) for s in some])
     # at most 2 * texts_per_label ids: small enough to send to every task, so that no text is shuffled
     rows = docs.select("doc_id", "text").filter(F.length("text") <= longest).join(F.broadcast(picked), "doc_id").select(
         "text", "quality", order.alias("h"), "doc_id").orderBy("h", "doc_id", "text").limit(2 * texts_per_label).collect()

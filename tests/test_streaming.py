@@ -118,3 +118,22 @@ def test_ingest(spark, tmp_path):
     assert query.exception() is None
     stored = jobs.read_feed_log(spark, log)
     assert stored.count() == 2 and stored.filter("processing_time_ms > 0 and num_trips = 2").count() == 2
+
+
+def test_scoring_stream_with_history_equals_batch(spark, tmp_path, sf):
+    from railtempo.plans.detection import with_features
+
+    rows = derived.positions_with_dwell(spark, sf).withColumns({
+        "timestamp": F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 20), "headway_seconds": F.lit(None).cast("int")})
+    history = str(tmp_path / "positions")
+    tables.append_positions(rows, history)
+    detectors = DetectorSet()
+    detectors.register("zscore", lambda df: rules.zscore_rule(df, limit=1.0))
+    out = str(tmp_path / "anomalies")
+    query = jobs.start_scoring(_as_stream(spark, rows, str(tmp_path / "in"), 3), detectors, out, str(tmp_path / "cp"), once=True, history_path=history)
+    query.awaitTermination(300)
+    assert query.exception() is None
+    key = lambda df: sorted((r["source_position_id"], round(r["severity"], 9)) for r in df.filter("source_position_id is not null").collect())
+    whole = rules.zscore_rule(with_features(rows, percentiles=False), limit=1.0)
+    got = key(tables.read_anomalies(spark, out))
+    assert len(got) > 100 and set(got) <= set(key(whole))

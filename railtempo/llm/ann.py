@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from railtempo.session import checkpointed
+
 
 @dataclass(frozen=True)
 class CrossPolytope:
@@ -91,7 +93,7 @@ def _valid(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, np.ndarray,
 
 
 def _hash(df: DataFrame, index: CrossPolytope) -> DataFrame:
-    """(dim, table, bucket) of every vector in every table."""
+    """(dim, table, bucket, id) of every vector in every table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,17 +102,25 @@ def _hash(df: DataFrame, index: CrossPolytope) -> DataFrame:
                 unit = t / np.sqrt((t * t).sum(1, keepdims=True))
                 for table in range(index.tables):
                     n = len(ids)
-                    yield pa.record_batch({"dim": np.full(n, dim), "tab": np.full(n, table), "bucket": index.buckets(unit, table)})
+                    yield pa.record_batch({"dim": np.full(n, dim), "tab": np.full(n, table), "bucket": index.buckets(unit, table), "id": ids})
 
-    return df.mapInArrow(run, "dim bigint, tab bigint, bucket bigint")
+    return df.mapInArrow(run, "dim bigint, tab bigint, bucket bigint, id bigint")
 
 
 KEYS = ["dim", "tab", "bucket", "part", "query_part"]
 
 
-def _mix(ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """A part in [0, parts) from the id alone."""
-    h = (ids.astype(np.uint64) ^ (ids.astype(np.uint64) >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+def _salted(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A number of each id and vector, so that different vectors of one id can be split."""
+    words = np.ascontiguousarray(x).view(np.uint32).astype(np.uint64).reshape(len(x), -1)
+    odd = np.random.default_rng(words.shape[1]).integers(0, 1 << 63, words.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    h = (words * odd).sum(1, dtype=np.uint64)
+    return ids.astype(np.uint64) ^ h ^ (h >> np.uint64(32))
+
+
+def _mix(salted: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """A part in [0, parts) from ``_salted`` numbers alone."""
+    h = (salted ^ (salted >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
     return ((h >> np.uint64(33)) % parts.astype(np.uint64)).astype(np.int64)
 
 
@@ -139,19 +149,25 @@ def nearest(
     another space with its own index. Rows that repeat an id count as one item with the best of their scores.
 
     All vectors are indexed. A query probes ``probes`` buckets of each table, and in every table goes on until the probed ones hold
-    at least ``k`` other vectors, so none comes back short unless there are no more vectors. Only bucket counts
-    reach the driver (tables * buckets numbers). Hot buckets are cut into parts on both sides.
+    at least ``k`` other ids, so none comes back short unless there are no more. Only bucket counts
+    reach the driver (tables * buckets numbers). Hot buckets are cut into parts on both sides, by id and vector.
     """
     double = dict(vectors.dtypes)[vector] == "array<double>"
     kind = np.float64 if double else np.float32
     given = F.col(vector) if double or dict(vectors.dtypes)[vector] == "array<float>" else F.col(vector).cast("array<float>")
-    rows = vectors.select(F.col(id_column).cast("bigint").alias("id"), given.alias("v"))
-    asked = queries.select(F.col(id_column).cast("bigint").alias("id"), given.alias("v"))
-    counts = {(r.dim, r.tab, r.bucket): r.n for r in _hash(rows, index).groupBy("dim", "tab", "bucket").agg(F.count("*").alias("n")).collect()}
+    rows = checkpointed(vectors.select(F.col(id_column).cast("bigint").alias("id"), given.alias("v")).distinct())
+    asked = checkpointed(queries.select(F.col(id_column).cast("bigint").alias("id"), given.alias("v")).distinct())
+    # an id whose vectors lie in several buckets counts in the first of them only, so any buckets hold as many ids as counted or more
+    held_by = _hash(rows, index).groupBy("dim", "tab", "id", "bucket").agg(F.count("*").alias("n")).groupBy("dim", "tab", "id").agg(
+        F.min("bucket").alias("home"), F.collect_list(F.struct("bucket", "n")).alias("all"))
+    counts = held_by.select("dim", "tab", "home", F.inline("all")).groupBy("dim", "tab", "bucket").agg(
+        F.sum("n").alias("n"), F.count_if(F.col("home") == F.col("bucket")).alias("ids")).collect()
     sizes: dict[tuple[int, int], np.ndarray] = {}
-    for (dim, table, bucket), n in counts.items():
-        space = (2 << max(0, dim - 1).bit_length()) ** index.polytopes
-        sizes.setdefault((dim, table), np.zeros(space, dtype=np.int64))[bucket] = n
+    distinct_ids: dict[tuple[int, int], np.ndarray] = {}
+    for r in counts:
+        space = (2 << max(0, r.dim - 1).bit_length()) ** index.polytopes
+        sizes.setdefault((r.dim, r.tab), np.zeros(space, dtype=np.int64))[r.bucket] = r.n
+        distinct_ids.setdefault((r.dim, r.tab), np.zeros(space, dtype=np.int64))[r.bucket] = r.ids
 
     def probes(dim: int, unit: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, bucket) of the non-empty buckets that queries probe in one table."""
@@ -159,8 +175,8 @@ def nearest(
         if have is None:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         order = index.nearest_buckets(unit, table)
-        held = have[order]
-        before = np.cumsum(held, 1) - held
+        held, ids = have[order], distinct_ids[dim, table][order]
+        before = np.cumsum(ids, 1) - ids
         use = (np.arange(order.shape[1]) < index.probes) | (before < k + 1)
         row, at = np.nonzero(use & (held > 0))
         return row, order[row, at]
@@ -187,9 +203,10 @@ def nearest(
             for dim, ids, x in _valid(batch.column(0), batch.column(1)):
                 t = tame(x.astype(np.float64))
                 unit, raw = t / np.sqrt((t * t).sum(1, keepdims=True)), [v.tobytes() for v in x.astype(kind)]
+                salted = _salted(ids, x.astype(kind))
                 for table in range(index.tables):
                     b = index.buckets(unit, table)
-                    yield _emit(dim, table, b, ids, raw, _mix(ids, parts[dim, table][b]), query_parts[dim, table][b], True)
+                    yield _emit(dim, table, b, ids, raw, _mix(salted, parts[dim, table][b]), query_parts[dim, table][b], True)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,10 +214,11 @@ def nearest(
                 for at in range(0, len(ids), 256):
                     own, t = ids[at:at + 256], tame(x[at:at + 256].astype(np.float64))
                     unit, raw = t / np.sqrt((t * t).sum(1, keepdims=True)), [v.tobytes() for v in x[at:at + 256].astype(kind)]
+                    salted = _salted(own, x[at:at + 256].astype(kind))
                     for table in range(index.tables):
                         row, b = probes(dim, unit, table)
                         if len(row):
-                            yield _emit(dim, table, b, own[row], [raw[i] for i in row.tolist()], _mix(own[row], query_parts[dim, table][b]),
+                            yield _emit(dim, table, b, own[row], [raw[i] for i in row.tolist()], _mix(salted[row], query_parts[dim, table][b]),
                                         parts[dim, table][b], False)
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -210,12 +228,16 @@ def nearest(
         out_query, out_id, out_score = [], [], []
         if left.num_rows and right.num_rows:
             ids, x = matrix(left)
+            by_id = np.argsort(ids, kind="stable")
+            ids, x = ids[by_id], x[by_id]
+            starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
             unit = x / np.sqrt((x * x).sum(1, keepdims=True))
             asked_ids, q = matrix(right)
             for i, query in enumerate(asked_ids.tolist()):
                 rough = unit @ (q[i] / np.sqrt((q[i] * q[i]).sum()))
                 rough[ids == query] = -np.inf
-                limit = np.partition(rough, -k)[-k] - 1e-9 if len(rough) > k else -2.0
+                own_best = np.maximum.reduceat(rough, starts)  # of each id, so that repeated ones take one place
+                limit = np.partition(own_best, -k)[-k] - 1e-9 if len(starts) > k else -2.0
                 near = np.flatnonzero(rough >= max(limit, -2.0))
                 exact = pair_cosine(np.broadcast_to(q[i], (len(near), q.shape[1])), x[near])
                 best = np.lexsort((ids[near], -exact))

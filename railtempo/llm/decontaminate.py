@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from railtempo.session import checkpointed
 
-MASKS = ("11110111", "1110111")  # one substitution in five, and one in four
+WINDOW, SHARE = 13, 0.8
+MASKS = ("11101011", "1101001101")  # one of them fits between any two substitutions in 13 tokens
+# four of five tokens: a passage of n tokens with at most n / 5 substitutions has five in a row with at most one
+SHORT = ("1111", "10111", "11011", "11101")
 FILTER_WORDS = 1 << 18  # longs of the bit filter: 2 MB
 
 
@@ -50,31 +53,42 @@ def _filter(seeds: DataFrame, name: str) -> DataFrame:
 
 def overlaps(
     docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "text", item: str = "item_id", item_text: str = "text",
-    window: int = 13, share: float = 0.8, least: int = 5,
+    window: int = WINDOW, share: float = SHARE, least: int = 5,
 ) -> DataFrame:
     """(keys, item, matched, position): every document and test item with a common passage.
 
     Passage: aligned windows of ``window`` tokens (or the whole item, if that is shorter), at least ``share`` of whose tokens are equal,
     around a seed hit; ``matched`` is the largest number of equal tokens and ``position`` the first token hit. Items under
-    ``least`` tokens (null and empty ones too) can't tell a leak from chance and take no part. Items shorter than
-    the masks get contiguous seeds of their own length. Rows of documents with equal keys count as one, also null keys.
+    ``least`` tokens (null and empty ones too) can't tell a leak from chance and take no part. Seeds
+    reach every such passage for shares of 0.8 or more: items shorter than ``window``, or all of them at another window than 13, are looked
+    for by ``SHORT``, those under five tokens whole, the others by ``MASKS``. Rows of documents with equal keys count as one, also null keys.
 
     Documents are scanned once: seeds are tested against a bit filter of bounded size within the scan, and only possible hits
     with the tokens around them are shuffled to the benchmark's seeds.
     """
     items = checkpointed(benchmark.select(F.col(item).alias("_item"), tokens(item_text).alias("_tokens")).filter(
         F.size("_tokens") >= least).distinct())
-    shortest = min(map(len, MASKS))
-    lengths = [r[0] for r in items.select(F.size("_tokens").alias("n")).filter(F.col("n") < shortest).distinct().collect()]
-    masks = [*MASKS, *("1" * n for n in sorted(lengths))]
+    if share < SHARE or window < 5:
+        raise ValueError(f"seeds reach passages of a share of {SHARE} or more and windows of 5 or more")
+    size = F.size("_tokens")
+    usual = window == WINDOW
+    kind = F.when(size < 5, size).when((size < WINDOW) | F.lit(not usual), 5).otherwise(WINDOW)
+    kinds = items.select(kind.alias("n")).distinct()
+    looked_for = {r.n: MASKS if r.n == WINDOW else SHORT if r.n == 5 else ("1" * r.n,) for r in kinds.collect()}
+    masks = sorted({m for own in looked_for.values() for m in own}) or list(MASKS)
     longest = max(map(len, masks))
 
+    def suits(mask: str) -> Column:
+        """Whether items of this many tokens are looked for by a mask."""
+        return kind.isin([n for n, own in looked_for.items() if mask in own])
+
     def placed(df: DataFrame) -> DataFrame:
         # a filter on the tokens would be moved below and compute them twice; a text without any has no seed at 0 either
         return df.withColumn("_at", F.explode(F.expr("sequence(0, greatest(size(_tokens) - 1, 0))")))
 
     def seeds(df: DataFrame, *columns: str) -> DataFrame:
-        return df.select(*columns, "_at", "_tokens", F.explode(F.array(*(_seed(m) for m in masks))).alias("seed")).filter("seed is not null")
+        own = F.array(*(F.when(suits(m), _seed(m)) for m in masks))
+        return df.select(*columns, "_at", "_tokens", F.explode(own).alias("seed")).filter("seed is not null")
 
     tests = checkpointed(seeds(placed(items), "_item").select(
         "_item", "seed", _around(window, longest).alias("_test"), F.size("_tokens").alias("_length")).distinct())

@@ -114,7 +114,9 @@ def links(prints: DataFrame, bits: int = 2, column: str = "fingerprint") -> Data
                 row, anchor, home = anchors(part, tables)
                 yield pa.record_batch({"anchor": anchor, "print": part[row], "home": home})
 
-    distinct = prints.select(F.col(column).alias("print")).filter("print is not null").distinct()
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a fingerprint becomes dozens of rows: small ones must not be put together into few tasks first
+    distinct = prints.select(F.col(column).alias("print")).filter("print is not null").distinct().repartition(tasks)
     placed = distinct.mapInArrow(spread, "anchor bigint, print bigint, home boolean")
     homes = placed.filter("home").select("anchor", F.col("print").alias("a"))
     return homes.join(placed.select("anchor", F.col("print").alias("b")), "anchor").filter(
@@ -140,10 +142,10 @@ def near_duplicates(docs: DataFrame, bits: int = 2, id_column: str = "doc_id", t
         "id", "text_hash", "fingerprint", "component_id")
 
 
-def one_of_each(docs: DataFrame, bits: int = 2) -> DataFrame:
+def one_of_each(docs: DataFrame, bits: int = 2, words: int = 3) -> DataFrame:
     """The documents left when one of each near-duplicate group stays: the row with the component's id (rows without id: one per
     fingerprint). Of rows repeating that id, the one with the smallest text hash stays, once."""
-    groups = near_duplicates(docs, bits)
+    groups = near_duplicates(docs, bits, words=words)
     chosen = groups.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id", "component_id", F.when(
         F.col("id").isNull(), F.col("fingerprint")).alias("own")).agg(F.min("text_hash").alias("text_hash"))
     kept = chosen.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()

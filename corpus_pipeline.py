@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railtempo.llm import bpe, decontaminate, near, quality, queries, secrets
+from railtempo.llm import bpe, decontaminate, quality, queries, secrets, simhash
 from railtempo.session import checkpoint_root
 
 
@@ -21,8 +21,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, Jaccard similarity of 0.8 or more)."""
-    return near.one_of_each(docs)
+    """One document of each near-duplicate group (SimHash of three-word shingles, links at two or fewer differing bits)."""
+    return simhash.one_of_each(docs, bits=2, words=3)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railtempo.llm import ann, bpe, chat, decontaminate, licenses, quality, secrets, simhash, url_filter, warc
+from railtempo.llm import ann, bpe, chat, decontaminate, licenses, negatives, packing, quality, runs, secrets, simhash, url_filter, warc
 
 QUERIES, SQL = {}, {}
 
@@ -148,3 +148,66 @@ def op10_chat(spark, sf_dir):
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text").union(extra)
     return chat.digests(rows, public_bpe())
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of one document in ten the words from some place on are made periodic; null counts as empty."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    split = docs.select("doc_id", "text", h.alias("h"), g.alias("g")).withColumn(
+        "words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)))
+    placed = split.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    placed = placed.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    whole = F.slice("words", F.col("a") + 1, F.col("p"))
+    turns = F.expr("cast((n - a) div p + 1 as int)")
+    periodic = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(F.flatten(F.array_repeat(whole, turns)), F.lit(1), F.col("n") - F.col("a")))
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(periodic, " ")).otherwise(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def run_digests(found: DataFrame) -> DataFrame:
+    """What the contract wants of texts with their runs."""
+    best = F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as start, -r.period as period)))")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query("op11_runs")
+def op11_runs(spark, sf_dir):
+    """Periodic runs of words in every document, and the documents without their repetitions, as digests."""
+    return run_digests(runs.with_runs(with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def whole_vectors(vectors: DataFrame) -> DataFrame:
+    """(id, label, vector): components as whole 256ths, the label of every seventh row moved on; without incomplete rows."""
+    x = F.col("embedding")
+    odd = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & x.isNotNull() & ~odd)
+    return rows.select(F.col("vec_id").alias("id"), label.alias("label"), F.transform(x, lambda v: F.floor(256 * v.cast("double"))).alias("vector"))
+
+
+@query("op12_hard_negatives")
+def op12_hard_negatives(spark, sf_dir):
+    """Rows of other labels that score nearly as high as an anchor's positives."""
+    rows = whole_vectors(table(spark, sf_dir, "embeddings"))
+    return negatives.hard_negatives(rows, rows.filter("id % 100 = 0"))
+
+
+def public_words() -> packing.WordBpe:
+    """The lower-case word vocabulary; ``TOKENIZER_DIR`` names another folder that holds it."""
+    import public_tokenizers
+
+    folder, name = os.environ.get("TOKENIZER_DIR"), "word_bpe_49k.json"
+    return packing.WordBpe.load(os.path.join(folder, name) if folder else public_tokenizers.path(name))
+
+
+@query("op13_packing")
+def op13_packing(spark, sf_dir):
+    """All documents in windows of 4,096 tokens."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_words(), end=2)
+    return pieces.select(
+        F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

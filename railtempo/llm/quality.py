@@ -12,58 +12,60 @@ from pyspark.sql import functions as F
 
 from railtempo.llm.settings import sampled
 
-BLOCK = 256  # bytes compressed at a time, so that a block's own repetitions don't hide what the dictionary gives
+BLOCK = 512  # bytes compressed at a time, so that a text's own repetitions hide little of what the dictionary gives
 
 
 @dataclass
 class QualityModel:
-    """Dictionaries of bad and good text, and the calibration from size features to the probability of good."""
+    """Dictionaries of bad and good text, and what turns the difference of sizes into the probability of good."""
 
     bad: bytes
     good: bytes
-    center: np.ndarray
-    spread: np.ndarray
-    weights: np.ndarray
+    center: float
+    spread: float
+    offset: float
+    slope: float
+
+    def differences(self, texts: list[str | None]) -> np.ndarray:
+        """Per whole text the normalised difference of its sizes with either dictionary: the larger, the more it is like good text. Null
+        counts as empty."""
+        with_bad, with_good = _compressor(self.bad), _compressor(self.good)
+        out = np.empty(len(texts))
+        for i, text in enumerate(texts):
+            raw = (text or "").encode()
+            b = g = 0
+            for at in range(0, max(1, len(raw)), BLOCK):
+                block = raw[at:at + BLOCK]
+                b += len(with_bad.compress(block))
+                g += len(with_good.compress(block))
+            out[i] = (b - g) / (b + g)
+        return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        return _sigmoid(_expand((sizes(texts, self.bad, self.good) - self.center) / self.spread) @ self.weights)
+        return _sigmoid(self.offset + self.slope * (self.differences(texts) - self.center) / self.spread)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _expand(z: np.ndarray) -> np.ndarray:
-    """Constant, clipped features and their products."""
-    z = np.clip(z, -4, 4)
-    n = z.shape[1]
-    return np.column_stack([np.ones(len(z)), z, *(z[:, i] * z[:, j] for i in range(n) for j in range(i, n))])
+def _compressor(dictionary: bytes, level: int = 3) -> zstandard.ZstdCompressor:
+    own = zstandard.ZstdCompressionDict(dictionary)
+    own.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(level=level, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def _compressor(content: bytes | None, level: int = 3) -> zstandard.ZstdCompressor:
-    options = dict(level=level, write_content_size=False, write_checksum=False, write_dict_id=False)
-    if content is None:
-        return zstandard.ZstdCompressor(**options)
-    dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    dictionary.precompute_compress(level=level)
-    return zstandard.ZstdCompressor(dict_data=dictionary, **options)
-
-
-def sizes(texts: list[str | None], bad: bytes, good: bytes) -> np.ndarray:
-    """Per whole text: normalised difference of the sizes with either dictionary, the size with the good one and without any as
-    shares of the text's bytes, and the logarithm of these bytes. Null counts as empty."""
-    with_bad, with_good, alone = _compressor(bad), _compressor(good), _compressor(None)
-    out = np.empty((len(texts), 4))
-    for i, text in enumerate(texts):
-        raw = (text or "").encode()
-        b = g = 0
-        for at in range(0, max(1, len(raw)), BLOCK):
-            block = raw[at:at + BLOCK]
-            b += len(with_bad.compress(block))
-            g += len(with_good.compress(block))
-        scale = len(raw) + 16
-        out[i] = (b - g) / (b + g), g / scale, len(alone.compress(raw)) / scale, np.log(scale)
-    return out
+def dictionary(texts: list[str], size: int, bytes_per_text: int) -> bytes:
+    """A zstandard dictionary trained on blocks of different texts; of too little text for training, that text."""
+    blocks = {}
+    for k, text in enumerate(texts):
+        raw = text.encode()
+        at = 7_919 * k % max(1, len(raw) - bytes_per_text)
+        blocks |= dict.fromkeys(raw[x:x + BLOCK] for x in range(at, min(len(raw), at + bytes_per_text), BLOCK))
+    try:
+        return zstandard.train_dictionary(size, [b for b in blocks if len(b) >= 8]).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(blocks)[:size].ljust(64, b"-")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 60) -> np.ndarray:
@@ -87,14 +89,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 60
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, dictionary_bytes: int = 131_072, texts_per_label: int = 3_000, longest: int = 20_000,
-    bytes_per_text: int = 2_048,
+    docs: DataFrame, labels: DataFrame, dictionary_bytes: int = 32_768, texts_per_label: int = 3_000, longest: int = 20_000,
+    bytes_per_text: int = 2_048, folds: int = 4, calibrated_per_label: int = 1_200,
 ) -> QualityModel:
     """Learns from at most ``texts_per_label`` texts of each label (a hash decides which), none over ``longest`` characters.
 
-    Every second of them gives ``bytes_per_text`` bytes to its label's dictionary, the others calibrate. Only that bounded sample is
-    collected. The calibration is set to the share of good among all ``labels`` rows given. Rows with a null label or id
-    are passed over. With only one label, or none, the score is that label's share (0.5 without any).
+    Each gives ``bytes_per_text`` bytes to the training of its label's dictionary. The calibration is a logistic curve over the
+    difference of sizes, its only input, which never falls; it is fitted to differences of up to ``calibrated_per_label`` texts of each
+    label by dictionaries made without their fold. Only that bounded sample is collected. The calibration is set to the share
+    of good among all ``labels`` rows given. Rows with a null label or id are passed over. With only one label, or none, the
+    score is that label's share (0.5 without any).
     """
     known = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
@@ -107,32 +111,35 @@ def train(
     texts: dict[int, list[str]] = {0: [], 1: []}
     for r in rows:
         texts[r["quality"]].append(r["text"])
-    content = []
-    for label in (0, 1):
-        pieces, seen = [], set()
-        for k, text in enumerate(texts[label][::2]):
-            raw = text.encode()
-            at = 7_919 * k % max(1, len(raw) - bytes_per_text)
-            if (piece := raw[at:at + bytes_per_text]) not in seen:
-                seen.add(piece)
-                pieces.append(piece)
-        content.append(b"".join(pieces)[:dictionary_bytes] or b"-" * 64)
-    held = [(t, q) for q in (0, 1) for t in texts[q][1::2]]
-    total = sum(counts.values())
-    if len({q for _, q in held}) < 2:
+
+    def fitted(kept: dict[int, list[str]]) -> QualityModel:
+        return QualityModel(*(dictionary(kept[q], dictionary_bytes, bytes_per_text) for q in (0, 1)), 0.0, 1.0, 0.0, 0.0)
+
+    model, total = fitted(texts), sum(counts.values())
+    if not (texts[0] and texts[1]):
         share = (counts.get(1, 0) + 1) / (total + 2)
-        flat = np.zeros(15)
-        flat[0] = np.log(share / (1 - share))
-        return QualityModel(*content, np.zeros(4), np.ones(4), flat)
-    x, y = sizes([t for t, _ in held], *content), np.array([q for _, q in held])
-    center, spread = x.mean(0), x.std(0) + 1e-9
-    weights = _logistic(_expand((x - center) / spread), y)
-    weights[0] += np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum()))
-    return QualityModel(*content, center, spread, weights)
+        model.offset = float(np.log(share / (1 - share)))
+        return model
+    x, y = [], []
+    for fold in range(folds):
+        other = fitted({q: [t for k, t in enumerate(own) if k % folds != fold] for q, own in texts.items()})
+        for q, own in texts.items():
+            part = own[fold::folds][:-(-calibrated_per_label // folds)]
+            x += other.differences(part).tolist()
+            y += [q] * len(part)
+    x, y = np.array(x), np.array(y)
+    model.center, model.spread = float(x.mean()), float(x.std()) + 1e-9
+    offset, slope = _logistic(np.column_stack([np.ones(len(x)), (x - model.center) / model.spread]), y).tolist()
+    model.offset = offset + float(np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum())))
+    model.slope = max(0.0, slope)
+    return model
 
 
 def with_quality(docs: DataFrame, model: QualityModel, text: str = "text", into: str = "score") -> DataFrame:
-    """Adds the calibrated probability (0 to 1) that a whole text is good; null and empty texts are scored as empty."""
+    """Adds the calibrated probability (0 to 1) that a whole text is good; null and empty texts are scored as empty.
+
+    Rows are scored one by one: repeated rows and rows without id stay as they are. A column named ``into`` is replaced, all others stay.
+    """
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

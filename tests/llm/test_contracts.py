@@ -1,6 +1,7 @@
 """Each operator's query on a whole small table, against plain Python over the same rows."""
 
 import base64
+import dataclasses
 import hashlib
 import zlib
 
@@ -10,7 +11,7 @@ import pytest
 import tiktoken
 from oracle import connect, difference
 
-from railtempo.llm import queries, simhash
+from railtempo.llm import quality, queries, simhash
 
 Q = queries.QUERIES
 
@@ -98,6 +99,21 @@ def test_quality_held_out(spark):
     assert sum(r.predicted == label[r.doc_id] for r in held) / len(held) > 0.97
     good = [r for r in held if label[r.doc_id] == 1]
     assert sum(r.predicted for r in good) / len(good) > 0.985
+    # the difference of sizes is all that a score comes from: its ranks, and their reverse with the dictionaries swapped
+    assert area([r.score for r in held], [label[r.doc_id] for r in held]) > 0.97
+    docs = queries.table(spark, sf, "documents")
+    model = quality.train(docs, queries.table(spark, sf, "labels").filter(~quality.held_out("doc_id")))
+    texts = [t for _, t, *_ in rows(sf, "documents")][:300]
+    swapped = dataclasses.replace(model, bad=model.good, good=model.bad, center=-model.center)
+    assert np.allclose(swapped.differences(texts), -model.differences(texts)) and model.slope > 0
+    order = np.argsort(model.differences(texts), kind="stable")
+    assert (np.diff(model.scores(texts)[order]) >= 0).all() and (np.diff(swapped.scores(texts)[order]) <= 0).all()
+
+
+def area(scores, labels):
+    """Share of (good, bad) pairs in the right order; ties count half."""
+    good, bad = (np.array([s for s, q in zip(scores, labels) if q == k]) for k in (1, 0))
+    return ((good[:, None] > bad).sum() + (good[:, None] == bad).sum() / 2) / (len(good) * len(bad))
 
 
 def test_bpe_digests(spark, sf):

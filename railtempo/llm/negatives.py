@@ -103,35 +103,49 @@ class CoverTree:
         """For each window (low, high) the first ``k`` (score, id) by falling score and rising id, of rows with low <= score <= high
         whose (ids, labels) are ``usable``."""
         found: list[list[tuple[int, int]]] = [[] for _ in windows]
-        if not len(self.x):
+        if not len(self.x) or not windows or not k:
             return found
+        least, most = (np.array([w[i] for w in windows], np.float64) for i in (0, 1))
 
-        def wanted(low: float, high: float) -> bool:
-            return any(high >= w[0] and low <= w[1] and (len(f) < k or high >= f[-1][0]) for w, f in zip(windows, found))
+        def wanted(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+            floor = np.array([max(w, f[-1][0]) if len(f) == k else w for w, f in zip(least, found)], np.float64)
+            return ((high[:, None] >= floor) & (low[:, None] <= most)).any(1)
 
-        as_float = q.astype(np.float64)
-        low, high = self._bounds(np.zeros(1, np.int64), as_float)
-        heap = [(-high[0], low[0], 0)]
-        while heap:
-            high, low, node = heapq.heappop(heap)
-            if not wanted(low, -high):
-                continue
-            if self.rows[node] is None:
-                children = self.children[node]
-                for lo, hi, child in zip(*self._bounds(children, as_float), children.tolist()):
-                    if wanted(lo, hi):
-                        heapq.heappush(heap, (-hi, lo, child))
-                continue
-            rows = self.rows[node][usable(self.ids[self.rows[node]], self.labels[self.rows[node]])]
+        def verify(nodes: list[int]) -> None:
+            rows = np.concatenate([self.rows[n] for n in nodes])
+            rows = rows[usable(self.ids[rows], self.labels[rows])]
             scores = _products(self.x[rows], q)
             for w, f in zip(windows, found):
-                inside = (scores >= w[0]) & (scores <= w[1])
-                if len(f) == k:
-                    inside &= scores >= f[-1][0]
+                inside = (scores >= (f[-1][0] if len(f) == k else w[0])) & (scores >= w[0]) & (scores <= w[1])
                 if inside.any():
                     f += [(int(s), int(i)) for s, i in zip(scores[inside], self.ids[rows[inside]])]
                     f.sort(key=lambda p: (-p[0], p[1]))
                     del f[k:]
+
+        # the heap holds the best child still to be visited of every opened node; its siblings follow by falling bound
+        as_float, heap = q.astype(np.float64), []
+
+        def put(low: np.ndarray, high: np.ndarray, nodes: np.ndarray) -> None:
+            if len(nodes):
+                heapq.heappush(heap, (-high[0], int(nodes[0]), low, high, nodes))
+
+        def visit(nodes: np.ndarray) -> None:
+            low, high = self._bounds(nodes, as_float)
+            met = np.flatnonzero(wanted(low, high))
+            met = met[np.argsort(-high[met], kind="stable")]
+            put(low[met], high[met], nodes[met])
+
+        visit(np.zeros(1, np.int64))
+        while heap:
+            _, _, low, high, nodes = heapq.heappop(heap)
+            # the best few siblings at a time: small leaves are compared together
+            put(low[LEAF:], high[LEAF:], nodes[LEAF:])
+            met = nodes[:LEAF][wanted(low[:LEAF], high[:LEAF])].tolist()
+            if leaves := [n for n in met if self.rows[n] is not None]:
+                verify(leaves)
+            for n in met:
+                if self.rows[n] is None:
+                    visit(self.children[n])
         return found
 
 

@@ -30,6 +30,36 @@ def _(spark, sf):
     return rolling.with_rolling(rows, ["share"], 1, ()).select("id", F.round("share_zscore", 5).alias("z"))
 
 
+# thirds, in units that differ by up to 24 powers of ten from row to row
+_SIZED = "((id * 7919) % 1009 + 1) / 3e0 * case id % 3 when 0 then 1e-9 when 1 then 1e0 else 1e15 end"
+
+
+def _digits(column: str, least: str = "0e0") -> str:
+    """Six digits of a number and its power of ten; 0 if it is not over ``least``."""
+    power = f"floor(log10({column}))"
+    shown = f"round({column} / power(1e1, {power}), 6)"
+    return f"case when {column} > {least} then {{}} when {column} is not null then 0e0 end".format(shown), (
+        f"case when {column} > {least} then cast({power} as integer) end")
+
+
+_DIGITS = {}
+for _h in (3, 24):
+    _DIGITS |= {f"mean_{_h}h": _digits(f"m{_h}"), f"std_{_h}h": _digits(f"s{_h}", f"1e-9 * m{_h}")}
+_SHOWN = ", ".join(f"{shown} as {name}, {power} as {name}_power" for name, (shown, power) in _DIGITS.items())
+
+
+@query("rolling_moments_double", f"""with {HEADWAYS}, p as (select id, timestamp, current_station, direction, {_SIZED} as v from moving),
+    w as (select id, {", ".join(f"case when current_station is not null then avg(v) over w{h} end as m{h}, case when current_station is not null then stddev_samp(v) over w{h} end as s{h}" for h in (3, 24))}
+      from p window {", ".join(f"w{h} as (partition by current_station, direction order by timestamp {_frame(h)})" for h in (3, 24))})
+    select id, {_SHOWN} from w""")
+def _(spark, sf):
+    """Means and deviations of numbers of very different size, to six digits each."""
+    rows = moving(spark, sf).withColumn("v", F.expr(_SIZED))
+    wide = rolling.with_rolling(rows, ["v"], None, (3, 24))
+    named = wide.selectExpr("id", *[f"v_rolling_{h}h_{long} as {short}{h}" for h in (3, 24) for long, short in (("mean", "m"), ("std", "s"))])
+    return named.selectExpr("id", *[f"{shown} as {name}" for name, (shown, _) in _DIGITS.items()], *[f"{power} as {name}_power" for name, (_, power) in _DIGITS.items()])
+
+
 MINUTES = 360
 _RECENT = f"""{DETECTIONS.replace("86399.999999", "3599.999999")},
   inside as (select *, time_bucket(interval '5 minutes', timestamp) as bucket from detections

@@ -1,9 +1,11 @@
 """Rolling statistics over a time frame ``(t - length, t]`` per key.
 
-A sliding SQL frame re-reads its whole frame for each row and puts a key into one task. Here time is cut into slices and
-each row is emitted to its own slice (+) and, shifted by the frame length, to the slice where it leaves the frame (-).
-Together with one carry row per slice (totals of the slices inside the frame) a plain running sum per (key, slice) is the
-frame's sum: linear work, and a busy key is spread over all its slices. Sums are kept in integers and so are exact.
+A sliding SQL frame re-reads its whole frame for each row and puts a key into one task. Here time is cut into slices, and a
+frame is put together from three parts: the rows so far in the row's own slice, whole slices before it, and what the slice where
+the frame begins still has after that moment. The first and the last are running aggregates, forwards and backwards, over the rows of one
+(key, slice); the slice that the frame leaves is sent along, shifted by the frame's length. Parts are counts, sums and sums of squared
+deviations, and are only ever added: nothing is subtracted again, so a large value leaves no trace in frames without it. Work is
+linear, and a busy key is spread over all its slices.
 """
 
 from __future__ import annotations
@@ -22,72 +24,79 @@ KEYS = ["current_station", "direction"]
 EPSILON = 1e-7
 
 
-MILLIONTHS = 1_000_000
-
-
-def _scales(df: DataFrame, columns: list[str]) -> list[int]:
-    """1 for whole numbers; columns of doubles, floats and decimals are summed in millionths, so that sums stay exact."""
-    kinds = dict(df.dtypes)
-    whole = ("tinyint", "smallint", "int", "bigint")
+def _whole(df: DataFrame, columns: list[str]) -> list[bool]:
+    """Whether each column holds whole numbers."""
+    kinds, whole = dict(df.dtypes), ("tinyint", "smallint", "int", "bigint")
     for c in columns:
-        if not (kinds[c] in whole or kinds[c] in ("float", "double") or kinds[c].startswith("decimal")):
+        if not (kinds[c] in (*whole, "float", "double") or kinds[c].startswith("decimal")):
             raise TypeError(f"{c} is {kinds[c]}, not a number")
-    return [1 if kinds[c] in whole else MILLIONTHS for c in columns]
-
-
-def _mean(n: str, total: str, scale: int) -> str:
-    return f"if({n} > 0, {total} / {n} / {scale}D, null)"
+    return [kinds[c] in whole for c in columns]
 
 
-def _sample_std(n: str, total: str, squares: str, scale: int) -> str:
-    """Sample deviation from exact sums; their products are taken in 38 digits."""
-    wide = "cast({} as decimal(38,0))".format
-    spread = f"cast({wide(n)} * {wide(squares)} - {wide(total)} * {wide(total)} as double)"
-    return f"if({n} > 1, sqrt({spread} / (cast({n} as double) * ({n} - 1))) / {scale}D, null)"
-
-
-def _frame_sums(df: DataFrame, columns: list[str], frames: dict[str, int], keys: list[str], ts: str,
-                slice_micros: int) -> DataFrame:
-    """Rows of ``df`` with exact running sums ``_n_<frame>_<i>``, ``_s_...`` and ``_q_...`` (count, sum, squares)."""
+def _whole_slices(totals: DataFrame, columns: int, slices: list[int], keys: list[str]) -> DataFrame:
+    """Per key and slice the array ``_between``: for each frame and column the moments of the whole slices before it that the frame holds."""
+    key_list = ", ".join(f"`{k}`" for k in keys)
+    parts = ", ".join(f"_{p}{i}" for i in range(columns) for p in "nsq")
+    lists = [
+        f"collect_list(struct({parts})) over (partition by {key_list} order by _slice range between {m - 1} preceding and 1 preceding) as _l{f}"
+        if m > 1 else f"filter(array(struct({parts})), v -> false) as _l{f}" for f, m in enumerate(slices)]
+    added = [f"aggregate(_l{f}, 0D, (a, v) -> a + v._{p}{i}) as _{p}{f}_{i}" for f in range(len(slices)) for i in range(columns) for p in "ns"]
+    merged = ", ".join(
+        f"""struct(_n{f}_{i} as n, _s{f}_{i} as s, aggregate(_l{f}, 0D,
+          (a, v) -> a + v._q{i} + if(v._n{i} > 0, v._n{i} * pow(v._s{i} / v._n{i} - _s{f}_{i} / _n{f}_{i}, 2), 0D)) as q)"""
+        for f in range(len(slices)) for i in range(columns))
+    named = [f"`{k}`" for k in keys] + ["_slice"]
+    listed = totals.selectExpr(*named, *lists)
+    return listed.selectExpr(*named, *[f"_l{f}" for f in range(len(slices))], *added).selectExpr(*named, f"array({merged}) as _between")
+
+
+def _frame_moments(df: DataFrame, columns: list[str], frames: dict[str, int], keys: list[str], ts: str,
+                   slice_micros: int) -> DataFrame:
+    """Rows of ``df`` with ``_n_<frame>_<i>``, ``_m_...`` and ``_q_...``: count, mean and sum of squared deviations of each column in
+    each frame."""
     if any(length % slice_micros for length in frames.values()):
         raise ValueError("each frame length must be a whole number of slices")
-    parts = [f"_{p}{i}" for i in range(len(columns)) for p in "nsq"]
-    key_list = ", ".join(f"`{k}`" for k in keys)
-    timed = df.withColumn("_t0", micros(ts))
-    units = [f"bigint(`{c}`)" if scale == 1 else f"bigint(round(`{c}` * {scale}D))" for c, scale in zip(columns, _scales(df, columns))]
-    moments = [
-        expr for i, (c, unit) in enumerate(zip(columns, units)) for expr in (
-            f"if(`{c}` is null, 0L, 1L) as _n{i}", f"coalesce({unit}, 0L) as _s{i}",
-            f"coalesce(cast({unit} as decimal(19,0)) * {unit}, 0) as _q{i}")
-    ]
-    # own row (kind 0, +) and one copy per frame (kind k, -) at the moment the row leaves that frame
+    _whole(df, columns)
+    key_list, few = ", ".join(f"`{k}`" for k in keys), range(len(columns))
+    timed = df.selectExpr("*", *[f"double(`{c}`) as _x{i}" for i, c in enumerate(columns)]).withColumn("_t0", micros(ts))
+    values = [f"_x{i}" for i in few]
+    # own row (kind 0) and one narrow copy per frame (kind 1, 2, ...) at the moment the row leaves that frame
     shifts = ", ".join(f"{length}L" for length in frames.values())
-    emitted = timed.selectExpr("*", *moments, f"posexplode(array(0L, {shifts})) as (_kind, _shift)").selectExpr(
-        *[f"`{k}`" for k in keys],
-        *[f"if(_kind = 0, `{c}`, null) as `{c}`" for c in df.columns if c not in keys],
+    emitted = timed.selectExpr("*", f"posexplode(array(0L, {shifts})) as (_kind, _shift)").selectExpr(
+        *[f"`{k}`" for k in keys], *[f"if(_kind = 0, `{c}`, null) as `{c}`" for c in df.columns if c not in keys], *values,
         "_kind", "_t0 + _shift as _t",
-        *[f"if(_kind = 0, {p}, -{p}) as {p}" for p in parts],
     ).withColumn("_slice", floor_div(F.col("_t"), slice_micros))
-    totals = (
-        timed.withColumn("_slice", floor_div(F.col("_t0"), slice_micros)).selectExpr(*[f"`{k}`" for k in keys], "_slice", *moments)
-        .groupBy(*keys, "_slice").agg(*[F.sum(p).alias(p) for p in parts])
-    )
-    carries = []
-    for kind, length in enumerate(frames.values(), start=1):
-        inside = f"(partition by {key_list} order by _slice range between {length // slice_micros} preceding and 1 preceding)"
-        sums = ", ".join(f"coalesce(sum({p}) over {inside}, 0) as {p}" for p in parts)
-        carries.append(f"struct({kind} as _kind, {sums})")
-    carry = (
-        totals.selectExpr(*[f"`{k}`" for k in keys], "_slice", f"array({', '.join(carries)}) as _all")
-        .selectExpr(*[f"`{k}`" for k in keys], "_slice", f"_slice * {slice_micros}L - 1 as _t", "inline(_all)")
-    )
+    totals = timed.withColumn("_slice", floor_div(F.col("_t0"), slice_micros)).groupBy(*keys, "_slice").agg(
+        *[agg for i in few for agg in (
+            F.count(f"_x{i}").cast("double").alias(f"_n{i}"), F.coalesce(F.sum(f"_x{i}"), F.lit(0.0)).alias(f"_s{i}"),
+            F.coalesce(F.var_pop(f"_x{i}") * F.count(f"_x{i}"), F.lit(0.0)).alias(f"_q{i}"))])
+    between = _whole_slices(totals, len(columns), [length // slice_micros for length in frames.values()], keys)
+    carry = between.selectExpr(*[f"`{k}`" for k in keys], "-1 as _kind", f"_slice * {slice_micros}L - 1 as _t", "_slice", "_between")
     merged = emitted.unionByName(carry, allowMissingColumns=True)
-    running = f"(partition by {key_list}, _slice order by _t range between unbounded preceding and current row)"
-    sums = [
-        f"sum(if(_kind in (0, {kind}), _{p}{i}, 0)) over {running} as _{p}_{label}_{i}"
-        for kind, label in enumerate(frames, start=1) for i in range(len(columns)) for p in "nsq"
-    ]
-    return merged.selectExpr("*", *sums).filter("_kind = 0")
+    forwards = f"(partition by {key_list}, _slice order by _t range between unbounded preceding and current row)"
+    backwards = f"(partition by {key_list}, _slice order by _t desc range between unbounded preceding and 1 preceding)"
+
+    def running(kind: int, over: str) -> list[str]:
+        own = [f"if(_kind = {kind}, {x}, null)" for x in values]
+        return [text for i, x in enumerate(own) for text in (
+            f"count({x}) over {over} as _n{kind}_{i}", f"sum({x}) over {over} as _s{kind}_{i}", f"var_pop({x}) over {over} as _v{kind}_{i}")]
+
+    seen = merged.selectExpr("*", f"first(_between, true) over {forwards} as _whole", *running(0, forwards), *[
+        text for kind in range(1, len(frames) + 1) for text in running(kind, backwards)]).filter("_kind = 0")
+
+    def parts(kind: int, i: int) -> list[tuple[str, str, str]]:
+        """(count, sum, squared deviations) of a frame's three parts."""
+        whole = f"_whole[{(kind - 1) * len(columns) + i}]"
+        ends = [(f"_n{k}_{i}", f"coalesce(_s{k}_{i}, 0D)", f"coalesce(_v{k}_{i} * _n{k}_{i}, 0D)") for k in (0, kind)]
+        return [*ends, (f"{whole}.n", f"{whole}.s", f"{whole}.q")]
+
+    each = [(label, kind, i) for kind, label in enumerate(frames, start=1) for i in few]
+    counted = seen.selectExpr("*", *[f"{' + '.join(n for n, _, _ in parts(kind, i))} as _n_{label}_{i}" for label, kind, i in each])
+    meant = counted.selectExpr("*", *[
+        f"if(_n_{label}_{i} > 0, ({' + '.join(s for _, s, _ in parts(kind, i))}) / _n_{label}_{i}, null) as _m_{label}_{i}" for label, kind, i in each])
+    apart = "{q} + if({n} > 0, {n} * pow({s} / {n} - {m}, 2), 0D)".format
+    return meant.selectExpr(*[f"`{c}`" for c in df.columns], *[f"_{p}_{label}_{i}" for label, _, i in each for p in "nm"], *[
+        f"{' + '.join(apart(n=n, s=s, q=q, m=f'_m_{label}_{i}') for n, s, q in parts(kind, i))} as _q_{label}_{i}" for label, kind, i in each])
 
 
 def _slice_length(frames: dict[str, int], slice_minutes: int | None) -> int:
@@ -105,9 +114,9 @@ def with_rolling(
     ts: str = "timestamp",
     slice_minutes: int | None = None,
 ) -> DataFrame:
-    """Z-score over ``zscore_hours`` and mean and deviation over each of ``stat_hours``; fractions count in millionths.
+    """Z-score over ``zscore_hours`` and mean and deviation over each of ``stat_hours``, of numbers of any kind and size.
 
-    Rows with a null key get null features. ``slice_minutes`` (default: the frames' common divisor) sets how finely a
+    Nulls don't count; NaN, infinity and squares beyond a double spoil the frames that hold them and no others. Rows with a null key get null features. ``slice_minutes`` (default: the frames' common divisor) sets how finely a
     busy key is spread; it must divide every frame.
     """
     columns = columns or METRIC_COLUMNS
@@ -115,18 +124,17 @@ def with_rolling(
     hours = ([zscore_hours] if zscore_hours else []) + [h for h in stat_hours if h != zscore_hours]
     frames = {f"{h}h": h * HOUR for h in hours}
     width = _slice_length(frames, slice_minutes)
-    rows = _frame_sums(df, columns, frames, keys, ts, width)
+    rows = _frame_moments(df, columns, frames, keys, ts, width)
     keyed = " and ".join(f"`{k}` is not null" for k in keys)
+    std = "if(_n_{0}h_{1} > 1, sqrt(_q_{0}h_{1} / (_n_{0}h_{1} - 1)), null)".format
     out = []
-    for i, (c, scale) in enumerate(zip(columns, _scales(df, columns))):
+    for i, c in enumerate(columns):
         if zscore_hours:
-            n, total, squares = (f"_{p}_{zscore_hours}h_{i}" for p in "nsq")
-            z = f"(`{c}` - {_mean(n, total, scale)}) / ({_sample_std(n, total, squares, scale)} + {EPSILON!r}D)"
+            z = f"(`{c}` - _m_{zscore_hours}h_{i}) / ({std(zscore_hours, i)} + {EPSILON!r}D)"
             out.append(f"if({keyed}, {z}, null) as `{c}_zscore`")
         for h in stat_hours:
-            n, total, squares = (f"_{p}_{h}h_{i}" for p in "nsq")
-            out.append(f"if({keyed}, {_mean(n, total, scale)}, null) as `{c}_rolling_{h}h_mean`")
-            out.append(f"if({keyed}, {_sample_std(n, total, squares, scale)}, null) as `{c}_rolling_{h}h_std`")
+            out.append(f"if({keyed}, _m_{h}h_{i}, null) as `{c}_rolling_{h}h_mean`")
+            out.append(f"if({keyed}, {std(h, i)}, null) as `{c}_rolling_{h}h_std`")
     return rows.selectExpr(*[f"`{c}`" for c in df.columns], *out)
 
 
@@ -207,7 +215,7 @@ def with_rolling_percentile(
     keyed = ~F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
     rows = df.select(
         *payload, at.alias("_t0"), home_slice.alias("_slice0"),
-        *[F.col(c).cast("long" if scale == 1 else "double").alias(m) for c, m, scale in zip(columns, measures, _scales(df, columns))],
+        *[F.col(c).cast("long" if whole else "double").alias(m) for c, m, whole in zip(columns, measures, _whole(df, columns))],
     )
     # own rows, and the same rows where they leave the frame: there once from the slice's begin and once when they go.
     # Null keys get null results and need no copy

@@ -147,6 +147,33 @@ def test_rolling_equals_pandas(spark, monkeypatch, seed, slice_minutes, call, pl
             np.testing.assert_allclose(got[f"{c}_rolling_{h}h_std"].to_numpy(float), std.to_numpy(), rtol=1e-6, atol=1e-6)
 
 
+@pytest.mark.parametrize("slice_minutes", [None, 10])
+def test_rolling_numbers_of_any_size(spark, slice_minutes):
+    """Small numbers after large ones, thirds, NaN and infinity: each frame is as if it stood alone."""
+    rng = np.random.default_rng(3)
+    values = [*np.arange(4) * 1e-9, 1e15, -3e120, *rng.normal(size=60) / 3, float("nan"), 1e13, *rng.normal(size=60) * 1e-7, float("inf"), None, *rng.normal(size=60)]
+    minutes = np.cumsum(rng.integers(1, 30, len(values)))
+    pdf = pd.DataFrame({"id": range(len(values)), "timestamp": [T0 + dt.timedelta(minutes=int(m)) for m in minutes], "v": values})
+    rows = [(int(r.id), r.timestamp.to_pydatetime(), "A", 0, None if v is None else float(v)) for r, v in zip(pdf.itertuples(), values)]
+    df = spark.createDataFrame(rows, "id long, timestamp timestamp, current_station string, direction int, v double")
+    got = {r.id: r for r in rolling.with_rolling(df, ["v"], 1, (3,), slice_minutes=slice_minutes).collect()}
+    seen = 0
+    for i, m in enumerate(minutes):
+        for hours in (1, 3):
+            inside = np.array([v for v, n in zip(values, minutes) if v is not None and m - hours * 60 < n <= m], float)
+            with np.errstate(invalid="ignore"):
+                mean, std = inside.mean() if len(inside) else None, inside.std(ddof=1) if len(inside) > 1 else None
+            if hours == 3:
+                assert (got[i].v_rolling_3h_mean is None) == (mean is None) and (got[i].v_rolling_3h_std is None) == (std is None)
+                for own, wanted in ((got[i].v_rolling_3h_mean, mean), (got[i].v_rolling_3h_std, std)):
+                    if wanted is not None and np.isfinite(inside).all():
+                        assert own == pytest.approx(wanted, rel=1e-9, abs=1e-24)
+                        seen += 1
+            elif std is not None and values[i] is not None and np.isfinite(inside).all():
+                assert got[i].v_zscore == pytest.approx((values[i] - mean) / (std + 1e-7), rel=1e-8, abs=1e-9)
+    assert seen > 300
+
+
 def test_rolling_hot_instant(spark):
     """Many rows of one key at one instant count for each other."""
     rows = [(i, T0, "A", 0, None, None, None, i % 5) for i in range(50)]

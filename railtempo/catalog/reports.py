@@ -53,11 +53,7 @@ def _(spark, sf):
     for name, hours in filters.PRESETS.items()))
 def _(spark, sf):
     df = derived.anomalies(spark, sf)
-    parts = [filters.preset(df, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("preset"), "n") for name in filters.PRESETS]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return filters.preset_counts(df)
 
 
 @query("row_violations", """with raw as (select event_id as id, value - 120 as lat, value * 2 - 200 as lon, cast(user_id % 4 as int) - 1 as direction,
@@ -196,10 +192,11 @@ def _(spark, sf):
 
 
 @query("subscription_routes", f"""with {ANOMALIES}, {SUBSCRIPTIONS}
-    select a.id, s.client_id from anomalies a join subscriptions s on {_MATCH} where s.line is not null and s.station_id is not null""")
+    select a.id, count(*) as clients, cast(sum(cast(s.client_id as bigint)) as bigint) as client_sum from anomalies a join subscriptions s on {_MATCH} group by 1""")
 def _(spark, sf):
-    narrow = derived.subscriptions(spark, sf).filter("line is not null and station_id is not null")
-    return matching.route_anomalies(derived.anomalies(spark, sf), narrow).select("id", "client_id")
+    """Every pair of every subscription, summed per anomaly."""
+    pairs = matching.route_anomalies(derived.anomalies(spark, sf).select("id", *matching.FILTERS), derived.subscriptions(spark, sf))
+    return pairs.groupBy("id").agg(F.count("*").alias("clients"), F.sum(F.col("client_id").cast("bigint")).alias("client_sum"))
 
 
 @query("subscription_routes_all", f"""with {ANOMALIES}, {SUBSCRIPTIONS}

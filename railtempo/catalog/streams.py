@@ -17,7 +17,7 @@ from railtempo.operators.matching import FILTERS
 from railtempo.plans import training
 from railtempo.session import checkpoint_root
 from railtempo.sources import derived, feeds, tables
-from railtempo.streaming import aggregates, jobs
+from railtempo.streaming import aggregates, jobs, late
 from railtempo.streaming.headway import stream_headway
 
 
@@ -175,8 +175,51 @@ def _(spark, sf):
         *[r6(F.try_element_at("individual_severities", F.lit(m))).alias(f"{m}_severity") for m in models])
 
 
-@query("stream_routes", SQL["subscription_routes"])
+@query("stream_routes", SQL["subscription_routes_all"])
 def _(spark, sf):
+    """Deliveries to every subscriber, those without filters too, summed per client."""
     rows = derived.anomalies(spark, sf).select("id", *FILTERS)
-    narrow = derived.subscriptions(spark, sf).filter("line is not null and station_id is not null")
-    return drained(jobs.stream_routes(as_stream(spark, rows, "routes"), narrow), "append", "routes").select("id", "client_id")
+    pairs = drained(jobs.stream_routes(as_stream(spark, rows, "routes"), derived.subscriptions(spark, sf)), "append", "routes")
+    return pairs.groupBy("client_id").agg(F.count("*").alias("deliveries"), F.sum("id").alias("ids"))
+
+
+# one report in eleven tells of up to four hours before; the stream comes in four parts by id
+_TOLD = f"""{POSITIONS}, told as (select id, delay_seconds, timestamp - to_seconds(case when id % 11 = 0 then id * 7919 % 14400 else 0 end) as told_at,
+      least(3, id // ((select max(id) from positions) // 4 + 1)) as part from positions),
+    newest as (select part, max(told_at) as newest from told group by part),
+    parted as (select t.*, coalesce(told_at < (select max(newest) from newest n where n.part < t.part) - interval '30 minutes', false) as late from told t)"""
+
+
+def _split(spark, sf):
+    """The stream of reports split to its end: (folder, schema)."""
+    shift = F.make_dt_interval(secs=F.when(F.col("id") % 11 == 0, F.col("id") * 7919 % 14400).otherwise(0).cast("decimal(18,6)"))
+    told = derived.positions(spark, sf).select("id", "delay_seconds", (F.col("timestamp") - shift).cast("timestamp").alias("told_at"))
+    path = scratch(spark, "split")
+    late.start_split(as_stream(spark, told, "told"), path, scratch(spark, "split-state"), "told_at", once=True).awaitTermination()
+    return path, told.schema
+
+
+@query("stream_late_rows", f"""with {_TOLD} select id, part as batch_id, {sql_stamp('told_at')} as at from parted where late""")
+def _(spark, sf):
+    """Reports more than 30 minutes behind all that came in earlier micro-batches, with the number of theirs."""
+    path, schema = _split(spark, sf)
+    return spark.read.schema(schema).option("basePath", f"{path}/late").parquet(f"{path}/late/*").select(
+        "id", stamp("told_at").alias("at"), F.regexp_extract(F.input_file_name(), r"batch=[0-9a-f]+-(\d+)", 1).cast("bigint").alias("batch_id"))
+
+
+@query("stream_late_counts", f"""with {_TOLD} select part as batch_id, count(*) filter (not late) as on_time, count(*) filter (late) as late from parted group by part""")
+def _(spark, sf):
+    """Rows on time and late of every micro-batch, as observed while they were written."""
+    path, _ = _split(spark, sf)
+    return late.split_counts(spark, path)
+
+
+@query("stream_closed_hours", f"""with {_TOLD} select {sql_stamp("date_trunc('hour', told_at)")} as hour, count(*) as n, round(avg(least(1, abs(delay_seconds) / 1800e0)), 10) as avg_severity
+    from parted where not late group by date_trunc('hour', told_at)
+    having date_trunc('hour', told_at) + interval '1 hour' <= (select max(told_at) from parted where not late) - interval '30 minutes'""")
+def _(spark, sf):
+    """Hours that a watermark of 30 minutes has closed, from the rows on time, in append mode."""
+    path, schema = _split(spark, sf)
+    rows = late.on_time(spark, path, schema).withColumn("severity", F.least(F.lit(1.0), F.abs("delay_seconds") / 1800))
+    out = drained(aggregates.stream_hourly_trend(rows, "told_at"), "append", "closed")
+    return out.select(stamp("hour").alias("hour"), "n", F.round("avg_severity", 10).alias("avg_severity"))

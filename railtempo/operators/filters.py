@@ -96,6 +96,18 @@ def preset(df: DataFrame, name: str, ts: str = "detected_at", as_of: datetime |
     return last_hours(df, PRESETS[name], ts, as_of)
 
 
+def preset_counts(df: DataFrame, ts: str = "detected_at") -> DataFrame:
+    """(preset, n): rows of the last hours of every preset before the newest row, in one pass: rows are counted by the preset that first
+    holds them, and presets add up from the shortest. The newest row's instant is a scalar subquery."""
+    hours = sorted(PRESETS.items(), key=lambda p: p[1])
+    age = latest(df, ts, "0 hours")
+    first = F.coalesce(*[F.when(F.col(ts) >= age - F.expr(f"interval {h} hours"), F.lit(i)) for i, (_, h) in enumerate(hours)])
+    counted = df.groupBy(first.alias("_first")).agg(F.count("*").alias("_n")).agg(
+        *[F.coalesce(F.sum(F.when(F.col("_first") <= i, F.col("_n"))), F.lit(0)).alias(name) for i, (name, _) in enumerate(hours)])
+    return counted.select(F.explode(F.map_from_arrays(
+        F.array(*[F.lit(n) for n, _ in hours]), F.array(*[F.col(f"`{n}`") for n, _ in hours]))).alias("preset", "n"))
+
+
 def with_violations(df: DataFrame) -> DataFrame:
     """Array of the names of violated rules; only rules whose columns exist are checked."""
     rules = {

@@ -13,7 +13,7 @@ from railtempo.operators.headway import with_headway_by_processing
 from railtempo.plans.detection import DetectorSet
 from railtempo.plans.reports import hourly_trend
 from railtempo.sources import derived, feeds, tables
-from railtempo.streaming import aggregates, jobs
+from railtempo.streaming import aggregates, jobs, late
 from railtempo.streaming.headway import stream_headway
 
 
@@ -137,3 +137,39 @@ def test_scoring_stream_with_history_equals_batch(spark, tmp_path, sf):
     whole = rules.zscore_rule(with_features(rows, percentiles=False), limit=1.0)
     got = key(tables.read_anomalies(spark, out))
     assert len(got) > 100 and set(got) <= set(key(whole))
+
+
+def test_late_rows_are_parted(spark, tmp_path):
+    """On-time and late rows together are the input; a repeated micro-batch changes nothing; closed hours lose no row on time."""
+    minutes = [[(1, 0), (2, 100), (3, None)], [(4, 69), (5, 70), (6, 130), (7, 20)], [], [(8, 99), (9, 100), (9, 100), (10, 400)]]
+    schema = "id long, at timestamp, severity double"
+    source = tmp_path / "in"
+
+    def add(n):
+        rows = [(i, None if m is None else dt.datetime(2024, 3, 5, 7) + dt.timedelta(minutes=m), 0.5) for i, m in minutes[n]]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        late.start_split(stream, str(tmp_path / "out"), str(tmp_path / "state"), "at", once=True).awaitTermination()
+
+    def result():
+        sides = (late.late_rows(spark, str(tmp_path / "out"), schema), spark.read.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "out/on_time")))
+        counts = late.split_counts(spark, str(tmp_path / "out")).orderBy("batch_id").collect()
+        return [sorted(r.id for r in side.collect()) for side in sides], [tuple(c)[1:] for c in counts]
+
+    for n in range(len(minutes)):
+        add(n)
+        run()
+    wanted = ([[3, 4, 7, 8], [1, 2, 5, 6, 9, 9, 10]], [(2, 1), (2, 2), (0, 0), (3, 1)])
+    assert (*result(),) == wanted
+    last = max(int(f.name) for f in (tmp_path / "state/commits").iterdir() if f.name.isdigit())
+    for name in (str(last), f".{last}.crc"):  # as if the stream had died before it could note the end of its last batch
+        (tmp_path / "state/commits" / name).unlink()
+    run()
+    assert (*result(),) == wanted
+    rows = late.on_time(spark, str(tmp_path / "out"), schema)
+    query = aggregates.stream_hourly_trend(rows, "at").writeStream.format("parquet").option("path", str(tmp_path / "hours")).option(
+        "checkpointLocation", str(tmp_path / "hours-state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sum(r.n for r in spark.read.parquet(str(tmp_path / "hours")).collect()) == 6  # all on time but row 10, whose hour is open

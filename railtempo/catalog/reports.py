@@ -82,7 +82,21 @@ def _(spark, sf):
 
 @query("anomaly_page", f"with {ANOMALIES} select id, {sql_stamp('detected_at')} as at from anomalies order by detected_at desc, id desc limit 50 offset 100")
 def _(spark, sf):
-    return filters.page(derived.anomalies(spark, sf), 3, 50).select("id", stamp("detected_at").alias("at"))
+    return filters.located_page(derived.anomalies(spark, sf), 3, 50).select("id", stamp("detected_at").alias("at"))
+
+
+@query("anomaly_deep_page", f"with {ANOMALIES} select id, {sql_stamp('detected_at')} as at from anomalies order by detected_at desc, id desc limit 40 offset 680")
+def _(spark, sf):
+    """A page far back, found by counts."""
+    return filters.located_page(derived.anomalies(spark, sf), 18, 40, enough=100).select("id", stamp("detected_at").alias("at"))
+
+
+@query("anomaly_next_page", f"with {ANOMALIES} select id, {sql_stamp('detected_at')} as at from anomalies order by detected_at desc, id desc limit 40 offset 720")
+def _(spark, sf):
+    """The page after that one, from its last row alone."""
+    rows = derived.anomalies(spark, sf)
+    last = filters.located_page(rows, 18, 40).agg(F.min(F.struct(F.unix_micros(F.col("detected_at").cast("timestamp")).alias("at"), "id")).alias("l")).first()["l"]
+    return filters.page_after(rows, F.timestamp_micros(F.lit(last["at"])), last["id"], 40).select("id", stamp("detected_at").alias("at"))
 
 
 @query("page_total", f"with {ANOMALIES} select count(*) as total from anomalies where {_DAY} and not resolved")

@@ -181,3 +181,23 @@ def test_facts_lie_by_date_and_repeated_batches_replace_themselves(spark, tmp_pa
     late = tables.read_range(spark, path, "timestamp", T0 + day, T0 + 2 * day)
     assert "PartitionFilters: [isnotnull(date" in late._jdf.queryExecution().executedPlan().toString() and late.count() == 3
     assert sorted(p.name for p in (tmp_path / "facts").iterdir() if p.is_dir()) == ["date=2025-01-06", "date=2025-01-07"]
+
+
+def test_located_pages(spark):
+    """Every page as by sorting all rows, whatever lies in one instant; plans of near and far pages differ in literals only."""
+    import re
+
+    rows = [(i, T0 + dt.timedelta(minutes=i * i % 9_000, seconds=i % 3)) for i in range(300)] + [(1_000 + i, T0) for i in range(150)] + [(5_000, None)]
+    df = spark.createDataFrame(rows, "id long, detected_at timestamp")
+    ordered = [i for _, i in sorted(((at, i) for i, at in rows if at), reverse=True)]
+    for number, size, enough in ((1, 50, 10), (2, 50, 1_000), (5, 70, 10), (9, 50, 10), (10, 50, 10), (45, 10, 1)):
+        got = filters.located_page(df, number, size, enough=enough).orderBy(F.desc("detected_at"), F.desc("id")).collect()
+        assert [r.id for r in got] == ordered[(number - 1) * size:number * size]
+    plans = [re.sub(r"#\d+L?|\d+", "", filters.located_page(df, n, 20, enough=50)._jdf.queryExecution().optimizedPlan().toString()) for n in (1, 12)]
+    plans = [re.sub(r"-- ::\.?", "", p) for p in plans]
+    assert plans[0] == plans[1] and "Offset" not in plans[0]
+    at = dict(rows)[ordered[99]]
+    assert [r.id for r in filters.page_after(df, at, ordered[99], 60).collect()] == ordered[100:160]
+    assert filters.located_page(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        filters.located_page(df, 0)

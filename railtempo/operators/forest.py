@@ -26,8 +26,26 @@ def unsuccessful_search(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
 
 
-def grow_tree(x: np.ndarray, limit: int, rng: np.random.Generator) -> dict[str, list]:
-    """Nodes of one isolation tree; ``feature`` is -1 in leaves, whose ``depth`` already holds the expected rest path."""
+def tree_key(rng: np.random.Generator) -> int:
+    """The number from which all cuts of a tree are drawn."""
+    return int(rng.integers(1 << 62))
+
+
+def cut_of(key: int, path: int, low: np.ndarray, high: np.ndarray) -> tuple[int, float] | None:
+    """(feature, cut) of the node at ``path`` (root 1, children 2p and 2p + 1) whose rows lie between ``low`` and ``high``; None if no
+    feature can be cut. It depends on nothing else, so it makes no difference who grows the node."""
+    usable = np.flatnonzero(low < high)
+    if not len(usable):
+        return None
+    rng = np.random.default_rng([key, path])
+    f = int(usable[rng.integers(len(usable))])
+    cut = float(low[f] + rng.random() * (high[f] - low[f]))
+    return f, cut if low[f] <= cut < high[f] else float(low[f])
+
+
+def grow_tree(x: np.ndarray, limit: int, rng: np.random.Generator, path: int = 1, depth: int = 0) -> dict[str, list]:
+    """Nodes of one isolation tree, or of its part below ``path``; ``feature`` is -1 in leaves, whose ``depth`` already holds the
+    expected rest path."""
     nodes: dict[str, list] = {k: [] for k in ("feature", "cut", "low", "high", "depth")}
 
     def new_node() -> int:
@@ -35,20 +53,18 @@ def grow_tree(x: np.ndarray, limit: int, rng: np.random.Generator) -> dict[str,
             nodes[k].append(v)
         return len(nodes["feature"]) - 1
 
-    stack = [(np.arange(len(x)), 0, new_node())]
+    key, stack = tree_key(rng), [(np.arange(len(x)), depth, new_node(), path)]
     while stack:
-        rows, depth, at = stack.pop()
-        spans = x[rows].min(axis=0), x[rows].max(axis=0)
-        usable = np.flatnonzero(spans[0] < spans[1])
-        if depth >= limit or len(rows) <= 1 or not len(usable):
+        rows, depth, at, path = stack.pop()
+        chosen = None if depth >= limit or len(rows) <= 1 else cut_of(key, path, x[rows].min(axis=0), x[rows].max(axis=0))
+        if chosen is None:
             nodes["depth"][at] = depth + unsuccessful_search(len(rows))
             continue
-        f = int(rng.choice(usable))
-        cut = float(rng.uniform(spans[0][f], spans[1][f]))
+        f, cut = chosen
         below = x[rows, f] <= cut
         low, high = new_node(), new_node()
         nodes["feature"][at], nodes["cut"][at], nodes["low"][at], nodes["high"][at] = f, cut, low, high
-        stack += [(rows[below], depth + 1, low), (rows[~below], depth + 1, high)]
+        stack += [(rows[below], depth + 1, low, 2 * path), (rows[~below], depth + 1, high, 2 * path + 1)]
     return nodes
 
 
@@ -95,23 +111,24 @@ def tree_scores(arrays: dict, x: np.ndarray, trees: int | None = None, chunk: in
     return -np.power(2.0, -out / arrays["norm"])
 
 
-def _unit_hash(*parts: Column) -> Column:
+def vector_of(columns: list[str]) -> Column:
+    """The columns as one array of doubles; nulls are 0."""
+    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
+
+
+def unit_hash(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) / float(1 << 40)
 
 
-def resolve_sample_size(max_samples: str | int | float, n: int, rows_per_tree: int) -> int:
-    """``auto`` is 256, a fraction is that share of the rows. A tree's sample is held by one task, so a size above
-    ``rows_per_tree`` is refused rather than cut."""
+def resolve_sample_size(max_samples: str | int | float, n: int) -> int:
+    """``auto`` is 256, a fraction is that share of the rows."""
     if max_samples == "auto":
         wanted = 256
     elif isinstance(max_samples, float):
         wanted = int(max_samples * n)
     else:
         wanted = int(max_samples)
-    wanted = max(1, min(wanted, n))
-    if wanted > rows_per_tree:
-        raise ValueError(f"max_samples={max_samples} asks for {wanted} rows per tree; rows_per_tree allows {rows_per_tree}")
-    return wanted
+    return max(1, min(wanted, n))
 
 
 def tree_samples(df: DataFrame, columns: list[str], n: int, trees: int, size: int, key: str, seed: int) -> DataFrame:
@@ -122,26 +139,33 @@ def tree_samples(df: DataFrame, columns: list[str], n: int, trees: int, size: in
     """
     pool_rows = min(n, 4 * trees * size)
     share = pool_rows / n
-    pool = df.filter(_unit_hash(F.col(key), F.lit(seed)) < 1.0 if share >= 1 else _unit_hash(F.col(key), F.lit(seed)) < share)
-    pool = pool.select(key, F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]).alias("x"))
+    pool = df.filter(unit_hash(F.col(key), F.lit(seed)) < 1.0 if share >= 1 else unit_hash(F.col(key), F.lit(seed)) < share)
+    pool = pool.select(key, vector_of(columns).alias("x"))
     chance = min(1.0, (size * 1.15 + 6 * math.sqrt(size) + 20) / pool_rows)
     drawn = (
         # only the trees that a row is drawn for become rows
         pool.withColumn("tree", F.explode(F.filter(
-            F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _unit_hash(F.col(key), t, F.lit(seed)) < chance)))
-        .withColumn("_h", _unit_hash(F.col(key), F.col("tree"), F.lit(seed)))
+            F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: unit_hash(F.col(key), t, F.lit(seed)) < chance)))
+        .withColumn("_h", unit_hash(F.col(key), F.col("tree"), F.lit(seed)))
     )
     order = W.partitionBy("tree").orderBy("_h", key)
     return drawn.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= size).select("tree", key, "x")
 
 
 def grow_forest(df: DataFrame, columns: list[str], trees: int = 100, max_samples: str | int | float = "auto",
-                key: str = "id", seed: int = 42, rows_per_tree: int = 1_000_000) -> Forest:
-    """Forest over ``columns`` (nulls count as 0). Only the trees themselves come to the driver."""
+                key: str = "id", seed: int = 42, rows_per_tree: int = 100_000) -> Forest:
+    """Forest over ``columns`` (nulls count as 0). Only the trees themselves come to the driver.
+
+    Trees over more than ``rows_per_tree`` rows grow level by level (``large_forest``) and stay distributed below their upper part.
+    """
     n = df.count()
     if n == 0:
         raise ValueError("no rows to train on")
-    size = resolve_sample_size(max_samples, n, rows_per_tree)
+    size = resolve_sample_size(max_samples, n)
+    if size > rows_per_tree:
+        from railtempo.operators.large_forest import grow_large
+
+        return grow_large(df, columns, trees, size, key, seed, rows_per_tree)
     samples = tree_samples(df, columns, n, trees, size, key, seed)
     limit = max(1, math.ceil(math.log2(max(size, 2))))
 
@@ -168,6 +192,10 @@ def grow_forest(df: DataFrame, columns: list[str], trees: int = 100, max_samples
 
 
 def with_scores(df: DataFrame, forest: Forest, out: str = "score", trees: int | None = None) -> DataFrame:
+    if hasattr(forest, "subtrees"):
+        from railtempo.operators.large_forest import large_scores
+
+        return large_scores(df, forest, {out: trees or len(forest.roots)})
     shared = df.sparkSession.sparkContext.broadcast(forest.arrays())
 
     @F.pandas_udf("double")

@@ -14,6 +14,7 @@ from railtempo.functions.features import BASE_FEATURES, with_calendar, zero_fill
 from railtempo.operators import evaluate, ranks
 from railtempo.operators.filters import enough_samples, training_range
 from railtempo.operators.forest import Forest, fit_forest, grow_forest, tree_scores
+from railtempo.operators.large_forest import SUBTREE, LargeForest, large_scores
 from railtempo.operators.reconstruct import SequenceModel, fit_sequences
 from railtempo.operators.scaling import cap_outliers
 from railtempo.schemas import METRIC_COLUMNS
@@ -34,6 +35,8 @@ def prepare(df: DataFrame) -> DataFrame:
 
 def score_prefixes(df: DataFrame, forest: Forest, tree_counts: list[int]) -> DataFrame:
     """Scores of the first 50, 100, ... trees in one pass over the rows."""
+    if isinstance(forest, LargeForest):
+        return large_scores(df, forest, {f"s{t}": t for t in tree_counts})
     shared = df.sparkSession.sparkContext.broadcast(forest.arrays())
     fields = ", ".join(f"s{t} double" for t in tree_counts)
 
@@ -109,24 +112,38 @@ def best_sequences(train: DataFrame, grid: dict | None = None, length: int = 24)
 
 
 def save_forest(spark: SparkSession, forest: Forest, path: str) -> None:
-    """Node table and one-row metadata, both parquet."""
-    tree = np.searchsorted(forest.roots, np.arange(len(forest.feature)), side="right") - 1
+    """Node table and one-row metadata, both parquet; a large forest's subtrees beside them."""
+    large = isinstance(forest, LargeForest)
+    tree = np.zeros(len(forest.feature), dtype="int64")
+    tree[forest.roots] = np.arange(len(forest.roots))
+    for at in np.flatnonzero(forest.feature >= 0):  # parents come before their children
+        tree[[forest.low[at], forest.high[at]]] = tree[at]
+    goes_on = forest.open if large else np.zeros(len(tree), dtype=bool)
     nodes = list(zip(range(len(tree)), tree.tolist(), forest.feature.tolist(), forest.cut.tolist(), forest.low.tolist(),
-                     forest.high.tolist(), forest.depth.tolist()))
-    spark.createDataFrame(nodes, "node int, tree int, feature int, cut double, low int, high int, depth double").coalesce(1).write.mode(
+                     forest.high.tolist(), forest.depth.tolist(), goes_on.tolist()))
+    spark.createDataFrame(nodes, "node int, tree int, feature int, cut double, low int, high int, depth double, open boolean").coalesce(1).write.mode(
         "overwrite").parquet(f"{path}/nodes")
-    meta = [(forest.columns, forest.sample_size, forest.threshold, forest.contamination, forest.version, forest.metrics)]
-    spark.createDataFrame(meta, "columns array<string>, sample_size int, threshold double, contamination double, "
-                                "version string, metrics map<string,double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+    if large:
+        forest.subtrees.write.mode("overwrite").parquet(f"{path}/subtrees")
+    meta = [(forest.columns, forest.sample_size, forest.threshold, forest.contamination, forest.version, forest.metrics,
+             forest.subtree_rows if large else None)]
+    spark.createDataFrame(meta, "columns array<string>, sample_size int, threshold double, contamination double, version string, "
+                                "metrics map<string,double>, subtree_rows int").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
 
 
 def load_forest(spark: SparkSession, path: str) -> Forest:
     nodes = spark.read.parquet(f"{path}/nodes").toPandas().sort_values("node")
     meta = spark.read.parquet(f"{path}/metadata").first()
     roots = nodes.drop_duplicates("tree")["node"].to_numpy("int64")
-    return Forest(list(meta["columns"]), meta["sample_size"], roots, *[nodes[c].to_numpy("int64") for c in ("feature",)],
-                  nodes["cut"].to_numpy("float64"), nodes["low"].to_numpy("int64"), nodes["high"].to_numpy("int64"),
-                  nodes["depth"].to_numpy("float64"), meta["threshold"], meta["contamination"], meta["version"], dict(meta["metrics"]))
+    parts = dict(
+        columns=list(meta["columns"]), sample_size=meta["sample_size"], roots=roots, feature=nodes["feature"].to_numpy("int64"),
+        cut=nodes["cut"].to_numpy("float64"), low=nodes["low"].to_numpy("int64"), high=nodes["high"].to_numpy("int64"),
+        depth=nodes["depth"].to_numpy("float64"), threshold=meta["threshold"], contamination=meta["contamination"],
+        version=meta["version"], metrics=dict(meta["metrics"]))
+    if meta["subtree_rows"] is None:
+        return Forest(**parts)
+    return LargeForest(**parts, open=nodes["open"].to_numpy(bool), subtrees=spark.read.schema(SUBTREE).parquet(f"{path}/subtrees"),
+                       subtree_rows=meta["subtree_rows"])
 
 
 def save_sequences(spark: SparkSession, model: SequenceModel, path: str) -> None:

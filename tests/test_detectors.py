@@ -243,10 +243,8 @@ def test_past_moment_leaves_the_future_out(spark):
     assert filters.lookback(df, 60, as_of=hours[1]).count() == 2 and filters.last_minutes(df, 60).count() == 2
 
 
-def test_sample_sizes_are_honoured_or_refused():
+def test_sample_sizes_are_honoured():
     from railtempo.operators.forest import resolve_sample_size
 
-    assert resolve_sample_size(0.5, 100_000, 1_000_000) == 50_000 and resolve_sample_size(0.8, 100_000, 1_000_000) == 80_000
-    assert resolve_sample_size("auto", 100, 1_000_000) == 100
-    with pytest.raises(ValueError, match="rows per tree"):
-        resolve_sample_size(0.8, 10_000_000, 1_000_000)
+    assert resolve_sample_size(0.5, 100_000) == 50_000 and resolve_sample_size(0.8, 10_000_000) == 8_000_000
+    assert resolve_sample_size("auto", 100) == 100 and resolve_sample_size("auto", 100_000) == 256

@@ -15,7 +15,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage)
@@ -293,11 +293,28 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
     return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).load()
 
 
+def base32_sha1(data: str) -> Column:
+    """Bare upper-case base32 of a binary column's SHA-1: five hex digits are four letters."""
+    part = f"cast(conv(substring(sha1({data}), 5 * (i div 4) + 1, 5), 16, 10) as int)"
+    letter = f"substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (shiftright({part}, 15 - 5 * (i % 4)) & 31) + 1, 1)"
+    return F.expr(f"if({data} is null, null, array_join(transform(sequence(0, 31), i -> {letter}), ''))")
+
+
+def with_payload_facts(records: DataFrame) -> DataFrame:
+    """``payload_bytes`` and ``payload_digest`` of the decoded payload in place of the headers'; revisits carry no payload and keep what their
+    headers say. ``intact`` says whether the payload matches its header's digest (null without either)."""
+    own = records.withColumn("_own", base32_sha1("payload"))
+    return own.withColumns({
+        "intact": F.col("_own") == F.col("payload_digest"), "payload_bytes": F.coalesce(F.octet_length("payload").cast("bigint"), "payload_bytes"),
+        "payload_digest": F.coalesce("_own", "payload_digest")}).drop("_own")
+
+
 def round_trip(pages: DataFrame, least: int = 0, folder: str | None = None) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to), read back from archives written to the shared folder."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, intact), read back with the payloads of responses from archives
+    written to the shared folder."""
     spark = pages.sparkSession
     path = f"{folder or checkpoint_root(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, least)
     number = "cast(substring({0}, length('urn:page:') + 1) as bigint) as {1}"
-    return read_archives(spark, path, payload=False).selectExpr(
-        number.format("record_id", "page_id"), "payload_bytes", "payload_digest", "record_type", number.format("refers_to", "refers_to"))
+    return with_payload_facts(read_archives(spark, path)).selectExpr(
+        number.format("record_id", "page_id"), "payload_bytes", "payload_digest", "record_type", number.format("refers_to", "refers_to"), "intact")

@@ -66,14 +66,32 @@ def words_of(text: str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _bigrams(words: str) -> Column:
-    """Hashes of neighbouring words; a single word pairs with nothing and has none."""
-    return F.transform(F.expr(f"sequence(0, greatest(size({words}) - 2, 0))"), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1)))
+def _bigrams(words: Column) -> Column:
+    """Hashes of neighbouring words; a single word pairs with nothing."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0))), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1)))
+
+
+def lines_of(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, paragraph, line): the lines of each whole text, numbered from 0."""
+    return docs.select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("paragraph", "line"))
 
 
 def paragraphs(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, paragraph, text): the lines of each whole text, numbered from 0."""
-    return docs.select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("paragraph", "_line")).withColumnRenamed("_line", "line")
+    """(keys, paragraph, lines, line): what is judged in each whole text. Every line that isn't blank, and every stretch of such lines joined to
+    one, without the comment marks before and behind each. ``paragraph`` is the number of the first line, from 0; ``lines`` their count."""
+    def numbered(line: Column, number: Column) -> Column:
+        bare = F.regexp_replace(line, r"^[\s/*#;%!<>|\-]++|(?<![\s/*#<>|\-])[\s/*#<>|\-]++$", "")
+        return F.when(bare == "", "\x01").otherwise(F.concat(number.cast("string"), F.lit("\x02"), bare))
+
+    # control characters aren't part of words; here they mark blank lines and line numbers, so that one split finds the stretches
+    clean = F.split(F.translate(F.col(text), "\x01\x02", "  "), "\n")
+    stretches = F.split(F.array_join(F.transform(clean, numbered), "\n"), r"\n?\x01(?:\n\x01)*\n?")
+    found = docs.select(*keys, F.explode(stretches).alias("_s")).filter("_s != ''").select(*keys, F.split("_s", "\n").alias("_s"))
+    number, rest = "cast(substring_index({0}, '\x02', 1) as int)", "substring_index({0}, '\x02', -1)"
+    single = f"transform(_s, l -> struct({number.format('l')} as paragraph, 1 as lines, {rest.format('l')} as line))"
+    joined = (f"array(struct({number.format('_s[0]')} as paragraph, size(_s) as lines, "
+              f"array_join(transform(_s, l -> {rest.format('l')}), ' ') as line))")
+    return found.select(*keys, F.inline(F.expr(f"if(size(_s) > 1, concat({single}, {joined}), {single})")))
 
 
 @dataclass
@@ -100,7 +118,7 @@ def train(docs: DataFrame, labelled: DataFrame | None = None, negatives: int = 4
     """
     spark = docs.sparkSession
     some = sampled(docs.select(F.col("text").alias("t")), texts, "t").filter(F.length("t") <= 20_000)
-    plain = paragraphs(some, [], "t").filter(
+    plain = lines_of(some, [], "t").filter(
         (F.length("line") >= 20) & ~F.col("line").rlike(r"(?i)licen[cs]|copyright|permission|redistribut|public domain"))
     lines = checkpointed(plain.select("line").distinct().orderBy(F.xxhash64("line", F.lit(3))).limit(negatives).withColumn("family", F.lit(UNKNOWN)))
     if labelled is None:
@@ -114,7 +132,7 @@ def train(docs: DataFrame, labelled: DataFrame | None = None, negatives: int = 4
     else:
         known = labelled.select("line", "family")
     examples = checkpointed(lines.union(known).withColumn("w", words_of("line")).withColumn(
-        "grams", F.transform(_bigrams("w"), lambda h: h.cast("string"))).withColumn(
+        "grams", F.transform(_bigrams(F.col("w")), lambda h: h.cast("string"))).withColumn(
         "held", F.pmod(F.xxhash64("line", F.lit(9)), F.lit(4)) == 0))
     families = [UNKNOWN, *sorted(r[0] for r in known.select("family").distinct().collect())]
     at = F.map_from_arrays(F.array(*map(F.lit, families)), F.array(*(F.lit(float(i)) for i in range(len(families)))))
@@ -140,7 +158,10 @@ def train(docs: DataFrame, labelled: DataFrame | None = None, negatives: int = 4
 def scan(
     docs: DataFrame, model: LicenseModel, keys: list[str], text: str = "text", threshold: float = 0.5, similarity: float = 0.8,
 ) -> DataFrame:
-    """(keys, paragraph, family, probability, similarity, confirmed) of every paragraph that the classifier doesn't call unknown.
+    """(keys, paragraph, lines, family, probability, similarity, confirmed) of every paragraph that the classifier doesn't call unknown.
+
+    A paragraph is a line, or a stretch of ``lines`` lines without a blank one from line ``paragraph`` on: that is reported where it is
+    confirmed and none of its lines is, as with wrapped notices, and then replaces its lines.
 
     ``similarity`` is the largest share of a template sentence's five-word shingles (its bigrams, if it has fewer than ten words) that
     the paragraph holds; ``confirmed`` where it reaches the parameter. A family below ``threshold`` is unknown. Null, empty
@@ -149,16 +170,16 @@ def scan(
     """
     spark = docs.sparkSession
     names = [f"_k{i}" for i in range(len(keys))]
-    lines = paragraphs(docs.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(text).alias("_t")), names, "_t")
-    worded = lines.withColumn("_w", words_of("line")).filter("size(_w) > 1")
+    at = [*names, "paragraph", "lines", "_id"]  # the text itself does not travel with its bigrams; the few named ones fetch it again
+    judged = paragraphs(docs.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(text).alias("_t")), names, "_t").withColumn(
+        "_id", F.xxhash64("line"))
+    worded = judged.withColumn("_w", words_of("line")).filter("size(_w) > 1")
     table = rows_of(spark, [{"_gram": g, "_weights": w} for g, w in model.weights.items()], "_gram: bigint, _weights: array<double>")
     # one row per bigram; the weighted ones are bound by the vocabulary, so each task gets them all
-    grams = worded.select(*names, "paragraph", "_w", "line", F.explode(F.expr("sequence(0, size(_w) - 2)")).alias("_i")).select(
-        *names, "paragraph", "line", F.expr("xxhash64(get(_w, _i), get(_w, _i + 1))").alias("_h"))
-    met = grams.join(F.broadcast(table), F.col("_h") == F.col("_gram")).select(*names, "paragraph", "line", "_h", "_weights").dropDuplicates(
-        [*names, "paragraph", "line", "_h"])
+    grams = worded.select(*at, F.explode(_bigrams(F.col("_w"))).alias("_h"))
+    met = grams.join(F.broadcast(table), F.col("_h") == F.col("_gram")).select(*at, "_h", "_weights").dropDuplicates([*at, "_h"])
     size = len(model.families)
-    sums = met.groupBy(*names, "paragraph", "line").agg(*(F.sum(F.col("_weights")[i]).alias(f"_s{i}") for i in range(size)))
+    sums = met.groupBy(*at).agg(*(F.sum(F.col("_weights")[i]).alias(f"_s{i}") for i in range(size)))
     scores = F.array(*((F.col(f"_s{i}") + model.intercepts[i]) * model.sharpness for i in range(size)))
     scored = sums.withColumn("_z", scores).withColumn("_top", F.array_max("_z"))
     best = scored.withColumn("_best", F.expr("array_position(_z, _top)")).withColumn(
@@ -176,10 +197,26 @@ def scan(
         F.col("family").alias("_family"), F.struct(width(F.col("w")).alias("n"), F.array_distinct(shingles(F.col("w"), width(F.col("w")))).alias("all")).alias("t"))
     by_family = templates.groupBy("_family").agg(F.collect_list("t").alias("_templates"))  # a handful, fixed above
     words = words_of("line")
-    joined = named.join(F.broadcast(by_family), F.col("family") == F.col("_family"), "left").withColumn("_two", shingles(words, F.lit(2))).withColumn(
+    same = [judged[c].eqNullSafe(F.col(f"_of{c}")) for c in at]
+    few = checkpointed(named.select(*(F.col(c).alias(f"_of{c}") for c in at), "family", "probability"))
+    texts = judged.join(few, same).dropDuplicates(at)
+    joined = texts.join(F.broadcast(by_family), F.col("family") == F.col("_family"), "left").withColumn("_two", shingles(words, F.lit(2))).withColumn(
         "_five", shingles(words, F.lit(5)))
     share = F.array_max(F.transform("_templates", lambda t: F.size(F.array_intersect(
         t["all"], F.when(t["n"] == 5, F.col("_five")).otherwise(F.col("_two")))) / F.size(t["all"])))
-    return joined.withColumn("similarity", F.coalesce(share, F.lit(0.0))).select(
-        *(F.col(n).alias(k) for n, k in zip(names, keys)), "paragraph", "family", "probability", "similarity",
-        (F.col("similarity") >= similarity).alias("confirmed"))
+    every = checkpointed(joined.withColumn("similarity", F.coalesce(share, F.lit(0.0))).withColumn(
+        "confirmed", F.col("similarity") >= similarity).drop("_templates", "_two", "_five"))
+    # a confirmed stretch and its lines know each other by its number, on each line of it; only these few rows are exploded
+    stretches = every.filter("lines > 1 and confirmed").select(
+        *names, F.col("paragraph").alias("_stretch"), F.explode(F.sequence(F.col("paragraph"), F.col("paragraph") + F.col("lines") - 1)).alias("_line"))
+    lines = every.filter("lines = 1")
+    inside = [lines[n].eqNullSafe(stretches[n]) for n in names] + [lines["paragraph"] == stretches["_line"]]
+    split = stretches.join(lines.filter("confirmed"), inside, "left_semi").select(*names, "_stretch").distinct()
+    own = [stretches[n].eqNullSafe(split[n]) for n in names] + [stretches["_stretch"] == split["_stretch"]]
+    whole = stretches.join(split, own, "left_anti")
+    kept = lines.join(whole, [lines[n].eqNullSafe(whole[n]) for n in names] + [lines["paragraph"] == whole["_line"]], "left_anti")
+    first = whole.filter("_line = _stretch")
+    blocks = every.filter("lines > 1 and confirmed")
+    blocks = blocks.join(first, [blocks[n].eqNullSafe(first[n]) for n in names] + [blocks["paragraph"] == first["_stretch"]], "left_semi")
+    return kept.unionByName(blocks).select(
+        *(F.col(n).alias(k) for n, k in zip(names, keys)), "paragraph", "lines", "family", "probability", "similarity", "confirmed")

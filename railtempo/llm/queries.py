@@ -106,7 +106,7 @@ def op5_decontamination(spark, sf_dir):
 @query("op6_warc")
 def op6_warc(spark, sf_dir):
     """All pages as WARC records, read back; lengths and digests are those of the decoded payloads."""
-    return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
+    return warc.round_trip(table(spark, sf_dir, "pages"), least=0).drop("intact")
 
 
 @query("op7_licenses")

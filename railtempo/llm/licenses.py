@@ -80,11 +80,11 @@ def paragraphs(docs: DataFrame, keys: list[str], text: str = "text") -> DataFram
     """(keys, paragraph, lines, line): what is judged in each whole text. Every line that isn't blank, and every stretch of such lines joined to
     one, without the comment marks before and behind each. ``paragraph`` is the number of the first line, from 0; ``lines`` their count."""
     def numbered(line: Column, number: Column) -> Column:
-        bare = F.regexp_replace(line, r"^[\s/*#;%!<>|\-]++|(?<![\s/*#<>|\-])[\s/*#<>|\-]++$", "")
-        return F.when(bare == "", "\x01").otherwise(F.concat(number.cast("string"), F.lit("\x02"), bare))
+        return F.when(line == "", "\x01").otherwise(F.concat(number.cast("string"), F.lit("\x02"), line))
 
     # control characters aren't part of words; here they mark blank lines and line numbers, so that one split finds the stretches
-    clean = F.split(F.translate(F.col(text), "\x01\x02", "  "), "\n")
+    bare = F.regexp_replace(F.translate(F.col(text), "\x01\x02", "  "), r"(?m)^[ \t\r\f/*#;%!<>|\-]++|(?<![ \t\r\f/*#<>|\-])[ \t\r\f/*#<>|\-]++$", "")
+    clean = F.split(bare, "\n")
     stretches = F.split(F.array_join(F.transform(clean, numbered), "\n"), r"\n?\x01(?:\n\x01)*\n?")
     found = docs.select(*keys, F.explode(stretches).alias("_s")).filter("_s != ''").select(*keys, F.split("_s", "\n").alias("_s"))
     number, rest = "cast(substring_index({0}, '\x02', 1) as int)", "substring_index({0}, '\x02', -1)"
@@ -171,8 +171,12 @@ def scan(
     spark = docs.sparkSession
     names = [f"_k{i}" for i in range(len(keys))]
     at = [*names, "paragraph", "lines", "_id"]  # the text itself does not travel with its bigrams; the few named ones fetch it again
-    judged = paragraphs(docs.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(text).alias("_t")), names, "_t").withColumn(
-        "_id", F.xxhash64("line"))
+
+    def as_judged(df: DataFrame) -> DataFrame:
+        return paragraphs(df.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(text).alias("_t")), names, "_t").withColumn(
+            "_id", F.xxhash64("line"))
+
+    judged = as_judged(docs)
     worded = judged.withColumn("_w", words_of("line")).filter("size(_w) > 1")
     table = rows_of(spark, [{"_gram": g, "_weights": w} for g, w in model.weights.items()], "_gram: bigint, _weights: array<double>")
     # one row per bigram; the weighted ones are bound by the vocabulary, so each task gets them all
@@ -187,25 +191,29 @@ def scan(
     family = F.element_at(F.array(*map(F.lit, model.families)), F.col("_best").cast("int"))
     named = best.withColumn("family", family).filter((F.col("family") != UNKNOWN) & (F.col("probability") >= threshold))
 
-    def shingles(words: Column, n: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-
-    def width(words: Column) -> Column:
-        return F.when(F.size(words) >= 10, 5).otherwise(2)
+    def shingles(n: int) -> Column:
+        count = F.size("_w") - n + 1
+        return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, n), " "), F.lit(n)))).otherwise(
+            F.array().cast("array<bigint>"))
 
-    templates = template_rows(spark).withColumn("w", words_of("line")).select(
-        F.col("family").alias("_family"), F.struct(width(F.col("w")).alias("n"), F.array_distinct(shingles(F.col("w"), width(F.col("w")))).alias("all")).alias("t"))
-    by_family = templates.groupBy("_family").agg(F.collect_list("t").alias("_templates"))  # a handful, fixed above
-    words = words_of("line")
-    same = [judged[c].eqNullSafe(F.col(f"_of{c}")) for c in at]
+    # a template's distinct shingles (a few hundred, fixed above), and one that every paragraph has, which stands for none
+    worded_templates = template_rows(spark).withColumn("_w", words_of("line")).select(
+        F.col("family").alias("_family"), "number", F.array_distinct(F.when(F.size("_w") >= 10, shingles(5)).otherwise(shingles(2))).alias("_all"))
+    pieces = worded_templates.select("_family", "number", F.size("_all").alias("_of"), F.explode("_all").alias("_piece"))
+    pieces = pieces.union(pieces.select("_family", F.lit(-1), F.lit(0), F.lit(0).cast("bigint")).distinct())
     few = checkpointed(named.select(*(F.col(c).alias(f"_of{c}") for c in at), "family", "probability"))
-    texts = judged.join(few, same).dropDuplicates(at)
-    joined = texts.join(F.broadcast(by_family), F.col("family") == F.col("_family"), "left").withColumn("_two", shingles(words, F.lit(2))).withColumn(
-        "_five", shingles(words, F.lit(5)))
-    share = F.array_max(F.transform("_templates", lambda t: F.size(F.array_intersect(
-        t["all"], F.when(t["n"] == 5, F.col("_five")).otherwise(F.col("_two")))) / F.size(t["all"])))
-    every = checkpointed(joined.withColumn("similarity", F.coalesce(share, F.lit(0.0))).withColumn(
-        "confirmed", F.col("similarity") >= similarity).drop("_templates", "_two", "_five"))
+    given = docs.select(*keys, text)
+    mine = [given[k].eqNullSafe(F.col(f"_of{n}")) for k, n in zip(keys, names)]
+    again = given.join(few.select(*(f"_of{n}" for n in names)).distinct(), mine, "left_semi")
+    judged = as_judged(again)
+    same = [judged[c].eqNullSafe(F.col(f"_of{c}")) for c in at]
+    found = judged.join(few, same).withColumn("_w", words_of("line")).select(
+        *at, "family", "probability", F.explode(F.concat(F.array(F.lit(0).cast("bigint")), shingles(2), shingles(5))).alias("_h"))
+    held = found.join(F.broadcast(pieces), (F.col("_h") == F.col("_piece")) & (F.col("family") == F.col("_family"))).groupBy(
+        *at, "family", "probability", "number", "_of").agg(F.countDistinct("_h").alias("_n"))
+    share = F.when(F.col("number") < 0, 0.0).otherwise(F.col("_n") / F.col("_of"))
+    every = checkpointed(held.groupBy(*at, "family", "probability").agg(F.max(share).alias("similarity")).withColumn(
+        "confirmed", F.col("similarity") >= similarity))
     # a confirmed stretch and its lines know each other by its number, on each line of it; only these few rows are exploded
     stretches = every.filter("lines > 1 and confirmed").select(
         *names, F.col("paragraph").alias("_stretch"), F.explode(F.sequence(F.col("paragraph"), F.col("paragraph") + F.col("lines") - 1)).alias("_line"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from railtempo.catalog.base import ANOMALIES, DETECTIONS, HEADWAYS, LABELS, POSITIONS, query, r6, sql_stamp, stamp
 from railtempo.catalog.features import moving
 from railtempo.functions import scalar as fx
 from railtempo.functions.features import BASE_FEATURES, with_calendar
-from railtempo.operators import evaluate, forest, matching, reconstruct, rolling, rules
+from railtempo.operators import evaluate, forest, matching, reconstruct, recurrent, rolling, rules
 from railtempo.operators.ensemble import combine_detections, ensemble_bucket
 from railtempo.operators.ranks import exact_percentiles
 from railtempo.plans import reports
@@ -189,6 +190,54 @@ def _(spark, sf):
         "source_position_id", "station_id", "line", "anomaly_type", "severity", "model_name")
 
 
+@query("recurrent_anomalies")
+def _(spark, sf):
+    rows = model_rows(spark, sf)
+    model = recurrent.fit_recurrent(rows)
+    return reconstruct.sequence_detections(rows, model, name="recurrent_model").select(
+        "source_position_id", "station_id", "line", "anomaly_type", "severity", "model_name")
+
+
+# a small model whose arithmetic SQL can write out: two units each way over sequences of three rows of one column
+_TINY = recurrent.RecurrentModel(
+    ["delay_seconds"], 3, {"delay_seconds_mean": 200.0, "delay_seconds_std": 400.0},
+    ((np.array([[0.5, -0.25], [0.25, 0.5]]), np.array([[1.0], [-0.5]]), np.array([0.0, 0.25])),
+     (np.array([[-0.5, 0.25], [0.5, 0.25]]), np.array([[0.5], [1.0]]), np.array([0.25, -0.5]))),
+    np.array([[0.125], [0.75], [-0.5], [0.25], [0.5]]), threshold=0.25)
+_TINY_STATES = f"""{POSITIONS}, numbered as (
+    select *, (coalesce(delay_seconds, 0) - 200e0) / 400e0 as x, row_number() over w - 1 as n from positions
+    window w as (partition by line, direction order by timestamp, id)),
+  triples as (select n as first, array[id, lead(id) over w, lead(id, 2) over w] as ids, x as x0, lead(x) over w as x1, lead(x, 2) over w as x2
+    from numbered window w as (partition by line, direction order by n)),
+  ends as (select *, tanh(x0) as p0, tanh(0.25e0 - 0.5e0 * x0) as q0, tanh(0.25e0 + 0.5e0 * x2) as r2, tanh(x2 - 0.5e0) as s2 from triples where x2 is not null),
+  mids as (select *, tanh(0.5e0 * p0 - 0.25e0 * q0 + x1) as p1, tanh(0.25e0 * p0 + 0.5e0 * q0 - 0.5e0 * x1 + 0.25e0) as q1,
+    tanh(0.25e0 * s2 - 0.5e0 * r2 + 0.5e0 * x1 + 0.25e0) as r1, tanh(0.5e0 * r2 + 0.25e0 * s2 + x1 - 0.5e0) as s1 from ends),
+  states as (
+    select ids[1] as id, first, 0 as position, x0 as x, 0e0 as p, 0e0 as q, r1 as r, s1 as s from mids
+    union all select ids[2], first, 1, x1, p0, q0, r2, s2 from mids
+    union all select ids[3], first, 2, x2, p1, q1, 0e0, 0e0 from mids)"""
+
+
+def tiny_rows(spark, sf):
+    return reconstruct.numbered_rows(derived.positions(spark, sf), _TINY.columns, _TINY.normaliser)
+
+
+@query("recurrent_errors", f"""with {_TINY_STATES}, errors as (select *, pow(x - (0.125e0 + 0.75e0 * p - 0.5e0 * q + 0.25e0 * r + 0.5e0 * s), 2) as error from states)
+    select id, first as start, position, round(error, 6) as error from errors where error > 0.25""")
+def _(spark, sf):
+    """Rows of sequences that a fixed model reconstructs badly."""
+    return reconstruct.sequence_errors(tiny_rows(spark, sf), _TINY, _TINY.threshold).withColumn("error", r6("error"))
+
+
+@query("recurrent_products", f"""with {_TINY_STATES}, cells as (
+      select unnest([1e0, p, q, r, s]) as a, unnest([0, 1, 2, 3, 4]) as i, [1e0, p, q, r, s, x] as row from states),
+    pairs as (select i, a, unnest(row) as b, unnest([0, 1, 2, 3, 4, 5]) as j from cells)
+    select cast(i as int) as i, cast(j as int) as j, round(sum(a * b), 4) as value from pairs group by i, j""")
+def _(spark, sf):
+    """The sums that a read-out is solved from."""
+    return recurrent.state_products(tiny_rows(spark, sf), _TINY).withColumn("value", F.round("value", 4))
+
+
 @query("synthetic_labels")
 def _(spark, sf):
     return evaluate.synthetic_labels(moving(spark, sf)).select("id", "is_anomaly")

@@ -6,6 +6,7 @@ severity and reporting rules stay the same.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,6 +40,11 @@ class SequenceModel:
     version: str = "v1"
     metrics: dict[str, float] = field(default_factory=dict)
 
+    def scorer(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Flattened sequences to their errors per position."""
+        mean, components, length = self.mean, self.components, self.length
+        return lambda x: reconstruction_errors(mean, components, length, x)
+
 
 def reconstruction_errors(mean: np.ndarray, components: np.ndarray, length: int, x: np.ndarray) -> np.ndarray:
     """Mean squared error per sequence position, shape (rows, length)."""
@@ -74,37 +80,55 @@ def sequence_vectors(df: DataFrame, columns: list[str], length: int, stats: dict
     return vectors_of(numbered_rows(df, columns, stats), columns, length, stride)
 
 
-def sequence_errors(numbered: DataFrame, model: SequenceModel, threshold: float | None = None, block_rows: int = 4096) -> DataFrame:
-    """Reconstruction errors of all sequences, computed block by block on narrow rows.
+def map_windows(numbered: DataFrame, length: int, width: int, work: Callable[[Iterator[tuple]], pa.Table], schema: str,
+                block_rows: int = 4096) -> DataFrame:
+    """What ``work`` makes of the sequences of whole blocks, as (x, ids, starts): flattened sequences, one a row, the ids of the
+    rows from the first on, and each sequence's start.
 
-    Without ``threshold``: one row per sequence, ``error`` being its mean. With it: one row per sequence position whose
-    error is above it: (id, start, position, error). Sequences are never sent anywhere; a block of consecutive positions
-    of one line and direction, with the first rows of the next block, holds all that start in it.
+    Sequences are never sent anywhere; a block of consecutive positions of one line and direction, with the first rows of
+    the next block, holds all that start in it.
     """
-    length, width = model.length, len(model.columns)
     measures = [f"_n{i}" for i in range(width)]
-    mean, components = model.mean, model.components
     block = floor_div(F.col("position"), block_rows)
     lead_in = (F.col("position") % block_rows < length - 1) & (block > 0)
     blocks = numbered.withColumn("_block", F.explode(F.when(lead_in, F.array(block, block - 1)).otherwise(F.array(block))))
 
-    def errors(table: pa.Table, starts: np.ndarray) -> pa.Table:
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
         rows = np.column_stack([table[m].to_numpy() for m in measures])
         position, ids = table["position"].to_numpy(), table["id"].to_numpy()
         own = position // block_rows == table["_block"].to_numpy()
+
+        def windows() -> Iterator[tuple]:
+            for begin, end in zip(starts, [*starts[1:], table.num_rows]):
+                # the rows of the block itself start sequences, as far as enough rows follow
+                n = min(int(own[begin:end].sum()), int(end - begin) - length + 1)
+                if n > 0:
+                    x = sliding_window_view(rows[begin:begin + n + length - 1], length, axis=0).swapaxes(1, 2).reshape(n, -1)
+                    yield x, ids[begin:begin + n + length - 1], position[begin:begin + n]
+
+        return work(windows())
+
+    return map_sorted_groups(blocks.select(*SEQUENCE_KEYS, "_block", "position", "id", *measures), [*SEQUENCE_KEYS, "_block"],
+                             ["position"], run, schema)
+
+
+def sequence_errors(numbered: DataFrame, model: SequenceModel, threshold: float | None = None, block_rows: int = 4096) -> DataFrame:
+    """Reconstruction errors of all sequences, computed block by block on narrow rows.
+
+    Without ``threshold``: one row per sequence, ``error`` being its mean. With it: one row per sequence position whose
+    error is above it: (id, start, position, error).
+    """
+    errors_of = model.scorer()
+
+    def errors(windows: Iterator[tuple]) -> pa.Table:
         parts = []
-        for begin, end in zip(starts, [*starts[1:], table.num_rows]):
-            # the rows of the block itself start sequences, as far as enough rows follow
-            n = min(int(own[begin:end].sum()), int(end - begin) - length + 1)
-            if n <= 0:
-                continue
-            x = sliding_window_view(rows[begin:begin + n + length - 1], length, axis=0).swapaxes(1, 2).reshape(n, -1)
-            e = reconstruction_errors(mean, components, length, x)
+        for x, ids, starts in windows:
+            e = errors_of(x)
             if threshold is None:
                 parts.append(pa.table({"error": e.mean(axis=1)}))
             else:
                 s, k = np.nonzero(e > threshold)
-                parts.append(pa.table({"id": ids[begin + s + k], "start": position[begin + s], "position": k.astype("int32"), "error": e[s, k]}))
+                parts.append(pa.table({"id": ids[s + k], "start": starts[s], "position": k.astype("int32"), "error": e[s, k]}))
         return pa.concat_tables(parts) if parts else empty
 
     if threshold is None:
@@ -113,8 +137,7 @@ def sequence_errors(numbered: DataFrame, model: SequenceModel, threshold: float
         schema = "id long, start long, position int, error double"
         empty = pa.table({"id": pa.array([], pa.int64()), "start": pa.array([], pa.int64()), "position": pa.array([], pa.int32()),
                           "error": pa.array([], pa.float64())})
-    return map_sorted_groups(blocks.select(*SEQUENCE_KEYS, "_block", "position", "id", *measures), [*SEQUENCE_KEYS, "_block"],
-                             ["position"], errors, schema)
+    return map_windows(numbered, model.length, len(model.columns), errors, schema, block_rows)
 
 
 def fit_sequences(df: DataFrame, components: int = 8, length: int = 24, threshold_share: float = 0.95,
@@ -147,14 +170,14 @@ def position_errors(df: DataFrame, model: SequenceModel) -> DataFrame:
     return sequence_errors(numbered_rows(df, model.columns, model.normaliser), model, model.threshold)
 
 
-def sequence_detections(df: DataFrame, model: SequenceModel, report: str = "max") -> DataFrame:
+def sequence_detections(df: DataFrame, model: SequenceModel, report: str = "max", name: str = "sequence_model") -> DataFrame:
     """Detections of kind ``sequence``. ``max`` reports each row once with its largest error, ``all`` every occurrence."""
     hits = position_errors(df, model).select("id", "position", "error")
     if report == "max":
         hits = hits.groupBy("id").agg(F.max("error").alias("error"), F.max_by("position", F.struct(F.col("error"), -F.col("position"))).alias("position"))
     rows = df.join(hits, "id")
     return as_detections(
-        rows, F.lit("sequence"), fx.error_severity("error", F.lit(model.threshold)), "sequence_model", model.version,
+        rows, F.lit("sequence"), fx.error_severity("error", F.lit(model.threshold)), name, model.version,
         model.columns,
         {"reconstruction_error": F.col("error"), "threshold": F.lit(model.threshold), "sequence_position": F.col("position")},
     )

@@ -15,6 +15,7 @@ from railtempo.operators import evaluate, ranks
 from railtempo.operators.filters import enough_samples, training_range
 from railtempo.operators.forest import Forest, fit_forest, grow_forest, tree_scores
 from railtempo.operators.large_forest import SUBTREE, LargeForest, large_scores
+from railtempo.operators.recurrent import RecurrentModel, fit_recurrent
 from railtempo.operators.reconstruct import SequenceModel, fit_sequences
 from railtempo.operators.scaling import cap_outliers
 from railtempo.schemas import METRIC_COLUMNS
@@ -160,25 +161,47 @@ def load_sequences(spark: SparkSession, path: str) -> SequenceModel:
                          m["threshold"], m["version"], dict(m["metrics"]))
 
 
+def save_recurrent(spark: SparkSession, model: RecurrentModel, path: str) -> None:
+    """All of a fitted model; its random weights are kept as well, so that it does not depend on how they are drawn."""
+    nets = [tuple(part.tolist() for part in net) for net in model.nets]
+    meta = [(model.columns, model.length, model.normaliser, nets, model.readout.tolist(), model.threshold, model.version, model.metrics)]
+    spark.createDataFrame(
+        meta, "columns array<string>, length int, normaliser map<string,double>, nets array<struct<recurrent: array<array<double>>, "
+              "inputs: array<array<double>>, bias: array<double>>>, readout array<array<double>>, threshold double, version string, "
+              "metrics map<string,double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+
+
+def load_recurrent(spark: SparkSession, path: str) -> RecurrentModel:
+    m = spark.read.parquet(f"{path}/metadata").first()
+    nets = tuple((np.array(n["recurrent"]), np.array(n["inputs"]), np.array(n["bias"])) for n in m["nets"])
+    return RecurrentModel(list(m["columns"]), m["length"], dict(m["normaliser"]), nets, np.array(m["readout"]), m["threshold"],
+                          m["version"], dict(m["metrics"]))
+
+
 MODEL_TYPES = {
     "isolation_forest": (lambda df, version: fit_forest(df, BASE_FEATURES, version=version), save_forest, load_forest, None),
     "sequence_model": (lambda df, version: fit_sequences(df, version=version), save_sequences, load_sequences, 24),
 }
+# asked for by name only: load_or_train(..., kinds={**MODEL_TYPES, **MORE_TYPES})
+MORE_TYPES = {
+    "recurrent_model": (lambda df, version: fit_recurrent(df, version=version), save_recurrent, load_recurrent, 24),
+}
 
 
 def load_or_train(spark: SparkSession, positions: DataFrame, registry_path: str, model_folder: str, as_of: datetime,
-                  registry: DataFrame | None = None, days: int = 7) -> dict:
+                  registry: DataFrame | None = None, days: int = 7, kinds: dict | None = None) -> dict:
     """Active models from the registry; missing ones are trained on the last ``days`` if there are enough rows.
 
     ``registry`` is the current registry (None if there is none yet). A type with too few rows maps to None.
     """
     models: dict = {}
+    kinds = kinds or MODEL_TYPES
     if registry is not None:
         for row in registry.filter("is_active").collect():
-            if row["model_type"] in MODEL_TYPES and row["artifact_path"]:
-                models[row["model_type"]] = MODEL_TYPES[row["model_type"]][2](spark, row["artifact_path"])
+            if row["model_type"] in kinds and row["artifact_path"]:
+                models[row["model_type"]] = kinds[row["model_type"]][2](spark, row["artifact_path"])
     rows = with_calendar(training_range(positions, F.lit(as_of - timedelta(days=days)), F.lit(as_of)))
-    for kind, (fit, save, _, sequence_length) in MODEL_TYPES.items():
+    for kind, (fit, save, _, sequence_length) in kinds.items():
         if kind in models:
             continue
         if not enough_samples(rows, sequence_length):

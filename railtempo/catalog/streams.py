@@ -89,6 +89,24 @@ def _(spark, sf):
         F.count("*").alias("n"), F.sum("delay_seconds").alias("delay"), F.countDistinct("line").alias("lines"))
 
 
+@query("compacted_positions", f"""with {POSITIONS} select {sql_stamp("date_trunc('day', timestamp)")} as day, count(*) as n, cast(sum(delay_seconds) as bigint) as delay,
+    count(distinct id) as ids from positions group by 1""")
+def _(spark, sf):
+    """Two batches compacted up to the middle date, a third that comes late, and a second compaction up to an earlier date."""
+    path = scratch(spark, "compacted")
+    rows = derived.positions(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    for i in (0, 1):
+        tables.append_positions(rows.filter(F.col("id") % 3 == i), path, str(i))
+    first, last = rows.agg(F.to_date(F.min("timestamp")), F.to_date(F.max("timestamp"))).first()
+    if first is not None:
+        middle = first + (last - first) / 2
+        tables.compact(spark, path, "timestamp", middle)
+        tables.append_positions(rows.filter("id % 3 = 2"), path, "2")
+        tables.compact(spark, path, "timestamp", first + (middle - first) / 2)
+    return tables.read_range(spark, path, "timestamp").groupBy(stamp(fx.day_floor("timestamp")).alias("day")).agg(
+        F.count("*").alias("n"), F.sum("delay_seconds").alias("delay"), F.countDistinct("id").alias("ids"))
+
+
 @query("anomaly_table", f"""with {ANOMALIES} select id, station_id, line, anomaly_type, round(severity, 6) as severity, id % 10 = 1 as resolved from anomalies""")
 def _(spark, sf):
     path, log = scratch(spark, "anomalies"), scratch(spark, "resolutions")

@@ -1,6 +1,6 @@
 """Stored tables: append-only facts partitioned by date, and small versioned tables.
 
-Facts are never rewritten. Resolutions are an append-only log applied on read. A small mutable table (stations, model
+Facts are never rewritten; batches of past dates can be copied into few large files. Resolutions are an append-only log applied on read. A small mutable table (stations, model
 registry) is written whole under a new version; readers take the newest version, so a failed write is never seen.
 """
 
@@ -9,9 +9,14 @@ from __future__ import annotations
 import time
 import uuid
 import zlib
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from railtempo.operators.upsert import activate, apply_resolutions
 
@@ -33,14 +38,104 @@ def append_by_date(df: DataFrame, path: str, ts: str, batch: str | None = None)
         "date", "batch").parquet(path)
 
 
+def _facts(spark: SparkSession, path: str, dates: Column) -> DataFrame:
+    """Rows with ``date`` and ``batch`` where ``dates`` holds: from closed dates' newest copy what it has, and all
+    else from the batches."""
+    batches, copies = _parts(spark, path)
+    batches = batches.filter(dates)
+    if copies is None:
+        return batches
+    copied = _newest(copies.filter(dates))
+    return batches.join(copied.select("date", "batch").distinct(), ["date", "batch"], "left_anti").select(*batches.columns).unionByName(copied)
+
+
+def _schema(spark: SparkSession, path: str) -> T.StructType:
+    """Columns of the facts, from the copies where no batch is left. Folder names do not decide types: a label of digits stays
+    text, and dates are dates where only rows without one are left."""
+    try:
+        found = spark.read.parquet(path).schema
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        found = spark.read.parquet(copies_of(path)).drop("generation").schema
+    kinds = {"date": T.DateType(), "batch": T.StringType()}
+    return T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in found.fields])
+
+
+def _parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
+    """All batches, and all copies if there are any. Batches are listed first, so a copy finished in between hides them."""
+    schema = _schema(spark, path)
+    batches = spark.read.schema(schema).parquet(path)
+    try:
+        return batches, spark.read.schema(T.StructType([*schema.fields, T.StructField("generation", T.LongType())])).parquet(copies_of(path))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return batches, None
+
+
+def _newest(copies: DataFrame) -> DataFrame:
+    newest = copies.groupBy("date").agg(F.max("generation").alias("generation"))
+    return copies.join(newest, ["date", "generation"], "left_semi").drop("generation")
+
+
+def copies_of(path: str) -> str:
+    """Folder of a fact table's compacted dates."""
+    return f"{path.rstrip('/')}-closed"
+
+
+def compact(spark: SparkSession, path: str, ts: str, before: date) -> list[date]:
+    """Copy the dates before ``before`` that have batches not copied yet, all batches of a date into few large files. Returns these dates.
+
+    A copy is a new folder that appears as a whole when the job commits (a rename), so a reader sees either the batches or the
+    copy. The batches stay until :func:`remove_compacted`, and an older copy does as well: who listed them before can go on
+    reading. A compaction that fails leaves nothing to be seen; a repeated one finds nothing to do. Rows that come for
+    a date already copied are a batch beside its copy, and join it in the next compaction. One compaction at a time.
+    """
+    closed = F.col("date") < F.lit(before)
+    batches, copies = _parts(spark, path)
+    waiting = batches.filter(closed).select("date", "batch").distinct()
+    if copies is not None:
+        waiting = waiting.join(_newest(copies).select("date", "batch").distinct(), ["date", "batch"], "left_anti")
+    dates = sorted(r[0] for r in waiting.select("date").distinct().collect())  # as many as days
+    if dates:
+        rows = _facts(spark, path, F.col("date").isin(dates)).withColumn("generation", F.lit(time.time_ns()))
+        rows.hint("rebalance", F.col("date")).sortWithinPartitions("date", ts).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("date", "generation").parquet(copies_of(path))
+    return dates
+
+
+def remove_compacted(spark: SparkSession, path: str, grace: timedelta = timedelta(days=1)) -> int:
+    """Delete batches that a copy at least ``grace`` old has, and copies that a newer one of that age replaces. Returns the number of folders.
+
+    ``grace`` must be longer than any reader takes. Only folder names pass through the driver.
+    """
+    _, copies = _parts(spark, path)
+    if copies is None:
+        return 0
+    aged = copies.filter(F.col("generation") <= time.time_ns() - int(grace.total_seconds() * 1e9))
+    pairs = aged.select("date", "batch").distinct().collect()
+    newest = F.max("generation").over(W.partitionBy("date"))
+    replaced = aged.select("date", "generation").distinct().withColumn("_newest", newest).filter("generation < _newest").collect()
+    folders = [f"{path.rstrip('/')}/date={r['date']}/batch={r['batch']}" for r in pairs]
+    folders += [f"{copies_of(path)}/date={r['date']}/generation={r['generation']}" for r in replaced]
+    removed = 0
+    for folder in folders:
+        store, name = fs.FileSystem.from_uri(folder)
+        if store.get_file_info(name).type == fs.FileType.Directory:
+            store.delete_dir(name)
+            removed += 1
+    return removed
+
+
 def read_range(spark: SparkSession, path: str, ts: str, start=None, end=None) -> DataFrame:
-    """Fact rows in [start, end]. The date predicate next to the time predicate prunes partitions."""
-    df = spark.read.parquet(path)
+    """Fact rows in [start, end], compacted or not. The date predicate next to the time predicate prunes partitions."""
+    dates, times = F.lit(True), F.lit(True)
     if start is not None:
-        df = df.filter((F.col("date") >= F.to_date(F.lit(start))) & (F.col(ts) >= F.lit(start)))
+        dates, times = dates & (F.col("date") >= F.to_date(F.lit(start))), times & (F.col(ts) >= F.lit(start))
     if end is not None:
-        df = df.filter((F.col("date") <= F.to_date(F.lit(end))) & (F.col(ts) <= F.lit(end)))
-    return df.drop("date", "batch")
+        dates, times = dates & (F.col("date") <= F.to_date(F.lit(end))), times & (F.col(ts) <= F.lit(end))
+    return _facts(spark, path, dates).filter(times).drop("date", "batch")
 
 
 def append_positions(df: DataFrame, path: str, batch: str | None = None) -> None:
@@ -129,8 +224,6 @@ def record_artifact(spark: SparkSession, path: str, model_type: str, version: st
 
 def json_safe(df: DataFrame, out: str = "json") -> DataFrame:
     """All columns as one JSON text: decimals as doubles, dates and times as ISO text."""
-    from pyspark.sql import types as T
-
     from railtempo.functions.scalar import iso_text
 
     def safe(field):

@@ -208,9 +208,11 @@ def _(spark, sf):
 @query("subscription_routes", f"""with {ANOMALIES}, {SUBSCRIPTIONS}
     select a.id, count(*) as clients, cast(sum(cast(s.client_id as bigint)) as bigint) as client_sum from anomalies a join subscriptions s on {_MATCH} group by 1""")
 def _(spark, sf):
-    """Every pair of every subscription, summed per anomaly."""
-    pairs = matching.route_anomalies(derived.anomalies(spark, sf).select("id", *matching.FILTERS), derived.subscriptions(spark, sf))
-    return pairs.groupBy("id").agg(F.count("*").alias("clients"), F.sum(F.col("client_id").cast("bigint")).alias("client_sum"))
+    """Every subscription, those without filters too, summed per anomaly; clients with the same filters are routed together."""
+    subs = derived.subscriptions(spark, sf)
+    totals = [F.count("*").alias("clients"), F.sum(F.col("client_id").cast("bigint")).alias("client_sum")]
+    routes = matching.route_anomalies(derived.anomalies(spark, sf).select("id", *matching.FILTERS), subs, totals=totals)
+    return routes.groupBy("id").agg(F.sum("clients").alias("clients"), F.sum("client_sum").alias("client_sum"))
 
 
 @query("subscription_routes_all", f"""with {ANOMALIES}, {SUBSCRIPTIONS}

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railtempo.schemas import DEFAULT_LAT, DEFAULT_LON
 
 FILTERS = ["line", "station_id", "anomaly_type"]
+SET = [f"set_{c}" for c in FILTERS]
 
 
 def with_station_defaults(df: DataFrame, stations: DataFrame, key: str = "current_station") -> DataFrame:
@@ -61,21 +62,43 @@ def _keyed(subscriptions: DataFrame) -> DataFrame:
     return _mask(subscriptions).select("_mask", *[F.col(c).alias(f"_{c}") for c in FILTERS], "client_id")
 
 
-def route_anomalies(anomalies: DataFrame, subscriptions: DataFrame, salts: int | None = None) -> DataFrame:
+def route_anomalies(anomalies: DataFrame, subscriptions: DataFrame, salts: int | None = None, totals: list[Column] | None = None) -> DataFrame:
     """One row per anomaly and client whose set filters all equal the anomaly's values.
 
     Written as an equality join: a subscription only sets some of three filters, so each anomaly probes the eight
     combinations. Subscriptions without filters receive everything; ``salts`` (as many as shuffle partitions, unless given) spread
     that key, and only that one: other subscriptions are not repeated.
+
+    Pairs are anomalies times clients. With ``totals`` (aggregates over subscriptions, such as their number) clients that set the same
+    filters stay together: one row per anomaly and such set, at most eight an anomaly, with the set's filters (``SET``, null if open) and
+    its totals. Every subscription is in exactly one set, so nothing of the pairs is lost; ``sent_per_client`` hands a set's rows to its clients.
     """
     salts = salts or int(anomalies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     none = F.lit(0).cast("long")
     open_to_all = F.col("_mask") == 0
     probes = _probes(anomalies).withColumn("_salt", F.when(open_to_all, F.pmod(F.xxhash64("id", "_mask"), F.lit(salts))).otherwise(none))
-    subs = _keyed(subscriptions).withColumn("_salt", F.explode(
+    subs, kept = _keyed(subscriptions), ["client_id"]
+    if totals is not None:
+        subs = subs.groupBy("_mask", *[f"_{c}" for c in FILTERS]).agg(*totals)
+        kept = subs.columns[1 + len(FILTERS):]
+    subs = subs.withColumn("_salt", F.explode(
         F.when(open_to_all, F.sequence(none, F.lit(salts - 1).cast("long"))).otherwise(F.array(none))))
+    own = [subs[f"_{c}"].alias(s) for c, s in zip(FILTERS, SET)] if totals is not None else []
     return probes.join(subs, _same_filters(probes, subs) & (probes["_salt"] == subs["_salt"])).select(
-        probes["*"], subs["client_id"]).drop("_mask", "_salt", *[f"_{c}" for c in FILTERS])
+        *[probes[c] for c in anomalies.columns], *own, *[subs[c] for c in kept])
+
+
+def sent_per_client(routes: DataFrame, subscriptions: DataFrame, totals: dict[str, Column]) -> DataFrame:
+    """Sums per client over all its deliveries, from the rows that ``route_anomalies`` gives per set of filters.
+
+    ``totals`` are aggregates over routes whose sums over a client's subscriptions are its own. Clients without deliveries have no row.
+    """
+    sets = routes.groupBy(*SET).agg(*[column.alias(name) for name, column in totals.items()])
+    subs = subscriptions.select("client_id", *[F.col(c).alias(f"_{c}") for c in FILTERS])
+    same = F.lit(True)
+    for c, s in zip(FILTERS, SET):
+        same &= subs[f"_{c}"].eqNullSafe(sets[s])
+    return subs.join(sets, same).groupBy("client_id").agg(*[F.sum(name).alias(name) for name in totals])
 
 
 def deliveries_per_client(anomalies: DataFrame, subscriptions: DataFrame) -> DataFrame:

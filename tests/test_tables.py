@@ -201,3 +201,33 @@ def test_located_pages(spark):
     assert filters.located_page(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         filters.located_page(df, 0)
+
+
+def test_routes_by_sets_of_filters_equal_pairs(spark):
+    """Clients with the same filters are routed together: null ids, repeated rows and clients, missing values, sums as over all pairs."""
+    anomalies = spark.createDataFrame(
+        [(1, "A", "S1", "view"), (1, "A", "S1", "view"), (2, None, "S1", "view"), (3, "B", None, None), (None, "A", None, "click")],
+        "id long, line string, station_id string, anomaly_type string")
+    subs = spark.createDataFrame(
+        [("1", None, None, None), ("2", None, None, None), ("2", "A", None, None), ("3", "A", "S1", "view"), ("4", "Z", None, None),
+         (None, "B", None, None), ("5", None, "S1", None), ("5", None, "S1", None)],
+        "client_id string, line string, station_id string, anomaly_type string")
+    pairs = matching.route_anomalies(anomalies, subs, salts=3)
+    number = F.col("client_id").cast("bigint")
+    routes = matching.route_anomalies(anomalies, subs, 3, [F.count("*").alias("clients"), F.sum(number).alias("client_sum")])
+    assert routes.columns == [*anomalies.columns, *matching.SET, "clients", "client_sum"]
+    assert routes.count() < pairs.count() == routes.agg(F.sum("clients")).first()[0]
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert key(routes.groupBy("id").agg(F.sum("clients").alias("n"), F.sum("client_sum").alias("s"))) == key(
+        pairs.groupBy("id").agg(F.count("*").alias("n"), F.sum(number).alias("s")))
+    sums = {"deliveries": F.count("*"), "ids": F.sum("id")}
+    assert key(matching.sent_per_client(routes, subs, sums)) == key(
+        pairs.groupBy("client_id").agg(*[v.alias(k) for k, v in sums.items()]))
+
+
+def test_routes_do_not_grow_with_clients_times_anomalies(spark):
+    """3,000 anomalies and 2,000 clients without filters: six million pairs, one row per anomaly."""
+    anomalies = spark.range(3_000).selectExpr("id", "'A' as line", "'S1' as station_id", "'view' as anomaly_type")
+    subs = spark.range(2_000).selectExpr("string(id) as client_id", "string(null) as line", "string(null) as station_id", "string(null) as anomaly_type")
+    routes = matching.route_anomalies(anomalies, subs, totals=[F.count("*").alias("clients")])
+    assert routes.count() == 3_000 and routes.agg(F.sum("clients")).first()[0] == 6_000_000

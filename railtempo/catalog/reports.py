@@ -218,6 +218,7 @@ def _(spark, sf):
 @query("subscription_routes_all", f"""with {ANOMALIES}, {SUBSCRIPTIONS}
     select s.client_id, count(*) as deliveries, cast(sum(a.id) as bigint) as ids from anomalies a join subscriptions s on {_MATCH} group by 1""")
 def _(spark, sf):
-    """Every pair of every subscription, those without filters too, summed per client."""
-    pairs = matching.route_anomalies(derived.anomalies(spark, sf).select("id", *matching.FILTERS), derived.subscriptions(spark, sf))
-    return pairs.groupBy("client_id").agg(F.count("*").alias("deliveries"), F.sum("id").alias("ids"))
+    """Every subscription, those without filters too, summed per client; clients with the same filters are routed together."""
+    subs = derived.subscriptions(spark, sf)
+    routes = matching.route_anomalies(derived.anomalies(spark, sf).select("id", *matching.FILTERS), subs, totals=[F.count("*").alias("clients")])
+    return matching.sent_per_client(routes, subs, {"deliveries": F.count("*"), "ids": F.sum("id")})

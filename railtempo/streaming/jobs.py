@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -101,6 +101,6 @@ def start_scoring(positions: DataFrame, detectors: DetectorSet, anomalies_path:
     return positions.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(**_trigger(once)).start()
 
 
-def stream_routes(anomalies: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Stream of (anomaly, client) rows: a stream-static equality join."""
-    return route_anomalies(anomalies, subscriptions)
+def stream_routes(anomalies: DataFrame, subscriptions: DataFrame, totals: list[Column] | None = None) -> DataFrame:
+    """Stream of (anomaly, client) rows, or of (anomaly, set of filters) rows with ``totals``: a stream-static equality join."""
+    return route_anomalies(anomalies, subscriptions, totals=totals)

@@ -87,3 +87,36 @@ def test_search_beyond_a_task(rows):
         found = training.forest_search(rows, rows.withColumns({c: F.lit(1.0) for c in ("headway_seconds", "dwell_time_seconds", "delay_seconds")}),
                                        grid, COLUMNS)
         assert found.count() == 2
+
+
+def test_draws_equal_those_of_a_generator():
+    from railtempo.operators.draws import first_draws
+
+    rng = np.random.default_rng(4)
+    paths = np.concatenate([np.arange(1, 300), rng.integers(1, 1 << 62, 300)])
+    n = np.arange(len(paths)) % 9 + 1
+    for key in (7, 1 << 32, int(rng.integers(1 << 62))):
+        number, unit = first_draws(key, paths, n)
+        for i, (p, k) in enumerate(zip(paths.tolist(), n.tolist())):
+            own = np.random.default_rng([key, p])
+            assert (own.integers(k), own.random()) == (number[i], unit[i])
+
+
+def test_nodes_cut_together_are_those_cut_one_by_one():
+    """Equal rows, constant columns, infinities, NaN and limits: every node of the tree is what ``cut_of`` gives for the rows that reach it."""
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.exponential(5, 700), rng.integers(0, 4, 700) / 2, np.ones(700)])
+    x[3, 0], x[4, 0], x[5, 1] = np.inf, -np.inf, np.nan
+    key = forest.tree_key(np.random.default_rng(8))
+    for limit, path, depth in ((10, 1, 0), (3, 1, 0), (9, 37, 5)):
+        nodes = forest.grow_tree(x, limit, np.random.default_rng(8), path, depth)
+        left = [(0, path, depth, np.arange(700))]
+        while left:
+            at, path_at, deep, rows_at = left.pop()
+            cut = None if deep >= limit or len(rows_at) < 2 else forest.cut_of(key, path_at, x[rows_at].min(axis=0), x[rows_at].max(axis=0))
+            if cut is None:
+                assert nodes["feature"][at] == -1 and nodes["depth"][at] == deep + forest.unsuccessful_search(len(rows_at))
+                continue
+            assert (nodes["feature"][at], nodes["cut"][at]) == cut
+            below = x[rows_at, cut[0]] <= cut[1]
+            left += [(nodes["low"][at], 2 * path_at, deep + 1, rows_at[below]), (nodes["high"][at], 2 * path_at + 1, deep + 1, rows_at[~below])]

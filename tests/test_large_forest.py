@@ -120,3 +120,24 @@ def test_nodes_cut_together_are_those_cut_one_by_one():
             assert (nodes["feature"][at], nodes["cut"][at]) == cut
             below = x[rows_at, cut[0]] <= cut[1]
             left += [(nodes["low"][at], 2 * path_at, deep + 1, rows_at[below]), (nodes["high"][at], 2 * path_at + 1, deep + 1, rows_at[~below])]
+
+
+def test_many_small_trees_stay_off_the_driver(rows):
+    """Trees that each fit a task but not the driver together are kept as subtrees, with the scores of those that are not."""
+    one = forest.grow_forest(rows, COLUMNS, trees=7, max_samples=0.8, seed=5)
+    other = forest.grow_forest(rows, COLUMNS, trees=7, max_samples=0.8, seed=5, rows_in_all=5_000)
+    assert not isinstance(one, LargeForest) and isinstance(other, LargeForest) and len(other.feature) == 7
+    first, second = scores(rows, one), scores(rows, other)
+    assert max(abs(first[i] - second[i]) for i in first) < 1e-12
+
+
+def test_columns_are_packed_exactly():
+    import pandas as pd
+
+    from railtempo.operators.large_forest import kind_of, narrowed, widened
+
+    x = np.array([[1.0, 300.0, 1e9, 0.5, 0.1, np.nan, 1e300], [-2.0, -5.0, 3.0, 2.0, 1 / 3, 1.0, -np.inf]])
+    packed = narrowed(x)
+    assert kind_of(packed).replace("|", "").replace("<", "") == "i1,i2,i4,f4,f8,f8,f8"
+    pieces = pd.DataFrame({"kind": [kind_of(packed)] * 2, "data": [packed.tobytes(), packed[1:].tobytes()]})
+    np.testing.assert_array_equal(widened(pieces), np.vstack([x, x[1:]]))

@@ -22,6 +22,7 @@ from railtempo.schemas import METRIC_COLUMNS
 
 KEYS = ["current_station", "direction"]
 EPSILON = 1e-7
+ROWS_PER_TASK = 250_000  # of frames, payload and copies: two sorts of them lie in a task's memory at once
 
 
 def _whole(df: DataFrame, columns: list[str]) -> list[bool]:
@@ -73,6 +74,10 @@ def _frame_moments(df: DataFrame, columns: list[str], frames: dict[str, int], ke
     between = _whole_slices(totals, len(columns), [length // slice_micros for length in frames.values()], keys)
     carry = between.selectExpr(*[f"`{k}`" for k in keys], "-1 as _kind", f"_slice * {slice_micros}L - 1 as _t", "_slice", "_between")
     merged = emitted.unionByName(carry, allowMissingColumns=True)
+    # a number of partitions that follows the rows keeps a task's share the same; Spark only ever merges the session's
+    tasks = -(-df.count() * (1 + len(frames)) // ROWS_PER_TASK)
+    if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        merged = merged.repartition(tasks, *keys, "_slice")
     forwards = f"(partition by {key_list}, _slice order by _t range between unbounded preceding and current row)"
     backwards = f"(partition by {key_list}, _slice order by _t desc range between unbounded preceding and 1 preceding)"
 

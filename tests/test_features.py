@@ -11,6 +11,7 @@ from railtempo.functions import features, scalar as fx
 from railtempo.operators import ranks, rolling, segments
 from railtempo.operators.headway import latest_above, with_headway, with_headway_by_processing
 from railtempo.operators.sequences import sliding_sequences
+from railtempo.sources import derived
 
 POSITION = "id long, timestamp timestamp, current_station string, direction int, arrival_time timestamp"
 T0 = dt.datetime(2024, 3, 5, 7, 10, 0)
@@ -279,3 +280,16 @@ def test_ranks_of_values_in_one_magnitude(spark):
     share = {r["id"]: r["s"] for r in ranks.average_rank_share(df, "v", "s").collect()}
     want = pd.Series(values).rank(pct=True)
     np.testing.assert_allclose([share[i] for i in range(len(values))], want, rtol=1e-12)
+
+
+def test_partitions_of_rolling_frames_follow_the_rows(spark, sf, monkeypatch):
+    """A task's share stays the same however many rows there are, and so do the results."""
+    rows = with_headway(derived.positions_with_dwell(spark, sf))
+    few = rolling.with_rolling(rows, ["delay_seconds"], 3, (6,))
+    monkeypatch.setattr(rolling, "ROWS_PER_TASK", 20)
+    many = rolling.with_rolling(rows, ["delay_seconds"], 3, (6,))
+    wanted = -(-rows.count() * 3 // 20)
+    assert f"{wanted}), REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString() and wanted > 8
+    assert "REPARTITION_BY_NUM" not in few._jdf.queryExecution().executedPlan().toString()
+    shown = lambda df: sorted((r["id"], *(None if r[c] is None else round(r[c], 9) for c in df.columns if "rolling" in c or "zscore" in c)) for r in df.collect())
+    assert shown(few) == shown(many)

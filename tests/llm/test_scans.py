@@ -128,3 +128,17 @@ def test_licences_in_odd_texts(spark):
     got = {(r.doc_id, r.paragraph, r.family, r.confirmed) for r in licenses.scan(df, model, ["doc_id"]).collect()}
     assert got == {(5, 0, "mit", True), (6, 1, "apache", True), (None, 0, "cc-by-nc", True)}
     assert licenses.scan(df.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_secret_training_reads_whole_texts_and_all_findings(spark, monkeypatch):
+    """Words of long texts are counted, and no finding is left out of the forest, however many there are of a label."""
+    words = secrets.train(spark.createDataFrame([("zqxj " * 30 + "a " * 12_000,), ("plain words",)], "text string")).words
+    number = sum((ord(c) - 97) * 26 ** (2 - i) for i, c in enumerate("zqx"))
+    assert words[number >> 6] >> (number & 63) & 1
+    seen = []
+    kept = secrets.checkpointed
+    monkeypatch.setattr(secrets, "checkpointed", lambda df: seen.append(kept(df)) or seen[-1])
+    findings = spark.range(4_600).selectExpr(
+        "concat('Zk7q', lpad(conv(id * 7919, 10, 36), 14, '0')) as value", "if(id < 100, 'api_key = ', 'see ') as before", "'' as after", "int(id < 100) as label")
+    model = secrets.train(spark.createDataFrame([("plain words",)], "text string"), findings, trees=3, depth=2)
+    assert model.forest is not None and seen[0].count() == 4_600

@@ -2,16 +2,14 @@
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railtempo.llm.settings import sampled
-
 BLOCK = 512  # bytes compressed at a time, so that a text's own repetitions hide little of what the dictionary gives
 
 
@@ -55,30 +53,40 @@ def _compressor(dictionary: bytes, level: int = 3) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=level, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def dictionary(texts: list[str], size: int, bytes_per_text: int) -> bytes:
-    """A zstandard dictionary trained on blocks of different texts; of too little text for training, that text."""
-    blocks = {}
-    for k, text in enumerate(texts):
-        raw = text.encode()
-        at = 7_919 * k % max(1, len(raw) - bytes_per_text)
-        blocks |= dict.fromkeys(raw[x:x + BLOCK] for x in range(at, min(len(raw), at + bytes_per_text), BLOCK))
+def blocks_of(texts: list[str]) -> list[bytes]:
+    """The different blocks of whole texts, in the order of the texts."""
+    raws = (text.encode() for text in texts)
+    return list(dict.fromkeys(raw[at:at + BLOCK] for raw in raws for at in range(0, len(raw), BLOCK)))
+
+
+def dictionary(blocks: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary trained on all blocks; of too few blocks for training, these blocks."""
     try:
-        return zstandard.train_dictionary(size, [b for b in blocks if len(b) >= 8]).as_bytes()
+        # all blocks are trained on: by default a quarter would only choose between settings
+        return zstandard.train_dictionary(size, [b for b in blocks if len(b) >= 8], d=8, steps=4, split_point=1.0).as_bytes()
     except zstandard.ZstdError:
         return b"".join(blocks)[:size].ljust(64, b"-")
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 60) -> np.ndarray:
-    """Newton steps, halved until the penalised loss falls."""
+def digest(blocks: list[bytes], size: int) -> list[bytes]:
+    """What blocks have in common, as blocks of at most ``size`` bytes in all; fewer bytes are kept as they are."""
+    if sum(map(len, blocks)) <= size:
+        return blocks
+    common = dictionary(blocks, size)
+    return [common[at:at + BLOCK] for at in range(BLOCK, len(common), BLOCK)]  # the first block holds a dictionary's code tables
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.1, rounds: int = 60) -> np.ndarray:
+    """Newton steps, halved until the penalised loss falls; row i weighs ``n[i]``."""
     w = np.zeros(x.shape[1])
 
     def loss(v):
         m = x @ v
-        return np.logaddexp(0, -np.where(y > 0, m, -m)).sum() + ridge * (v @ v) / 2
+        return (n * np.logaddexp(0, -np.where(y > 0, m, -m))).sum() + ridge * (v @ v) / 2
 
     for _ in range(rounds):
         p = _sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (n * (p - y)) + ridge * w)
         scale, now = 1.0, loss(w)
         while scale > 1e-6 and loss(w - scale * step) > now:
             scale /= 2
@@ -88,49 +96,107 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 60
     return w
 
 
+def _fold(folds: int):
+    return F.pmod(F.xxhash64("text", F.lit(17)), F.lit(folds)).cast("int").alias("fold")
+
+
+def _dictionaries(
+    texts: DataFrame, known: DataFrame, size: int, folds: int, part_bytes: int, digest_bytes: int, fan: int,
+) -> dict[tuple[int, int], bytes]:
+    """Per label and fold the dictionary of all ``texts`` (doc_id, text) ``known`` (doc_id, quality) to have the label, but the fold's;
+    fold ``folds`` leaves none out. Labels without any text are missing.
+
+    Texts meet their labels in parts of about ``part_bytes``. What a part has of a label and fold is digested to ``digest_bytes``, and
+    ``fan`` digests together to one again, until no more than ``fan`` are left. So texts are shuffled once, no task trains on more
+    than a part or ``fan * folds`` digests, however many texts there are, and every byte of every labelled text has been trained on.
+    """
+    parts = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
+    schema = "quality int, fold int, part bigint, blocks array<binary>"
+
+    def table_of(rows: list[tuple]) -> pa.Table:
+        types = [("quality", pa.int32()), ("fold", pa.int32()), ("part", pa.int64()), ("blocks", pa.list_(pa.binary()))]
+        return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(types)})
+
+    def digested(key: tuple, labelled: pa.Table, part: pa.Table) -> pa.Table:
+        out = []
+        for q in (0, 1):
+            ids = labelled.filter(pc.equal(labelled.column("quality"), q)).column("doc_id")
+            own = part.filter(pc.is_in(part.column("doc_id"), value_set=ids.combine_chunks()))
+            for fold in range(folds):
+                found = set(own.filter(pc.equal(own.column("fold"), fold)).column("text").to_pylist())
+                if found:
+                    out.append((q, fold, key[0].as_py(), digest(blocks_of(sorted(found)), digest_bytes)))
+        return table_of(out)
+
+    def in_order(rows: pa.Table) -> list[bytes]:
+        return [b for part in rows.sort_by([("fold", "ascending"), ("part", "ascending")]).column("blocks").to_pylist() for b in part]
+
+    def joined(key: tuple, rows: pa.Table) -> pa.Table:
+        return table_of([(*(k.as_py() for k in key), digest(in_order(rows), digest_bytes))])
+
+    def final(key: tuple, rows: pa.Table) -> pa.Table:
+        return pa.table({"quality": pa.array([key[0].as_py()], pa.int32()), "left": pa.array([key[1].as_py()], pa.int32()),
+                         "bytes": pa.array([dictionary(in_order(rows), size)])})
+
+    part = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(parts)).cast("bigint").alias("part")
+    found = known.select("doc_id", "quality", part).groupBy("part").cogroup(
+        texts.select("doc_id", "text", _fold(folds), part).groupBy("part")).applyInArrow(digested, schema)
+    while parts > fan:
+        found = found.withColumn("into", F.floor(F.col("part") / fan)).groupBy("quality", "fold", "into").applyInArrow(joined, schema)
+        parts = -(-parts // fan)
+    left_out = found.withColumn("left", F.explode(F.sequence(F.lit(0), F.lit(folds)))).filter("left <> fold")
+    rows = left_out.groupBy("quality", "left").applyInArrow(final, "quality int, left int, bytes binary").collect()
+    return {(r["quality"], r["left"]): bytes(r["bytes"]) for r in rows}
+
+
 def train(
-    docs: DataFrame, labels: DataFrame, dictionary_bytes: int = 32_768, texts_per_label: int = 3_000, longest: int = 20_000,
-    bytes_per_text: int = 2_048, folds: int = 4, calibrated_per_label: int = 1_200,
+    docs: DataFrame, labels: DataFrame, dictionary_bytes: int = 32_768, folds: int = 4, part_bytes: int = 1 << 25, digest_bytes: int = 1 << 20,
+    fan: int = 4,
 ) -> QualityModel:
-    """Learns from at most ``texts_per_label`` texts of each label (a hash decides which), none over ``longest`` characters.
+    """Learns from all bytes of all texts with a label.
 
-    Each gives ``bytes_per_text`` bytes to the training of its label's dictionary. The calibration is a logistic curve over the
-    difference of sizes, its only input, which never falls; it is fitted to differences of up to ``calibrated_per_label`` texts of each
-    label by dictionaries made without their fold. Only that bounded sample is collected. The calibration is set to the share
-    of good among all ``labels`` rows given. Rows with a null label or id are passed over. With only one label, or none, the
-    score is that label's share (0.5 without any).
+    Dictionaries are trained on parts of the texts and joined (``_dictionaries``). The calibration is a logistic curve over the
+    difference of sizes, its only input, which never falls; it is fitted to the differences of all rows by dictionaries made without
+    their fold (a hash of the text decides), counted by ten-thousandths, either label weighing half. Only these counts and
+    ``2 * (folds + 1)`` dictionaries are collected. The calibration is set to the share of good among all ``labels`` rows given. Rows
+    with a null label, id or text are passed over. With only one label, or none, the score is that label's share (0.5 without any).
     """
-    known = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
+    known = labels.filter("quality in (0, 1) and doc_id is not null").select(
+        F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
-    order = F.xxhash64(F.col("doc_id"), F.lit(17))
-    some = [sampled(known.filter(F.col("quality") == q), 2 * texts_per_label, "doc_id") for q in (0, 1)]
-    picked = reduce(DataFrame.union, [s.orderBy(order, "doc_id").limit(texts_per_label) for s in some])
-    # at most 2 * texts_per_label ids: small enough to send to every task, so that no text is shuffled
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= longest).join(F.broadcast(picked), "doc_id").select(
-        "text", "quality", order.alias("h"), "doc_id").orderBy("h", "doc_id", "text").limit(2 * texts_per_label).collect()
-    texts: dict[int, list[str]] = {0: [], 1: []}
-    for r in rows:
-        texts[r["quality"]].append(r["text"])
-
-    def fitted(kept: dict[int, list[str]]) -> QualityModel:
-        return QualityModel(*(dictionary(kept[q], dictionary_bytes, bytes_per_text) for q in (0, 1)), 0.0, 1.0, 0.0, 0.0)
-
-    model, total = fitted(texts), sum(counts.values())
-    if not (texts[0] and texts[1]):
+    texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    found = _dictionaries(texts, known, dictionary_bytes, folds, part_bytes, digest_bytes, fan)
+
+    def without(fold: int) -> QualityModel:
+        """The model of all folds but one; a label without texts in any other fold keeps all its texts."""
+        whole = (found.get((q, folds), dictionary([], dictionary_bytes)) for q in (0, 1))
+        return QualityModel(*(found.get((q, fold), w) for q, w in enumerate(whole)), 0.0, 1.0, 0.0, 0.0)
+
+    model, total = without(folds), sum(counts.values())
+    if len({q for q, _ in found}) < 2:
         share = (counts.get(1, 0) + 1) / (total + 2)
         model.offset = float(np.log(share / (1 - share)))
         return model
-    x, y = [], []
-    for fold in range(folds):
-        other = fitted({q: [t for k, t in enumerate(own) if k % folds != fold] for q, own in texts.items()})
-        for q, own in texts.items():
-            part = own[fold::folds][:-(-calibrated_per_label // folds)]
-            x += other.differences(part).tolist()
-            y += [q] * len(part)
-    x, y = np.array(x), np.array(y)
-    model.center, model.spread = float(x.mean()), float(x.std()) + 1e-9
-    offset, slope = _logistic(np.column_stack([np.ones(len(x)), (x - model.center) / model.spread]), y).tolist()
-    model.offset = offset + float(np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum())))
+    others = [without(fold) for fold in range(folds)]
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fold, other in enumerate(others):
+                part = batch.filter(pc.equal(batch.column("fold"), fold))
+                x = pa.array(other.differences(part.column("text").to_pylist()), pa.float64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), x], ["doc_id", "x"])
+
+    # scored before they meet their labels, so that no text is shuffled again
+    seen = texts.select("doc_id", "text", _fold(folds)).mapInArrow(differences, known.select("doc_id", F.lit(0.0).alias("x")).schema)
+    rows = seen.join(known, "doc_id").groupBy("quality", F.round(F.col("x") * 10_000).cast("int").alias("at")).agg(
+        F.count("*").alias("n")).orderBy("quality", "at").collect()
+    x, y, n = (np.array([r[c] for r in rows], dtype=float) for c in ("at", "quality", "n"))
+    x /= 10_000
+    n *= n.sum() / 2 / np.where(y > 0, n[y > 0].sum(), n[y == 0].sum())
+    model.center = float((n * x).sum() / n.sum())
+    model.spread = float(np.sqrt((n * (x - model.center) ** 2).sum() / n.sum())) + 1e-9
+    offset, slope = _logistic(np.column_stack([np.ones(len(x)), (x - model.center) / model.spread]), y, n).tolist()
+    model.offset = offset + float(np.log(counts[1] / counts[0]))
     model.slope = max(0.0, slope)
     return model
 

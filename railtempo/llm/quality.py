@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 512  # bytes compressed at a time, so that a text's own repetitions hide little of what the dictionary gives
@@ -96,21 +96,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.1, r
     return w
 
 
-def _fold(folds: int):
-    return F.pmod(F.xxhash64("text", F.lit(17)), F.lit(folds)).cast("int").alias("fold")
-
-
 def _dictionaries(
-    texts: DataFrame, known: DataFrame, size: int, folds: int, part_bytes: int, digest_bytes: int, fan: int,
+    texts: DataFrame, known: DataFrame, part: Column, parts: int, size: int, folds: int, digest_bytes: int, fan: int,
 ) -> dict[tuple[int, int], bytes]:
     """Per label and fold the dictionary of all ``texts`` (doc_id, text) ``known`` (doc_id, quality) to have the label, but the fold's;
     fold ``folds`` leaves none out. Labels without any text are missing.
 
-    Texts meet their labels in parts of about ``part_bytes``. What a part has of a label and fold is digested to ``digest_bytes``, and
-    ``fan`` digests together to one again, until no more than ``fan`` are left. So texts are shuffled once, no task trains on more
-    than a part or ``fan * folds`` digests, however many texts there are, and every byte of every labelled text has been trained on.
+    Texts meet their labels in ``parts`` (column ``part``, of a fold each). What a part has of a label is digested to ``digest_bytes``,
+    and ``fan`` digests of a fold together to one again, until no more than ``fan`` are left. So texts are shuffled once, no task trains
+    on more than a part or ``fan * folds`` digests, however many texts there are, and every byte of every labelled text has been
+    trained on.
     """
-    parts = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
     schema = "quality int, fold int, part bigint, blocks array<binary>"
 
     def table_of(rows: list[tuple]) -> pa.Table:
@@ -122,14 +118,14 @@ def _dictionaries(
         for q in (0, 1):
             ids = labelled.filter(pc.equal(labelled.column("quality"), q)).column("doc_id")
             own = part.filter(pc.is_in(part.column("doc_id"), value_set=ids.combine_chunks()))
-            for fold in range(folds):
-                found = set(own.filter(pc.equal(own.column("fold"), fold)).column("text").to_pylist())
-                if found:
-                    out.append((q, fold, key[0].as_py(), digest(blocks_of(sorted(found)), digest_bytes)))
+            if own.num_rows:
+                at, fold = divmod(key[0].as_py(), folds)
+                out.append((q, fold, at, digest(blocks_of(sorted(own.column("text").to_pylist())), digest_bytes)))
         return table_of(out)
 
     def in_order(rows: pa.Table) -> list[bytes]:
-        return [b for part in rows.sort_by([("fold", "ascending"), ("part", "ascending")]).column("blocks").to_pylist() for b in part]
+        parts = rows.sort_by([("fold", "ascending"), ("part", "ascending")]).column("blocks").to_pylist()
+        return list(dict.fromkeys(b for part in parts for b in part))
 
     def joined(key: tuple, rows: pa.Table) -> pa.Table:
         return table_of([(*(k.as_py() for k in key), digest(in_order(rows), digest_bytes))])
@@ -138,9 +134,9 @@ def _dictionaries(
         return pa.table({"quality": pa.array([key[0].as_py()], pa.int32()), "left": pa.array([key[1].as_py()], pa.int32()),
                          "bytes": pa.array([dictionary(in_order(rows), size)])})
 
-    part = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(parts)).cast("bigint").alias("part")
-    found = known.select("doc_id", "quality", part).groupBy("part").cogroup(
-        texts.select("doc_id", "text", _fold(folds), part).groupBy("part")).applyInArrow(digested, schema)
+    found = known.select("doc_id", "quality", part.alias("part")).groupBy("part").cogroup(
+        texts.select("doc_id", "text", part.alias("part")).groupBy("part")).applyInArrow(digested, schema)
+    parts //= folds
     while parts > fan:
         found = found.withColumn("into", F.floor(F.col("part") / fan)).groupBy("quality", "fold", "into").applyInArrow(joined, schema)
         parts = -(-parts // fan)
@@ -150,14 +146,14 @@ def _dictionaries(
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, dictionary_bytes: int = 32_768, folds: int = 4, part_bytes: int = 1 << 25, digest_bytes: int = 1 << 20,
+    docs: DataFrame, labels: DataFrame, dictionary_bytes: int = 32_768, folds: int = 4, part_bytes: int = 1 << 23, digest_bytes: int = 1 << 20,
     fan: int = 4,
 ) -> QualityModel:
     """Learns from all bytes of all texts with a label.
 
-    Dictionaries are trained on parts of the texts and joined (``_dictionaries``). The calibration is a logistic curve over the
+    Dictionaries are trained on parts of about ``part_bytes`` of ``docs`` and joined (``_dictionaries``). The calibration is a logistic curve over the
     difference of sizes, its only input, which never falls; it is fitted to the differences of all rows by dictionaries made without
-    their fold (a hash of the text decides), counted by ten-thousandths, either label weighing half. Only these counts and
+    their fold (a hash of the id decides), counted by ten-thousandths, either label weighing half. Only these counts and
     ``2 * (folds + 1)`` dictionaries are collected. The calibration is set to the share of good among all ``labels`` rows given. Rows
     with a null label, id or text are passed over. With only one label, or none, the score is that label's share (0.5 without any).
     """
@@ -165,7 +161,9 @@ def train(
         F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    found = _dictionaries(texts, known, dictionary_bytes, folds, part_bytes, digest_bytes, fan)
+    parts = folds * max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (folds * part_bytes)))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(parts)).cast("bigint")  # its remainder by ``folds`` is the fold
+    found = _dictionaries(texts, known, part, parts, dictionary_bytes, folds, digest_bytes, fan)
 
     def without(fold: int) -> QualityModel:
         """The model of all folds but one; a label without texts in any other fold keeps all its texts."""
@@ -187,7 +185,7 @@ def train(
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), x], ["doc_id", "x"])
 
     # scored before they meet their labels, so that no text is shuffled again
-    seen = texts.select("doc_id", "text", _fold(folds)).mapInArrow(differences, known.select("doc_id", F.lit(0.0).alias("x")).schema)
+    seen = texts.select("doc_id", "text", (part % folds).alias("fold")).mapInArrow(differences, known.select("doc_id", F.lit(0.0).alias("x")).schema)
     rows = seen.join(known, "doc_id").groupBy("quality", F.round(F.col("x") * 10_000).cast("int").alias("at")).agg(
         F.count("*").alias("n")).orderBy("quality", "at").collect()
     x, y, n = (np.array([r[c] for r in rows], dtype=float) for c in ("at", "quality", "n"))

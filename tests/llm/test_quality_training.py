@@ -30,7 +30,7 @@ def test_all_texts_reach_the_calibration_and_the_dictionaries(spark):
     good = [f"wording{k % 600:04d} of the {k % 600:04d}th kind, number {k}" for k in range(12_000)]
     bad = [f"BAD!! {t}" for t in texts_of(rng, ["junk", "spam", "win$", "####"], 600, 12)]
     docs, labels = tables(spark, good, bad)
-    small = dict(dictionary_bytes=4_096, part_bytes=65_536, digest_bytes=8_192, fan=2)
+    small = dict(dictionary_bytes=4_096, part_bytes=32_768, digest_bytes=8_192, fan=2)
     model = quality.train(docs.repartition(3), labels, **small)
     assert model == quality.train(docs.repartition(11), labels.repartition(2), **small)
     scored = quality.with_quality(docs, model, into="p").filter("(p >= 0.5) != (doc_id < 12000)").count()

@@ -118,7 +118,8 @@ def links(prints: DataFrame, bits: int = 2, column: str = "fingerprint") -> Data
     # a fingerprint becomes dozens of rows: small ones must not be put together into few tasks first
     distinct = prints.select(F.col(column).alias("print")).filter("print is not null").distinct().repartition(tasks)
     placed = distinct.mapInArrow(spread, "anchor bigint, print bigint, home boolean")
-    homes = placed.filter("home").select("anchor", F.col("print").alias("a"))
+    # Spark takes the anchors for as few as the fingerprints, dozens of times too few, and would broadcast them
+    homes = placed.filter("home").select("anchor", F.col("print").alias("a")).hint("merge")
     return homes.join(placed.select("anchor", F.col("print").alias("b")), "anchor").filter(
         (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b")
 

@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from railtempo.llm import ann, bpe, chat, graph, quality, queries, simhash, url_filter, warc
 
@@ -80,6 +81,12 @@ def test_simhash_links_equal_all_pairs(spark):
     assert got == {(a, b) for a in set(prints) for b in set(prints) if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 2}
 
 
+def test_simhash_anchors_are_not_broadcast(spark):
+    found = simhash.links(spark.range(3_000).select(F.xxhash64("id").alias("fingerprint")))
+    assert found.collect() == []
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_edges(spark):
     long = "word " * 300_000
     given = [(5, None), (4, ""), (3, " \t\n"), (9, "one"), (8, "ONE"), (7, "one two"), (2, long), (1, long + "word"), (None, "one"), (None, "alone here now"), (9, "one"),

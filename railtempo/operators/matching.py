@@ -84,7 +84,8 @@ def route_anomalies(anomalies: DataFrame, subscriptions: DataFrame, salts: int |
     subs = subs.withColumn("_salt", F.explode(
         F.when(open_to_all, F.sequence(none, F.lit(salts - 1).cast("long"))).otherwise(F.array(none))))
     own = [subs[f"_{c}"].alias(s) for c, s in zip(FILTERS, SET)] if totals is not None else []
-    return probes.join(subs, _same_filters(probes, subs) & (probes["_salt"] == subs["_salt"])).select(
+    # Spark takes the probes for as few as the anomalies, and the salted sets for as few as the sets: neither may be broadcast
+    return probes.join(subs.hint("merge"), _same_filters(probes, subs) & (probes["_salt"] == subs["_salt"])).select(
         *[probes[c] for c in anomalies.columns], *own, *[subs[c] for c in kept])
 
 

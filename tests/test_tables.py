@@ -203,6 +203,16 @@ def test_located_pages(spark):
         filters.located_page(df, 0)
 
 
+def test_routes_broadcast_no_side(spark):
+    """Each row becomes eight probes, which Spark takes for one; the stream's micro-batches were broadcast."""
+    anomalies = spark.createDataFrame([(i, "A", f"S{i % 5}", "x") for i in range(50)], "id long, line string, station_id string, anomaly_type string")
+    subs = spark.createDataFrame([("a", "A", None, None), ("b", None, "S1", None), ("c", None, None, None)], "client_id string, line string, station_id string, anomaly_type string")
+    for totals in (None, [F.count("*").alias("clients")]):
+        routes = matching.route_anomalies(anomalies, subs, totals=totals)
+        assert len(routes.collect()) == 110
+        assert "Broadcast" not in routes._jdf.queryExecution().executedPlan().toString()
+
+
 def test_routes_by_sets_of_filters_equal_pairs(spark):
     """Clients with the same filters are routed together: null ids, repeated rows and clients, missing values, sums as over all pairs."""
     anomalies = spark.createDataFrame(

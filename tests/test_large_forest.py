@@ -102,6 +102,42 @@ def test_draws_equal_those_of_a_generator():
             assert (own.integers(k), own.random()) == (number[i], unit[i])
 
 
+def test_hashes_of_trees_equal_sparks(spark):
+    from railtempo.operators.draws import tree_hashes
+
+    odd = spark.createDataFrame([(None, "é"), (-1, None), (1 << 62, ""), (0, "x" * 50)], "a long, b string").union(
+        spark.range(40).selectExpr("id - 20", "string(id)"))
+    for key in ("a", "b"):
+        for seed in (0, 42, -3, 1 << 40):
+            got = odd.select(F.xxhash64(key).alias("h"), F.transform(F.sequence(F.lit(0), F.lit(8)), lambda t: forest.unit_hash(F.col(key), t, F.lit(seed))).alias("u")).collect()
+            np.testing.assert_array_equal(tree_hashes(np.array([r.h for r in got]), 9, seed) / float(1 << 40), [r.u for r in got])
+
+
+def test_samples_take_no_row_for_each_tree(rows):
+    """Hashes of rows and trees are counted and chosen in arrays: no plan makes rows times trees."""
+    drawn = drawn_rows(rows.drop("id").withColumn("id", F.lit(None).cast("string")), COLUMNS, 6, 700, "id", 9)
+    plan = drawn._jdf.queryExecution().toString()
+    assert "explode" not in plan and plan.count("xxhash64") <= 2 * plan.count("xxhash64(id")
+    assert drawn.select(F.explode("trees").alias("tree")).groupBy("tree").count().filter("count = 700").count() == 6
+
+
+def test_walk_equals_steps_one_by_one():
+    from railtempo.operators.large_forest import walk
+
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.exponential(5, 500), rng.integers(0, 4, 500) / 3, np.full(500, 0.1)])
+    x[3, 0], x[5, 1] = np.inf, np.nan
+    nodes = forest.grow_tree(x, 9, np.random.default_rng(1))
+    rows_at, at = np.array([4, 4, 3, 5, 499, 0]), np.array([0, 1, 0, 0, 2, 0])
+    want = []
+    for r, n in zip(rows_at, at):
+        while nodes["feature"][n] >= 0:
+            n = nodes["low"][n] if x[r, nodes["feature"][n]] <= nodes["cut"][n] else nodes["high"][n]
+        want.append(n)
+    assert walk(nodes, x, at, rows_at).tolist() == want and at.tolist() == [0, 1, 0, 0, 2, 0]
+    assert walk(nodes, x, at[:0], rows_at[:0]).tolist() == []
+
+
 def test_nodes_cut_together_are_those_cut_one_by_one():
     """Equal rows, constant columns, infinities, NaN and limits: every node of the tree is what ``cut_of`` gives for the rows that reach it."""
     rng = np.random.default_rng(6)

@@ -47,13 +47,15 @@ def _kinds(value: str) -> Column:
 
 
 def _trigrams(word: Column) -> Column:
-    """Numbers (base 26) of the letter trigrams of a lower-case string; -1 where one holds anything else."""
-    def number(i):
-        codes = [F.ascii(F.substring(word, i + k, F.lit(1))) - 97 for k in range(3)]
+    """Numbers (base 26) of the letter trigrams of a lower-case string; -1 where one holds anything else. One pass: a substring at a place
+    reads all that stands before it."""
+    def number(three):
+        codes = [F.ascii(F.substring(three, k, 1)) - 97 for k in (1, 2, 3)]
         inside = (F.least(*codes) >= 0) & (F.greatest(*codes) < 26)
         return F.when(inside, codes[0] * 676 + codes[1] * 26 + codes[2]).otherwise(-1)
 
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - 2, F.lit(1))), number)
+    overlapping = F.regexp_extract_all(word, F.lit(r"(?s)(?=(.{3}))."), F.lit(1))
+    return F.when(F.coalesce(F.length(word), F.lit(0)) < 3, F.array(F.lit(-1))).otherwise(F.transform(overlapping, number))
 
 
 def dictionary(docs: DataFrame, text: str = "text", at_least: int = 20, per_docs: int = 4_000) -> list[int]:

@@ -46,6 +46,16 @@ def test_near_duplicate_stage(steps):
     assert after == {d: r for d, r in before.items() if groups[d] == d} and len(after) < len(before)
 
 
+def test_near_duplicate_stage_broadcasts_no_anchors(spark, monkeypatch):
+    """Anchors are dozens of times the fingerprints that Spark sizes them by."""
+    links, seen = simhash.links, []
+    monkeypatch.setattr(simhash, "links", lambda *a: seen.append(links(*a)) or seen[-1])
+    docs = spark.range(60).selectExpr("id as doc_id", "concat('words of text ', id, ' and ', id * 7) as text", "'en' as lang", "'s' as source", "id as n_chars")
+    assert 0 < pipeline.keep_one_of_each(spark, docs, "").count() <= 60
+    seen[0].collect()
+    assert "Broadcast" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_decontamination_stage(steps):
     sf, seen = steps
     before, after, _ = seen[2]
